@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .lm_scoring import op1
+from .ngram_join import op6
+from .suffix_dedup import op4
 
 QUERIES = {
     "op1_lm_deleted_interpolation": op1,
+    "op4_suffix_array_dedup": op4,
+    "op6_ngram_jaccard_join": op6,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -28,6 +28,8 @@ from . import kernels as K
 
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 12 << 20
+#: A row's uid is its block id times this plus its place in the block.
+BLOCK_ROWS = 1 << 20
 
 
 def workdir(spark: SparkSession) -> str:
@@ -78,8 +80,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None,
     def run(batches):
         from pyspark import TaskContext
 
-        base, k = TaskContext.get().partitionId() << 32, 0
-        ids, tags, texts, size = [], [], [], 0
+        base, k = TaskContext.get().partitionId() << 24, 0
+        ids, tags, texts, size, rows = [], [], [], 0, 0
 
         def row():
             nonlocal k
@@ -105,8 +107,9 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None,
             a = 0
             while a < b.num_rows:
                 e = int(np.searchsorted(offs, offs[a] + max(0, block_bytes - size), "right")) - 1
-                e = min(b.num_rows, max(e, a + 1 if not size else a))
+                e = min(b.num_rows, max(e, a + 1 if not size else a), a + BLOCK_ROWS - rows)
                 if e > a:
+                    rows += e - a
                     ids.append(b.column(0).slice(a, e - a))
                     tags.append(b.column(1).slice(a, e - a))
                     texts.append(text.slice(a, e - a).cast(pa.large_binary()))
@@ -115,7 +118,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None,
                 if a < b.num_rows or size >= block_bytes:
                     if texts:
                         yield row()
-                    ids, tags, texts, size = [], [], [], 0
+                    ids, tags, texts, size, rows = [], [], [], 0, 0
         if texts:
             yield row()
 
