@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -65,7 +65,7 @@ def _set_keys(blocks: Blocks, words: int) -> DataFrame:
     def run(batches):
         for row in one_row_batches(batches):
             buf, offs = block_text(row)
-            block, ids = row["block"].as_py(), pa.array(row["ids"].values)
+            block, ids, tags = row["block"].as_py(), pa.array(row["ids"].values), pa.array(row["tags"].values)
             for a, b, part, po in K.chunks(buf, offs):
                 d, h = shingles(part, po, words)
                 n = np.bincount(d, minlength=b - a)
@@ -77,9 +77,9 @@ def _set_keys(blocks: Blocks, words: int) -> DataFrame:
                         s[d[first]] = np.add.reduceat(K.mix(h ^ salt) if salt else h, first)
                     keys.append(pa.array(s.view(np.int64)))
                 uid = block * BLOCK_ROWS + np.arange(a, b)
-                yield pa.RecordBatch.from_pydict({"uid": pa.array(uid), "id": ids.slice(a, b - a), "n": pa.array(n.astype(np.int64)), "k1": keys[0], "k2": keys[1]})
+                yield pa.RecordBatch.from_pydict({"uid": pa.array(uid), "id": ids.slice(a, b - a), "text_hash": tags.slice(a, b - a), "n": pa.array(n.astype(np.int64)), "k1": keys[0], "k2": keys[1]})
 
-    return blocks.df.select("block", "ids", "offs", "data").mapInArrow(run, "uid long, id long, n long, k1 long, k2 long")
+    return blocks.df.select("block", "ids", "tags", "offs", "data").mapInArrow(run, "uid long, id long, text_hash long, n long, k1 long, k2 long")
 
 
 def _chosen(row: dict, words: int):
@@ -185,12 +185,12 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, uid (of the row), class (uid of its set's class), component_id.
+    """One row per document: doc_id, text_hash, n_shingles, uid (of the row), class (uid of its set's class), component_id.
 
     Links are pairs with 100 * overlap >= percent * union of their shingle sets;
     component_id is the smallest doc_id reachable by links.
     """
-    blocks = pack(docs, id_col, text_col)
+    blocks = pack(docs, id_col, text_col, F.xxhash64(text_col))
     where, parts = blocks.where, blocks.parts
     rows = materialize(_set_keys(blocks, words), "rows", where)
     classes = materialize(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("uid").alias("cls"), F.min("id").alias("least")), "classes", where)
@@ -236,7 +236,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = by_class.join(best, "comp", "left").select("k1", "k2", "n", "cls", F.coalesce("component", "least").alias("component"))
     named = materialize(named, "named", where)
     out = rows.join(named, ["k1", "k2", "n"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "uid", F.coalesce("cls", "uid").alias("class"), F.coalesce("component", "id").alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), "text_hash", F.col("n").alias("n_shingles"), "uid", F.coalesce("cls", "uid").alias("class"), F.coalesce("component", "id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of docs, one of each component: a row of its smallest id. Texts without words all stay."""
+    found = near_duplicates(docs, id_col, text_col, words, percent)
+    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "uid", "text_hash")).alias("x")).select("x.doc_id", "x.text_hash")
+    stays = first.union(found.where("n_shingles = 0").select("doc_id", "text_hash")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("__rows"))
+    stays = stays.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__rows")
+    rows = docs.withColumn("__key", F.xxhash64(text_col))
+    both = rows.join(stays, (F.col("__key") == F.col("__hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
+    place = F.row_number().over(Window.partitionBy("__hash", "__id").orderBy(F.lit(0)))
+    return both.withColumn("__place", place).where("__place <= __rows").select(*docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
