@@ -7,11 +7,12 @@ the whole corpus, rarest first, and makes the candidates; orders 2 and 3 are
 independent hash orders whose prefixes a candidate must share as well before it
 is verified on the whole sets.
 
-Work stays linear around hot groups: equal sets form one class; within the
-holders of one prefix member each is first verified against one of them only;
-connected components are formed, and only pairs of holders in different
-components are enumerated for the exhaustive second round, so a link between
-components is never missed while pairs inside a component are not emitted.
+Work stays linear around hot groups: equal sets form one class; the holders of
+one prefix member are first verified against one of them only; connected
+components are formed, and holders outside their list's main component meet a
+few other members, until the pairs of holders in different components are few.
+Those are enumerated exhaustively, so no link between components is missed while
+pairs inside a component are not emitted.
 
 Shingles are compared by 64-bit hash. Defined cases: null or empty text has an
 empty set and links with nothing; fewer words than a shingle make one shingle
@@ -21,6 +22,8 @@ takes part but is never a smallest id; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,6 +33,10 @@ from . import kernels as K
 from .components import components
 from .store import BLOCK_ROWS, Blocks, answers_of, block_text, exchange, join_fields, materialize, one_row_batches, pack, packet_batch, split_fields, visit
 
+#: Rounds in which holders meet chosen members only, while the pairs left exceed a few a posting and keep falling.
+HUB_ROUNDS = 4
+#: 64-bit words of the bitmaps that bound the difference of two sets.
+WORDS = 8
 #: Salts of the hash orders after the frequency order.
 ORDERS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x3C79AC492BA7B653))
 
@@ -110,6 +117,12 @@ def _frequencies(part: int, senders: list[int], blobs: list[bytes]):
         yield s, n[at[cut[i] : cut[i + 1]]].tobytes()
 
 
+def parity_bitmap(x: np.ndarray) -> np.ndarray:
+    """Bits by hash, each the parity of its members: two sets differ in at least as many members as their bitmaps in bits."""
+    bits = np.bincount((K.mix(x ^ ORDERS[0]) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _survivors(reps: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
     """Sets that can have a partner, with their prefix under order 1: members seen in no other class are misses for all."""
 
@@ -120,7 +133,7 @@ def _survivors(reps: DataFrame, parts: int, words: int, percent: int) -> DataFra
             cut = K.cut_by_part(known, parts)
             df = np.concatenate([np.frombuffer(got[p], np.uint8) if cut[p + 1] > cut[p] else np.zeros(0, np.uint8) for p in range(parts)])
             block = row["block"].as_py()
-            out = {k: [] for k in ("uid", "n", "members", "prefix", "places")}
+            out = {k: [] for k in ("uid", "n", "members", "prefix", "places", "bitmap")}
             for a, d, h in _chosen(row, words):
                 f = df[np.searchsorted(known, h)]
                 bounds = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1], [True])))
@@ -136,6 +149,7 @@ def _survivors(reps: DataFrame, parts: int, words: int, percent: int) -> DataFra
                     out["members"].append(x.tobytes())
                     out["prefix"].append(x[place[shared]].view(np.int64))
                     out["places"].append(shared.astype(np.int32))
+                    out["bitmap"].append(parity_bitmap(x))
             yield pa.RecordBatch.from_pydict(
                 {
                     "uid": pa.array(out["uid"], pa.int64()),
@@ -143,10 +157,11 @@ def _survivors(reps: DataFrame, parts: int, words: int, percent: int) -> DataFra
                     "members": pa.array(out["members"], pa.binary()),
                     "prefix": pa.array(out["prefix"], pa.list_(pa.int64())),
                     "places": pa.array(out["places"], pa.list_(pa.int32())),
+                    "bitmap": pa.array(out["bitmap"], pa.list_(pa.int64())),
                 }
             )
 
-    return reps.mapInArrow(run, "uid long, n long, members binary, prefix array<long>, places array<int>")
+    return reps.mapInArrow(run, "uid long, n long, members binary, prefix array<long>, places array<int>, bitmap array<long>")
 
 
 def _prefix(x: np.ndarray, salt: np.uint64, percent: int) -> np.ndarray:
@@ -177,11 +192,25 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(run, "src long, dst long")
 
 
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs whose lengths and first shared places allow the threshold; columns a, b, na, nb, pa, pb."""
-    p = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    return p.where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+def _fits(x: str, y: str, percent: int) -> str:
+    """Whether sets that share the member at x.place and y.place as their first can reach the threshold.
+
+    The overlap is at most what follows the first shared places. At later shared
+    members the bound is lower, so a pair that can reach it passes at its first.
+    The bound implies the one on lengths. The bitmaps bound the difference of
+    the sets from below.
+    """
+    apart = " + ".join(f"bit_count({x}.bitmap[{k}] ^ {y}.bitmap[{k}])" for k in range(WORDS))
+    return f"{100 + percent} * least({x}.n - {x}.place, {y}.n - {y}.place) >= {percent} * ({x}.n + {y}.n) and {100 + percent} * ({apart}) <= {100 - percent} * ({x}.n + {y}.n)"
+
+
+def _pairs(x: str, y: str) -> list:
+    return [F.least(f"{x}.uid", f"{y}.uid").alias("a"), F.greatest(f"{x}.uid", f"{y}.uid").alias("b")]
+
+
+def _to_hub(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of each holder (struct x) with its list's hub."""
+    return rows.where(f"x.uid <> hub.uid and {_fits('x', 'hub', percent)}").select(*_pairs("x", "hub")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -209,26 +238,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with_counts = visit(Blocks(chosen, where, 0, 0, parts), counted, keep_all=False).select("block", "reps", "offs", "data", "answers")
     sets = materialize(_survivors(with_counts, parts, words, percent), "survivors", where)
 
-    posting = sets.select("uid", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("uid", "n", F.col("p.prefix").alias("member"), F.col("p.places").alias("place"))
-    hub = posting.groupBy("member").agg(F.count("*").alias("holders"), F.min(F.struct("uid", "n", "place")).alias("hub")).where("holders > 1")
+    posting = sets.select("uid", "n", "bitmap", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("uid", "n", "bitmap", F.col("p.prefix").alias("member"), F.col("p.places").alias("place"))
+    hub = posting.groupBy("member").agg(F.count("*").alias("holders"), F.min(F.struct("uid", "n", "place", "bitmap")).alias("hub")).where("holders > 1")
     held = materialize(posting.join(hub.select("member"), "member", "left_semi"), "postings", where)
-    star = held.join(hub.select("member", "hub"), "member").where(f"uid <> hub.uid and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
-    star = star.select(F.col("hub.uid").alias("a"), F.col("uid").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.col("hub.place").alias("pa"), F.col("place").alias("pb"))
-    tried = materialize(_bounded(star, percent), "tried", where)
-    links = materialize(verify(tried, sets, percent), "links_1", where)
-    comp = components(links, where + "/one")
-
-    held = held.join(comp.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-    held = materialize(held, "held", where)
-    main = held.groupBy("member", "comp").agg(F.count("*").alias("k")).groupBy("member").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("main")).where("comps > 1").select("member", F.col("main.comp").alias("main"))
-    open_ = held.join(main, "member")
-    stray = open_.where("comp <> main")
-    x, y = stray.alias("x"), open_.alias("y")
-    cross = x.join(y, F.expr(f"x.member = y.member and x.comp <> y.comp and (y.comp = y.main or x.uid < y.uid) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    cross = cross.select(F.expr("least(x.uid, y.uid)").alias("a"), F.expr("greatest(x.uid, y.uid)").alias("b"), F.expr("if(x.uid < y.uid, x.n, y.n)").alias("na"), F.expr("if(x.uid < y.uid, y.n, x.n)").alias("nb"), F.expr("if(x.uid < y.uid, x.place, y.place)").alias("pa"), F.expr("if(x.uid < y.uid, y.place, x.place)").alias("pb"))
-    rest = materialize(_bounded(cross, percent).join(tried, ["a", "b"], "left_anti"), "rest", where)
-    more = materialize(verify(rest, sets, percent), "links_2", where)
-    comp = components(links.union(more), where + "/two")
+    n_held, before = held.count(), math.inf
+    tried = materialize(_to_hub(held.select("member", F.struct("uid", "n", "place", "bitmap").alias("x")).join(hub.select("member", "hub"), "member"), percent), "tried_0", where)
+    links = materialize(verify(tried, sets, percent), "links_0", where)
+    for step in range(1, HUB_ROUNDS + 1):
+        comp = components(links, f"{where}/cc_{step}").withColumnRenamed("node", "uid")
+        now = materialize(held.join(comp, "uid", "left").withColumn("comp", F.coalesce("comp", "uid")), f"held_{step}", where)
+        lists = now.groupBy("member", "comp").agg(F.count("*").alias("k")).groupBy("member").agg(F.count("*").alias("comps"), F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("main")).where("comps > 1")
+        lists = materialize(lists.select("member", "all", F.col("main.k").alias("k"), F.col("main.comp").alias("main")), f"lists_{step}", where)
+        open_ = now.join(lists.select("member", "main"), "member")
+        pairs_left = lists.agg(F.coalesce(F.sum((F.col("all") - F.col("k")) * F.col("all")), F.lit(0))).first()[0]
+        if pairs_left <= 4 * n_held or pairs_left > 0.7 * before or step == HUB_ROUNDS:
+            break
+        before = pairs_left
+        #: A list's strays meet a member of its main component and any member, other ones for each list and round.
+        row = F.struct("uid", "n", "place", "bitmap")
+        pick = open_.groupBy("member").agg(F.min_by(row, F.xxhash64("uid", "member", F.lit(2 * step))).alias("any"), F.min_by(row, F.when(F.col("comp") == F.col("main"), F.xxhash64("uid", "member", F.lit(2 * step + 1)))).alias("of_main"))
+        pick = pick.select("member", F.explode(F.array("any", "of_main")).alias("hub"))
+        met = open_.where("comp <> main").select("member", row.alias("x")).join(pick, "member")
+        new = materialize(_to_hub(met, percent).join(tried, ["a", "b"], "left_anti"), f"tried_{step}", where)
+        tried = tried.union(new)
+        links = links.union(materialize(verify(new, sets, percent), f"links_{step}", where))
+
+    x, y = open_.where("comp <> main").alias("x"), open_.alias("y")
+    cross = x.join(y, F.expr(f"x.member = y.member and x.comp <> y.comp and (y.comp = y.main or x.uid < y.uid) and {_fits('x', 'y', percent)}")).select(*_pairs("x", "y")).distinct()
+    rest = materialize(cross.join(tried, ["a", "b"], "left_anti"), "rest", where)
+    more = materialize(verify(rest, sets, percent), "links_rest", where)
+    comp = components(links.union(more), where + "/cc")
 
     by_class = classes.join(comp, classes.cls == comp.node, "left").withColumn("comp", F.coalesce("comp", "cls"))
     by_class = materialize(by_class.select("cls", "least", "comp", "k1", "k2", "n", F.col("node").isNotNull().alias("linked")), "by_class", where)
