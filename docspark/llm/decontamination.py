@@ -52,10 +52,10 @@ def bare_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(s):
         return np.zeros(0, np.uint64), at
     todo = np.arange(len(s))
-    while len(todo := todo[(s[todo] < e[todo]) & _PUNCT[buf[s[todo]]]]):
+    while len(todo := (t := todo[s[todo] < e[todo]])[_PUNCT[buf[s[t]]]]):
         s[todo] += 1
     todo = np.arange(len(s))
-    while len(todo := todo[(s[todo] < e[todo]) & _PUNCT[buf[e[todo] - 1]]]):
+    while len(todo := (t := todo[s[todo] < e[todo]])[_PUNCT[buf[e[t] - 1]]]):
         e[todo] -= 1
     keep = s < e
     return K.Rolling(buf).spans(s[keep], e[keep]), np.concatenate(([0], np.cumsum(keep)))[at]
