@@ -114,6 +114,7 @@ class Index:
             return
         rng = np.random.Generator(np.random.PCG64(seed))
         self.pairs = np.unique(np.concatenate([pairs(w) for _, w in self.items]))
+        self.own_pairs = [np.unique(pairs(w)) for _, w in self.items]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.pairs >> np.uint64(44)).astype(np.int64)] = True
         #: Lengths fall into classes a quarter apart; a class samples steps at which its shortest items still walk.
@@ -212,21 +213,23 @@ class Index:
             return none
         hit[sure + 1] = 1
         hit = np.cumsum(hit)
-        doc_end = np.repeat(at[1:], np.diff(at))
+        #: A word before which too few hits follow for any length starts no window.
+        span = int(self.lengths[-1]) + self.limit(int(self.lengths[-1])) - 1
+        start = np.flatnonzero(hit[np.minimum(np.arange(len(h)) + span, len(h))] - hit[:-1] >= self._need(int(self.lengths[0])))
+        doc_end = np.repeat(at[1:], np.diff(at))[start] - 1
         out = []
         for lo, hi in self.classes:
-            found = []
+            found = np.zeros(len(start), bool)
             for n in self.lengths[(self.lengths >= lo) & (self.lengths <= hi)].tolist():
-                e = self.limit(n)
-                need = max(1, n - 1 - 2 * e)
-                #: Only words from which a hit is near can start a window.
-                near = np.unique(np.concatenate([sure - k for k in range(0, min(n + e, 2 * e + 2))])) if not found else near
-                near = near[near >= 0]
-                stop = np.minimum(near + n + e - 1, doc_end[near] - 1)
-                found.append(near[hit[np.maximum(stop, near)] - hit[near] >= need])
-            out.append(np.unique(np.concatenate(found)))
+                stop = np.minimum(start + n + self.limit(n) - 1, doc_end)
+                found |= hit[stop] - hit[start] >= self._need(n)
+            out.append(start[found])
         return out
 
+    def _need(self, n: int) -> int:
+        """Word pairs that a run within the distance of an item of n words shares with it at least."""
+        return max(1, n - 1 - 2 * self.limit(n))
+
     def search(self, h: np.ndarray, at: np.ndarray) -> dict[int, dict[int, tuple[int, int, int]]]:
         """document -> item's place -> (edits, first word, words) of the nearest run, if near enough."""
         out: dict[int, dict[int, tuple[int, int, int]]] = {}
@@ -251,10 +254,16 @@ class Index:
             group: list[int] = []
             for s in [*sorted(starts), None]:
                 if group and (s is None or s - group[-1] > n):
+                    same = next((x for x in group if x + n <= at[doc + 1] and np.array_equal(h[x : x + n], words)), None)
                     lo = max(int(at[doc]), group[0] - e)
-                    d, x, y = align(words, h[lo : min(int(at[doc + 1]), group[-1] + n + 2 * e)])
-                    if d <= e and (best is None or d < best[0]):
-                        best = (d, lo + x - int(at[doc]), y - x)
+                    text = h[lo : min(int(at[doc + 1]), group[-1] + n + 2 * e)]
+                    if same is not None:
+                        if best is None or best[0]:
+                            best = (0, same - int(at[doc]), n)
+                    elif np.isin(pairs(text), self.own_pairs[item]).sum() >= self._need(n):
+                        d, x, y = align(words, text)
+                        if d <= e and (best is None or d < best[0]):
+                            best = (d, lo + x - int(at[doc]), y - x)
                     group = []
                 if s is not None:
                     group.append(s)
