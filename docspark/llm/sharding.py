@@ -122,11 +122,9 @@ class Store:
         body = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), path.alias("path"))
         body = body.join(F.broadcast(where), "path").select("shard", "row")  # a row a shard
         folder = f"{self.root}/data/c-{uuid.uuid4().hex}"
-        out = body.repartition(len(groups), "shard").select("shard", "row.*")
-        clash = "shard" in rows.columns
-        if clash:
-            out = body.repartition(len(groups), "shard").select(F.col("shard").alias("__shard"), "row.*")
-        out.write.options(**OPTIONS).partitionBy("__shard" if clash else "shard").parquet(folder)
+        # A group is one task's; more tasks than groups, so few tasks get two.
+        out = body.repartition(4 * len(groups), "shard").select(F.col("shard").alias("__shard"), "row.*")
+        out.write.options(**OPTIONS).partitionBy("__shard").parquet(folder)
         return self.commit(last["version"], schema, [s for s in last["shards"] if s["path"] not in merged] + self._written(folder, schema), "compact")
 
     def read(self, version: int | None = None) -> DataFrame:
