@@ -281,7 +281,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Rows of docs, one of each component: a row of its smallest id. Texts without words all stay."""
     found = near_duplicates(docs, id_col, text_col, words, percent)
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "uid", "text_hash")).alias("x")).select("x.doc_id", "x.text_hash")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid", "text_hash")  # a null id comes last
+    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(order).alias("x")).select("x.doc_id", "x.text_hash")
     stays = first.union(found.where("n_shingles = 0").select("doc_id", "text_hash")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("__rows"))
     stays = stays.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__rows")
     rows = docs.withColumn("__key", F.xxhash64(text_col))
