@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import text as T
 from docspark.operators import ingest, text_search
+from docspark.sources.tables import spread
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -54,7 +55,7 @@ _DOC_TERMS = f"SELECT doc_id AS id, unnest({_TOK.format(c='text')}) AS term FROM
 
 @_q("term_statistics", f"SELECT term, count(*) AS tf, count(DISTINCT id) AS df FROM ({_DOC_TERMS}) GROUP BY term")
 def term_statistics(spark, d):
-    post = text_search.postings(_t(spark, d, "documents"), "doc_id", {"text": "text"})
+    post = text_search.postings(spread(_t(spark, d, "documents")), "doc_id", {"text": "text"})
     return post.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
@@ -82,7 +83,7 @@ bm AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 
 
 def _bm25(spark, d):
-    return text_search.bm25(_t(spark, d, "documents"), _t(spark, d, "benchmark"), "text", {"name": "source", "text": "text"})
+    return text_search.bm25(spread(_t(spark, d, "documents")), _t(spark, d, "benchmark"), "text", {"name": "source", "text": "text"})
 
 
 @_q("bm25_body_search", _BM25 + "SELECT query_id, id, round(score, 4) AS score FROM bm WHERE rank <= 10")
@@ -107,7 +108,7 @@ SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITI
 """,
 )
 def hybrid_fusion(spark, d):
-    docs, items = _t(spark, d, "documents"), _t(spark, d, "benchmark")
+    docs, items = spread(_t(spark, d, "documents")), _t(spark, d, "benchmark")
     keyword = text_search.top_k(_bm25(spark, d), 50)
     words = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.words("text"))).alias("term"))
     asked = items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.words("text"))).alias("term"))
@@ -254,7 +255,7 @@ def keyword_index_terms(spark, d):
     def terms(s: pd.Series) -> pd.Series:
         return s.fillna("").map(T.index_terms)
 
-    rows = _t(spark, d, "documents").select("doc_id", F.explode(terms("text")).alias("term"))
+    rows = spread(_t(spark, d, "documents")).select("doc_id", F.explode(terms("text")).alias("term"))
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
