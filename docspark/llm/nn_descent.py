@@ -228,3 +228,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 def op8(spark, sf_dir: str) -> DataFrame:
     """Query op8: all embeddings at cosine 0.95."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "n_links", "component_id", "kept")
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) >= 0.95::DOUBLE * a.n * b.n),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, links.b FROM reach r JOIN links ON links.a = r.other),
+c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT e.vec_id, coalesce(k.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.vec_id = e.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = e.vec_id
+"""

@@ -286,3 +286,15 @@ def op2(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     archives = write_archives(with_roles(pages), f"{workdir(spark)}/archives")
     return read_records(locate(archives), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+#: Base32 digits from the two hexadecimal ones that hold their five bits.
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+m AS (SELECT page_id, url, strlen(html) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, (5 * i) // 4 + 1, 2) AS INTEGER) >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to, url
+FROM m
+"""
