@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import Blocks, answers_of, block_text, exchange, join_fields, one_row_batches, pack, packet_batch, split_fields, visit
+from .store import PACKET, Blocks, Census, answers_of, block_text, exchange, one_row_batches, pack, visit
 
 END = np.uint64(0x51ED270B9F3C1A77)
 BEGIN = np.uint64(0xA24BAED4963EE407)
@@ -87,6 +87,25 @@ def _block_grams(buf: np.ndarray, offs: np.ndarray, tags: np.ndarray) -> tuple[l
     return out, int(np.count_nonzero(role != SCORED))
 
 
+class GramCensus(Census):
+    """Counts in the estimates' part and in all training documents, of unigrams and of bigrams."""
+
+    sections = values = arrays = 2
+
+    def answer(self, section, keys, seconds, sums):
+        return sums
+
+    def extra(self, section, keys, sums):
+        """Tokens and distinct words of either part of the training documents."""
+        if section:
+            return None
+        words = keys != BEGIN
+        return np.array([x for t in sums for x in (t[words].sum(), np.count_nonzero(t[words]))], np.int64).tobytes()
+
+
+GRAMS = GramCensus()
+
+
 def _requests(blocks: Blocks) -> DataFrame:
     parts = blocks.parts
 
@@ -94,41 +113,9 @@ def _requests(blocks: Blocks) -> DataFrame:
         for row in one_row_batches(batches):
             buf, offs = block_text(row)
             tables, _ = _block_grams(buf, offs, np.array(row["tags"].as_py(), np.int64))
-            cuts = [K.cut_by_part(t[0], parts) for t in tables]
-            names, blobs = [], []
-            for p in range(parts):
-                fields = []
-                for (h, est, trn), cut in zip(tables, cuts, strict=True):
-                    a, b = cut[p], cut[p + 1]
-                    fields += [K.pack_sorted(h[a:b]), K.pack_counts(est[a:b]), K.pack_counts(trn[a:b])]
-                if fields[0] or fields[3]:
-                    names.append(p)
-                    blobs.append(join_fields(*fields))
-            yield packet_batch(row["block"].as_py(), names, blobs)
-
-    return blocks.df.select("block", "tags", "offs", "data").mapInArrow(run, "part int, block long, data binary")
-
-
-def _merge(part: int, senders: list[int], blobs: list[bytes]):
-    """Corpus counts for each sender; block -1 gets (tokens, distinct) of the estimates' and of all training unigrams."""
-    fields = [split_fields(b, 6) for b in blobs]
-    answers: list[list[bytes]] = [[] for _ in senders]
-    for k in (0, 3):
-        hs = [K.unpack_sorted(f[k]) for f in fields]
-        cut = np.cumsum([0, *map(len, hs)])
-        h, where = np.unique(np.concatenate(hs), return_inverse=True)
-        totals = []
-        for j in (1, 2):
-            c = np.concatenate([K.unpack_counts(f[k + j], len(x)) for f, x in zip(fields, hs, strict=True)])
-            totals.append(np.bincount(where, c, len(h)).astype(np.int64))
-        for i in range(len(senders)):
-            w = where[cut[i] : cut[i + 1]]
-            answers[i] += [K.pack_counts(t[w]) for t in totals]
-        if k == 0:
-            words = h != BEGIN
-            yield -1, np.array([x for t in totals for x in (t[words].sum(), np.count_nonzero(t[words]))], np.int64).tobytes()
-    for s, a in zip(senders, answers, strict=True):
-        yield s, join_fields(*a)
+            yield GRAMS.packets(row["block"].as_py(), [(h, None, [est, trn]) for h, est, trn in tables], parts)
+
+    return blocks.df.select("block", "tags", "offs", "data").mapInArrow(run, PACKET)
 
 
 def _looked_up(row: dict, parts: int, which: int):
@@ -139,11 +126,10 @@ def _looked_up(row: dict, parts: int, which: int):
     counts = [[], []]
     cuts = [K.cut_by_part(t[0], parts) for t in tables]
     for p in range(parts):
-        f = split_fields(got[p], 4) if p in got else None
-        for k in (0, 1):
-            n = int(cuts[k][p + 1] - cuts[k][p])
-            if n:
-                counts[k].append(K.unpack_counts(f[2 * k + which], n))
+        sizes = [int(c[p + 1] - c[p]) for c in cuts]
+        if any(sizes):
+            for k, answer in enumerate(GRAMS.read(got[p], sizes, GRAMS.arrays)):
+                counts[k].append(answer[which])
     counts = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in counts]
     for a, b, part, po in K.chunks(buf, offs):
         h, ctx, off = _tokens(part, po)
@@ -207,7 +193,7 @@ def score(docs: DataFrame, held_out: Column, deleted: Column, id_col: str = "doc
     role = F.when(held_out, SCORED).when(deleted, DELETED).otherwise(ESTIMATE)
     blocks = pack(docs, id_col, text_col, role)
     parts = blocks.parts
-    replies = exchange(_requests(blocks), _merge, blocks.where, "counts")
+    replies = exchange(_requests(blocks), GRAMS, blocks, "counts")
     sums = np.zeros(4, np.int64)
     for r in replies.where("block = -1").select("data").toLocalIterator():  # one row of 32 bytes a part
         sums += np.frombuffer(r.data, np.int64)

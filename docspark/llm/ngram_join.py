@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .store import BLOCK_ROWS, Blocks, answers_of, block_text, exchange, join_fields, materialize, one_row_batches, pack, packet_batch, split_fields, visit
+from .store import BLOCK_ROWS, PACKET, Blocks, Census, answers_of, block_text, exchange, materialize, one_row_batches, pack, visit
 
 #: Rounds in which holders meet chosen members only, while the pairs left exceed a few a posting and keep falling.
 HUB_ROUNDS = 4
@@ -106,15 +106,14 @@ def _block_counts(row: dict, words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _frequencies(part: int, senders: list[int], blobs: list[bytes]):
-    fields = [split_fields(b, 2) for b in blobs]
-    hs = [K.unpack_sorted(f[0]) for f in fields]
-    cut = np.cumsum([0, *map(len, hs)])
-    h, at = np.unique(np.concatenate(hs), return_inverse=True)
-    n = np.bincount(at, np.concatenate([K.unpack_counts(f[1], len(x)) for f, x in zip(fields, hs, strict=True)]), len(h))
-    n = np.minimum(n, 255).astype(np.uint8)
-    for i, s in enumerate(senders):
-        yield s, n[at[cut[i] : cut[i + 1]]].tobytes()
+class Frequencies(Census):
+    """Classes that hold a shingle, 255 for more."""
+
+    def answer(self, section, keys, seconds, sums):
+        return [np.minimum(sums[0], 255)]
+
+
+FREQUENCIES = Frequencies()
 
 
 def parity_bitmap(x: np.ndarray) -> np.ndarray:
@@ -131,7 +130,7 @@ def _survivors(reps: DataFrame, parts: int, words: int, percent: int) -> DataFra
             got = answers_of(row)
             known, _ = _block_counts(row, words)
             cut = K.cut_by_part(known, parts)
-            df = np.concatenate([np.frombuffer(got[p], np.uint8) if cut[p + 1] > cut[p] else np.zeros(0, np.uint8) for p in range(parts)])
+            df = np.concatenate([FREQUENCIES.read(got[p], [int(cut[p + 1] - cut[p])])[0][0] for p in range(parts) if cut[p + 1] > cut[p]] or [np.zeros(0, np.int64)])
             block = row["block"].as_py()
             out = {k: [] for k in ("uid", "n", "members", "prefix", "places", "bitmap")}
             for a, d, h in _chosen(row, words):
@@ -230,11 +229,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def requests(batches):
         for row in one_row_batches(batches):
             h, n = _block_counts(row, words)
-            cut = K.cut_by_part(h, parts)
-            use = [p for p in range(parts) if cut[p + 1] > cut[p]]
-            yield packet_batch(row["block"].as_py(), use, [join_fields(K.pack_sorted(h[cut[p] : cut[p + 1]]), K.pack_counts(n[cut[p] : cut[p + 1]])) for p in use])
+            yield FREQUENCIES.packets(row["block"].as_py(), [(h, None, [n])], parts)
 
-    counted = exchange(chosen.select("block", "reps", "offs", "data").mapInArrow(requests, "part int, block long, data binary"), _frequencies, where, "frequencies")
+    counted = exchange(chosen.select("block", "reps", "offs", "data").mapInArrow(requests, PACKET), FREQUENCIES, blocks, "frequencies")
     with_counts = visit(Blocks(chosen, where, 0, 0, parts), counted, keep_all=False).select("block", "reps", "offs", "data", "answers")
     sets = materialize(_survivors(with_counts, parts, words, percent), "survivors", where)
 

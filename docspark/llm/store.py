@@ -13,6 +13,7 @@ owner of the range merges them and answers each sender in its own order.
 
 from __future__ import annotations
 
+import math
 import struct
 import tempfile
 import uuid
@@ -28,6 +29,8 @@ from . import kernels as K
 
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 12 << 20
+#: Packets (blocks times ranges) up to which one level of exchange is used, and blocks a group of the second level has.
+MOST_PACKETS, GROUP_BLOCKS = 20_000_000, 1024
 #: A row's uid is its block id times this plus its place in the block.
 BLOCK_ROWS = 1 << 20
 
@@ -66,15 +69,20 @@ class Blocks:
     where: str
     n_docs: int
     n_bytes: int
+    #: Ranges of the hash space; with `fine`, coarse ones of so many fine ranges each, and groups of blocks.
     parts: int
+    fine: int = 0
+    groups: int = 0
 
 
 BLOCK_FIELDS = "block long, n int, size long, ids array<long>, tags array<long>, offs binary, data binary"
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> Blocks:
+def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None, block_bytes: int | None = None, part_bytes: int = PART_BYTES, most_packets: int | None = None) -> Blocks:
     """Pack (id, text) rows into a bucketed block table; `tag` is an integer kept beside each row."""
     spark = docs.sparkSession
+    most_packets = MOST_PACKETS if most_packets is None else most_packets
+    block_bytes = BLOCK_BYTES if block_bytes is None else block_bytes
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), (tag if tag is not None else F.lit(0)).cast("long").alias("tag"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -127,8 +135,12 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None,
     name = "blocks_" + where[-12:]
     (narrow.mapInArrow(run, BLOCK_FIELDS).write.bucketBy(buckets, "block").option("path", f"{where}/blocks").format("parquet").mode("overwrite").saveAsTable(name))
     df = spark.table(name)
-    n, size = df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    return Blocks(df, where, n, size, max(48, -(-size // part_bytes)))
+    n, size, n_blocks = df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    parts = max(48, -(-size // part_bytes))
+    if n_blocks * parts <= most_packets:
+        return Blocks(df, where, n, size, parts)
+    coarse = math.isqrt(parts - 1) + 1
+    return Blocks(df, where, n, size, coarse, -(-parts // coarse), -(-n_blocks // GROUP_BLOCKS))
 
 
 def block_text(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -155,19 +167,180 @@ def split_fields(b, n: int) -> list[bytes]:
     return out
 
 
-def exchange(requests: DataFrame, merge: Callable[[int, list[int], list[bytes]], Iterator[tuple[int, bytes]]], where: str, name: str) -> DataFrame:
+class Census:
+    """What the owners of hash ranges do with packets.
+
+    A packet has `sections` of ascending keys with `values` counts each, and a
+    second key a row if `pairs`. Equal keys of all senders are united and their
+    counts summed; `answer(section, keys, seconds, sums)` gives arrays of small
+    numbers for them, which go back to every sender in its own order.
+    `first_only` maps an answer that only one of the senders of a key may get to
+    what the others get.
+    """
+
+    sections, values, pairs = 1, 1, False
+    first_only: dict[int, int] = {}
+
+    def answer(self, section: int, keys: np.ndarray, seconds: np.ndarray | None, sums: list[np.ndarray]) -> list[np.ndarray]:
+        raise NotImplementedError
+
+    def extra(self, section: int, keys: np.ndarray, sums: list[np.ndarray]) -> bytes | None:
+        """Something about a whole range, to be read as block -1."""
+        return None
+
+    def encode(self, tables: list[tuple[np.ndarray, np.ndarray | None, list[np.ndarray]]]) -> bytes:
+        fields = []
+        for keys, seconds, counts in tables:
+            fields += [K.pack_sorted(keys), seconds.tobytes() if self.pairs else b"", *(K.pack_counts(c) for c in counts)]
+        return join_fields(*fields)
+
+    def packets(self, block: int, tables: list, parts: int) -> pa.RecordBatch:
+        """A packet for every range in which the tables have keys."""
+        cuts = [K.cut_by_part(t[0], parts) for t in tables]
+        use = [p for p in range(parts) if any(c[p + 1] > c[p] for c in cuts)]
+        cut = lambda t, c, p: (t[0][c[p] : c[p + 1]], t[1][c[p] : c[p + 1]] if self.pairs else None, [v[c[p] : c[p + 1]] for v in t[2]])
+        return packet_batch(block, use, [self.encode([cut(t, c, p) for t, c in zip(tables, cuts, strict=True)]) for p in use])
+
+    def unite(self, blobs: list) -> list[tuple]:
+        """For each section: keys, seconds, sums, place of every sent row, offsets of the senders' rows."""
+        wide = 2 + self.values
+        fields = [split_fields(b, wide * self.sections) for b in blobs]
+        out = []
+        for k in range(self.sections):
+            keys = [K.unpack_sorted(f[wide * k]) for f in fields]
+            offs = np.cumsum([0, *map(len, keys)])
+            h = np.concatenate(keys)
+            seconds = None
+            if self.pairs:
+                second = np.concatenate([np.frombuffer(f[wide * k + 1], np.uint64) for f in fields])
+                order = np.lexsort((second, h))
+                new = np.ones(len(h), bool)
+                new[1:] = (h[order][1:] != h[order][:-1]) | (second[order][1:] != second[order][:-1])
+                place = np.empty(len(h), np.int64)
+                place[order] = np.cumsum(new) - 1
+                h, seconds = h[order][new], second[order][new]
+            else:
+                h, place = np.unique(h, return_inverse=True)
+            counts = [np.concatenate([K.unpack_counts(f[wide * k + 2 + j], len(x)) for f, x in zip(fields, keys, strict=True)]) for j in range(self.values)]
+            out.append((h, seconds, [np.bincount(place, c, len(h)).astype(np.int64) for c in counts], place, offs))
+        return out
+
+    def scattered(self, answers: list[list[np.ndarray]], places: list[np.ndarray], offs: list[np.ndarray]) -> list[bytes]:
+        """The answers for each sender, all sections' arrays one after another."""
+        rows = []
+        for a, place in zip(answers, places, strict=True):
+            full = [x[place] for x in a]
+            if self.first_only and len(place):
+                again = np.ones(len(place), bool)
+                again[np.unique(place, return_index=True)[1]] = False
+                for one, rest in self.first_only.items():
+                    full[0][again & (full[0] == one)] = rest
+            rows.append(full)
+        return [join_fields(*(K.pack_counts(x[o[i] : o[i + 1]]) for full, o in zip(rows, offs, strict=True) for x in full)) for i in range(len(offs[0]) - 1)]
+
+    def read(self, blob, sizes: list[int], arrays: int = 1) -> list[list[np.ndarray]]:
+        """A sender's answers: for each section its arrays."""
+        fields = split_fields(blob, arrays * self.sections)
+        return [[K.unpack_counts(f, n) for f in fields[k * arrays : (k + 1) * arrays]] for k, n in enumerate(sizes)]
+
+    #: Arrays that `answer` gives for a section.
+    arrays = 1
+
+
+def _group(table: pa.Table) -> tuple[list[int], list]:
+    """Senders in ascending order and their blobs."""
+    table = table.combine_chunks()
+    order = np.argsort(table.column("block").to_numpy(), kind="stable")
+    return [int(table.column("block")[int(i)].as_py()) for i in order], [table.column("data")[int(i)].as_buffer() for i in order]
+
+
+def _packets(part: int, rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"part": pa.array([part] * len(rows), pa.int32()), "block": pa.array([x[0] for x in rows], pa.int64()), "data": pa.array([x[1] for x in rows], pa.binary())})
+
+
+def own_range(requests: DataFrame, merge: Callable[[int, list[int], list[bytes]], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """Deal packets to the owners of their ranges; merge(part, blocks, blobs) answers (block, blob)."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         part = table.column("part")[0].as_py() if table.num_rows else 0
-        order = np.argsort(table.column("block").to_numpy(), kind="stable")
-        blocks = [int(table.column("block")[int(i)].as_py()) for i in order]
-        blobs = [table.column("data")[int(i)].as_buffer() for i in order]
-        out = list(merge(part, blocks, blobs))
-        return pa.table({"part": pa.array([part] * len(out), pa.int32()), "block": pa.array([x[0] for x in out], pa.int64()), "data": pa.array([x[1] for x in out], pa.binary())})
-
-    return materialize(requests.groupBy("part").applyInArrow(run, PACKET), name, where)
+        return _packets(part, list(merge(part, *_group(table))))
+
+    return requests.groupBy("part").applyInArrow(run, PACKET)
+
+
+def exchange(requests: DataFrame, census: Census, blocks: Blocks, name: str) -> DataFrame:
+    """Answers (part, block, data) to packets.
+
+    With few packets the owners of the ranges answer the blocks. Beyond
+    MOST_PACKETS their number, blocks times ranges, is brought down by a second
+    level: coarse ranges of a group of blocks are united first, and only these
+    unions go to the owners of the fine ranges.
+    """
+
+    def merge(part, senders, blobs):
+        united = census.unite(blobs)
+        answers = []
+        for k, (keys, seconds, sums, _, _) in enumerate(united):
+            answers.append(census.answer(k, keys, seconds, sums))
+            extra = census.extra(k, keys, sums)
+            if extra is not None:
+                yield -1, extra
+        yield from zip(senders, census.scattered(answers, [u[3] for u in united], [u[4] for u in united]), strict=True)
+
+    if not blocks.fine:
+        return materialize(own_range(requests, merge), name, blocks.where)
+    fine, groups, parts = blocks.fine, blocks.groups, blocks.parts
+
+    def union(table: pa.Table) -> pa.Table:
+        """Row part -1 keeps what the group needs to hand answers on; the others are packets for fine ranges."""
+        part, group = table.column("part")[0].as_py(), table.column("grp")[0].as_py()
+        senders, blobs = _group(table)
+        united = census.unite(blobs)
+        me = part * groups + group
+        keep = join_fields(np.array(senders, np.int64).tobytes(), *(x for _, _, _, place, offs in united for x in (place.astype(np.int64).tobytes(), offs.astype(np.int64).tobytes())))
+        low, high = (part << 64) // parts, ((part + 1) << 64) // parts
+        edges = np.array([low + (high - low) * f // fine for f in range(1, fine)], dtype=object).astype(np.uint64) if fine > 1 else np.zeros(0, np.uint64)
+        cuts = [np.concatenate(([0], np.searchsorted(u[0], edges), [len(u[0])])) for u in united]
+        rows = [(-1, keep)]
+        for f in range(fine):
+            if any(c[f + 1] > c[f] for c in cuts):
+                rows.append((part * fine + f, census.encode([(u[0][c[f] : c[f + 1]], u[1][c[f] : c[f + 1]] if census.pairs else None, [v[c[f] : c[f + 1]] for v in u[2]]) for u, c in zip(united, cuts, strict=True)])))
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([me] * len(rows), pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
+
+    coarse = requests.withColumn("grp", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    united = materialize(coarse.groupBy("part", "grp").applyInArrow(union, PACKET), f"{name}_united", blocks.where)
+    answered = materialize(own_range(united.where("part >= 0"), merge), f"{name}_fine", blocks.where)
+
+    def hand_on(batches):
+        for row in one_row_batches(batches):
+            me = row["block"].as_py()
+            part = me // groups
+            kept = split_fields(row["data"].as_buffer(), 1 + 2 * census.sections)
+            senders = np.frombuffer(kept[0], np.int64).tolist()
+            places = [np.frombuffer(kept[1 + 2 * k], np.int64) for k in range(census.sections)]
+            offs = [np.frombuffer(kept[2 + 2 * k], np.int64) for k in range(census.sections)]
+            found = sorted(answers_of(row).items())
+            arrays = census.arrays
+            fields = [split_fields(blob, arrays * census.sections) for _, blob in found]
+            answers = [[np.concatenate([_counts(f[k * arrays + j]) for f in fields]) for j in range(arrays)] for k in range(census.sections)]
+            yield packet_batch_of(part, senders, census.scattered(answers, places, offs))
+
+    back = united.where("part = -1").select("block", "data").join(answered.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers")), "block")
+    out = back.mapInArrow(hand_on, PACKET).union(answered.where("block = -1").select("part", "block", "data"))
+    return materialize(out, name, blocks.where)
+
+
+def _counts(b: bytes) -> np.ndarray:
+    """Counts of `pack_counts` whose number isn't known: a byte each, and eight more for every 255."""
+    raw = np.frombuffer(b, np.uint8)
+    # n bytes, m of them 255, and 8 m more: n + 8 m = len(b); m is found by counting from the front.
+    n, full = len(raw), np.cumsum(raw == 255)
+    at = np.flatnonzero(np.arange(1, n + 1) + 8 * full == n)
+    return K.unpack_counts(b, int(at[0]) + 1) if len(at) else np.zeros(0, np.int64)
+
+
+def packet_batch_of(part: int, blocks: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": pa.array([part] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()), "data": pa.array(blobs, pa.binary())})
 
 
 def visit(blocks: Blocks, answers: DataFrame | None, keep_all: bool = True) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import answers_of, block_text, exchange, join_fields, materialize, one_row_batches, pack, packet_batch, split_fields, visit
+from .store import PACKET, Census, answers_of, block_text, exchange, join_fields, materialize, one_row_batches, own_range, pack, packet_batch, split_fields, visit
 
 GRAM = 16
 WINDOW = 185
@@ -86,25 +86,23 @@ def _block_anchors(row: dict, length: int, window: int):
     return buf, [x[order] for x in found]
 
 
-def _census(part: int, senders: list[int], blobs: list[bytes]):
-    fields = [split_fields(b, 2) for b in blobs]
-    gs = [K.unpack_sorted(f[0]) for f in fields]
-    cut = np.cumsum([0, *map(len, gs)])
-    guard = np.concatenate(gs)
-    context = np.concatenate([np.frombuffer(f[1], np.uint64) for f in fields])
-    order = np.lexsort((context, guard))
-    g, c = guard[order], context[order]
-    new_g = np.concatenate(([True], g[1:] != g[:-1]))
-    new_c = new_g | np.concatenate(([True], c[1:] != c[:-1]))
-    group, pair = np.cumsum(new_g) - 1, np.cumsum(new_c) - 1
-    many_g, many_c = np.bincount(group) > 1, np.bincount(pair) > 1
-    single = many_g[group] & ~many_c[pair]
-    undecided = np.bincount(group, single) > 0
-    code = np.where(~many_g[group], DEAD, np.where(single, COMPARE, np.where(undecided[group] & new_c, WHOLE_SENT, WHOLE))).astype(np.uint8)
-    out = np.empty(len(code), np.uint8)
-    out[order] = code
-    for i, s in enumerate(senders):
-        yield s, out[cut[i] : cut[i + 1]].tobytes()
+class GuardCensus(Census):
+    """What to do with the anchors of each (guard, context); one sender stands for a context that is compared for others' sake."""
+
+    pairs = True
+    first_only = {WHOLE_SENT: WHOLE}
+
+    def answer(self, section, keys, seconds, sums):
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        group = np.cumsum(new) - 1
+        many = np.bincount(group, sums[0]) > 1
+        single = many[group] & (sums[0] == 1)
+        undecided = np.bincount(group, single) > 0
+        return [np.where(~many[group], DEAD, np.where(single, COMPARE, np.where(undecided[group], WHOLE_SENT, WHOLE)))]
+
+
+GUARDS = GuardCensus()
 
 
 def shared_prefix(a: bytes, b: bytes, start: int = 0) -> int:
@@ -254,19 +252,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def ask(batches):
         for row in one_row_batches(batches):
             _, (_, _, _, guard, context) = _block_anchors(row, length, window)
-            cut = K.cut_by_part(guard, parts)
-            use = [p for p in range(parts) if cut[p + 1] > cut[p]]
-            yield packet_batch(row["block"].as_py(), use, [join_fields(K.pack_sorted(guard[cut[p] : cut[p + 1]]), context[cut[p] : cut[p + 1]].tobytes()) for p in use])
+            yield GUARDS.packets(row["block"].as_py(), [(guard, context, [np.ones(len(guard), np.int64)])], parts)
 
     texts = blocks.df.select("block", "offs", "data")
-    codes = exchange(texts.mapInArrow(ask, "part int, block long, data binary"), _census, where, "census")
+    codes = exchange(texts.mapInArrow(ask, PACKET), GUARDS, blocks, "census")
 
     def send(batches):
         for row in one_row_batches(batches):
             got = answers_of(row)
             buf, (at, lo, hi, guard, context) = _block_anchors(row, length, window)
             cut = K.cut_by_part(guard, parts)
-            code = np.concatenate([np.frombuffer(got[p], np.uint8) if cut[p + 1] > cut[p] else np.zeros(0, np.uint8) for p in range(parts)])
+            code = np.concatenate([GUARDS.read(got[p], [int(cut[p + 1] - cut[p])])[0][0] for p in range(parts) if cut[p + 1] > cut[p]] or [np.zeros(0, np.int64)])
             whole = (code == WHOLE) | (code == WHOLE_SENT)
             names, blobs = [-1], [np.stack([lo[whole], hi[whole]]).tobytes()]
             raw = buf.tobytes()
@@ -282,8 +278,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 blobs.append(join_fields(lcp.tobytes(), size.tobytes(), rest, np.array([len(x) for x in lefts], np.uint16).tobytes(), b"".join(lefts), at[i].tobytes(), (at[i] - hi[i]).astype(np.uint16).tobytes(), (code[i] == COMPARE).astype(np.uint8).tobytes()))
             yield packet_batch(row["block"].as_py(), names, blobs)
 
-    sent = materialize(visit(blocks, codes, keep_all=False).select("block", "offs", "data", "answers").mapInArrow(send, "part int, block long, data binary"), "runs", where)
-    found = exchange(sent.where("part >= 0"), _merge(length, window), where, "found")
+    sent = materialize(visit(blocks, codes, keep_all=False).select("block", "offs", "data", "answers").mapInArrow(send, PACKET), "runs", where)
+    found = materialize(own_range(sent.where("part >= 0"), _merge(length, window)), "found", where)
 
     def cut(batches):
         for row in one_row_batches(batches):
