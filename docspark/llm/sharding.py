@@ -35,6 +35,11 @@ SMALL_ROWS = 20_000
 OPTIONS = {"compression": "zstd"}
 
 
+def _inside(path):
+    """A shard's path below its store, whatever the store's own path holds."""
+    return F.regexp_extract(path, "^.*/(data/.*)$", 1)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES):
         self.spark, self.root, self.target = spark, root.rstrip("/"), target_bytes
@@ -81,7 +86,7 @@ class Store:
         """Shards of a finished write: path, rows, bytes."""
         df = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
         found = df.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
-        return [{"path": r.path[r.path.index("/data/") + 1 :], "bytes": r.bytes, "rows": r.rows} for r in found.toLocalIterator()]
+        return [{"path": r.path[r.path.rindex("/data/") + 1 :], "bytes": r.bytes, "rows": r.rows} for r in found.toLocalIterator()]
 
     def append(self, docs: DataFrame) -> dict:
         """Commit arrivals as small shards; rows keep their partitions, so nothing is exchanged."""
@@ -118,7 +123,7 @@ class Store:
         merged = {s["path"] for g in groups for s in g}
         where = self.spark.createDataFrame([(s["path"], k) for k, g in enumerate(groups) for s in g], "path string, shard int")
         rows = self.spark.read.schema(schema).parquet(*(f"{self.root}/{p}" for p in sorted(merged)))
-        path = F.expr("substring(_metadata.file_path, instr(_metadata.file_path, '/data/') + 1)")
+        path = _inside(F.col("_metadata.file_path"))
         body = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), path.alias("path"))
         body = body.join(F.broadcast(where), "path").select("shard", "row")  # a row a shard
         folder = f"{self.root}/data/c-{uuid.uuid4().hex}"
@@ -135,7 +140,7 @@ class Store:
             return self.spark.createDataFrame([], schema).withColumn("shard", F.lit(None).cast("int"))
         number = self.spark.createDataFrame([(s["path"], k) for k, s in enumerate(m["shards"])], "__path string, __shard int")
         rows = self.spark.read.schema(StructType.fromJson(m["schema"])).parquet(*(f"{self.root}/{s['path']}" for s in m["shards"]))
-        rows = rows.withColumn("__path", F.expr("substring(_metadata.file_path, instr(_metadata.file_path, '/data/') + 1)"))
+        rows = rows.withColumn("__path", _inside(F.col("_metadata.file_path")))
         return rows.join(F.broadcast(number), "__path").drop("__path", "shard").withColumnRenamed("__shard", "shard")
 
     def vacuum(self, keep: int = 1) -> int:

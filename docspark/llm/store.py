@@ -36,11 +36,15 @@ BLOCK_ROWS = 1 << 20
 
 
 def workdir(spark: SparkSession) -> str:
-    """A fresh folder name below the shared one; a temporary one only where none is set."""
+    """The URI of a fresh folder below the shared one; below a temporary one only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = f"file://{tempfile.gettempdir()}/docspark-work"
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    # Hadoop writes file:/x, other readers of URIs want file:///x.
+    whole = "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
+    return f"{whole.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:

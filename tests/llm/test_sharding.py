@@ -30,6 +30,12 @@ def test_rows_survive_appends_and_compactions(spark):
     assert store.read().count() == 4 * len(awkward())
 
 
+def test_a_store_below_a_folder_named_data(spark):
+    out = S.shard(frame(spark, awkward()).repartition(6), root=f"{workdir(spark)}/data/data/store")
+    assert out.count() == len(awkward())
+    assert out.where("shard is null").count() == 0
+
+
 def test_similar_sizes_merge_up_to_the_target(spark):
     store = S.Store(spark, workdir(spark), target_bytes=1000)
     shards = [{"path": f"p{k:03}", "bytes": b, "rows": 1} for k, b in enumerate([10] * 150 + [120] * 9 + [400, 499, 500, 700, 1500])]
