@@ -191,7 +191,7 @@ def score(docs: DataFrame, held_out: Column, deleted: Column, id_col: str = "doc
     """
     spark = docs.sparkSession
     role = F.when(held_out, SCORED).when(deleted, DELETED).otherwise(ESTIMATE)
-    blocks = pack(docs, id_col, text_col, role)
+    blocks = pack(docs, id_col, text_col, role, apart=DELETED)
     parts = blocks.parts
     replies = exchange(_requests(blocks), GRAMS, blocks, "counts")
     sums = np.zeros(4, np.int64)
@@ -213,7 +213,8 @@ def score(docs: DataFrame, held_out: Column, deleted: Column, id_col: str = "doc
             yield pa.RecordBatch.from_pydict({"cell": cell, "n": n.astype(np.int64)})
 
     columns = ("block", "ids", "tags", "offs", "data", "answers")
-    held = visit(blocks, replies).select(*columns).mapInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    some = Blocks(blocks.df.where(F.array_contains("tags", DELETED)), blocks.where, 0, 0, parts)
+    held = visit(some, replies).select(*columns).mapInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     weights = learn_weights(held.column("cell").to_numpy(), held.column("n").to_numpy().astype(float))
     log10 = 1 / math.log(10)
 

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,8 +83,8 @@ class Blocks:
 BLOCK_FIELDS = "block long, n int, size long, ids array<long>, tags array<long>, offs binary, data binary"
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None, block_bytes: int | None = None, part_bytes: int = PART_BYTES, most_packets: int | None = None) -> Blocks:
-    """Pack (id, text) rows into a bucketed block table; `tag` is an integer kept beside each row."""
+def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None, block_bytes: int | None = None, part_bytes: int = PART_BYTES, most_packets: int | None = None, apart: int | None = None) -> Blocks:
+    """Pack (id, text) rows into a bucketed block table; `tag` is an integer kept beside each row; rows whose tag is `apart` get blocks of their own."""
     spark = docs.sparkSession
     most_packets = MOST_PACKETS if most_packets is None else most_packets
     block_bytes = BLOCK_BYTES if block_bytes is None else block_bytes
@@ -93,10 +94,11 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None,
         from pyspark import TaskContext
 
         base, k = TaskContext.get().partitionId() << 24, 0
-        ids, tags, texts, size, rows = [], [], [], 0, 0
+        open_: dict[bool, list] = {}  # ids, tags, texts, bytes and rows of the blocks being filled
 
-        def row():
+        def row(kind: bool) -> pa.RecordBatch:
             nonlocal k
+            ids, tags, texts, _, _ = open_.pop(kind)
             text = pa.concat_arrays(texts)
             buf, offs = K.text_column(text)
             out = pa.RecordBatch.from_pydict(
@@ -113,26 +115,31 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None,
             k += 1
             return out
 
-        for b in batches:
-            text = b.column(2)
-            _, offs = K.text_column(text)
-            a = 0
-            while a < b.num_rows:
-                e = int(np.searchsorted(offs, offs[a] + max(0, block_bytes - size), "right")) - 1
-                e = min(b.num_rows, max(e, a + 1 if not size else a), a + BLOCK_ROWS - rows)
-                if e > a:
-                    rows += e - a
-                    ids.append(b.column(0).slice(a, e - a))
-                    tags.append(b.column(1).slice(a, e - a))
-                    texts.append(text.slice(a, e - a).cast(pa.large_binary()))
-                    size += int(offs[e] - offs[a])
-                    a = e
-                if a < b.num_rows or size >= block_bytes:
-                    if texts:
-                        yield row()
-                    ids, tags, texts, size, rows = [], [], [], 0, 0
-        if texts:
-            yield row()
+        def kinds(b: pa.RecordBatch):
+            if apart is None:
+                return [(False, b)]
+            mine = pc.fill_null(pc.equal(b.column(1), apart), False)
+            return [(True, b.filter(mine)), (False, b.filter(pc.invert(mine)))]
+
+        for batch in batches:
+            for kind, b in kinds(batch):
+                text = b.column(2)
+                _, offs = K.text_column(text)
+                a = 0
+                while a < b.num_rows:
+                    ids, tags, texts, size, rows = now = open_.setdefault(kind, [[], [], [], 0, 0])
+                    e = int(np.searchsorted(offs, offs[a] + max(0, block_bytes - size), "right")) - 1
+                    e = min(b.num_rows, max(e, a + 1 if not size else a), a + BLOCK_ROWS - rows)
+                    if e > a:
+                        ids.append(b.column(0).slice(a, e - a))
+                        tags.append(b.column(1).slice(a, e - a))
+                        texts.append(text.slice(a, e - a).cast(pa.large_binary()))
+                        now[3:] = [size + int(offs[e] - offs[a]), rows + e - a]
+                        a = e
+                    if a < b.num_rows or now[3] >= block_bytes:
+                        yield row(kind)
+        for kind in sorted(open_):
+            yield row(kind)
 
     where = workdir(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
