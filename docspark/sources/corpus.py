@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from docspark.functions import text as T
 
 # Extensions taken as text, and folders that are never entered.
-PLAIN = frozenset("md markdown txt rst org tex py rs go js ts java c h cpp sh json yaml yml toml csv".split())
-SUPPORTED = PLAIN | {"html", "htm", "pdf"}
+SUPPORTED = frozenset("txt md markdown rs py ts tsx js jsx go java c h cpp hpp html htm css json yaml yml toml csv pdf".split())
 IGNORED = frozenset({".obsidian", ".git", ".trash", "node_modules"})
 MAX_BYTES = 8 << 20
 LEAST_PDF_CHARS = 40
