@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 BLOCK_BYTES = 4 << 20
-PART_BYTES = 12 << 20
+PART_BYTES = 6 << 20
 #: Packets (blocks times ranges) up to which one level of exchange is used, and blocks a group of the second level has.
 MOST_PACKETS, GROUP_BLOCKS = 20_000_000, 1024
 #: A row's uid is its block id times this plus its place in the block.
