@@ -212,6 +212,11 @@ def _to_hub(rows: DataFrame, percent: int) -> DataFrame:
     return rows.where(f"x.uid <> hub.uid and {_fits('x', 'hub', percent)}").select(*_pairs("x", "hub")).distinct()
 
 
+def _stars(known: DataFrame) -> DataFrame:
+    """Edges (src, dst) of every node to its component's smallest."""
+    return known.where("node <> comp").select(F.col("node").alias("src"), F.col("comp").alias("dst"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, uid (of the row), class (uid of its set's class), component_id.
 
@@ -242,7 +247,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = materialize(_to_hub(held.select("member", F.struct("uid", "n", "place", "bitmap").alias("x")).join(hub.select("member", "hub"), "member"), percent), "tried_0", where)
     links = materialize(verify(tried, sets, percent), "links_0", where)
     for step in range(1, HUB_ROUNDS + 1):
-        comp = components(links, f"{where}/cc_{step}").withColumnRenamed("node", "uid")
+        known = components(links, f"{where}/cc_{step}")
+        comp = known.withColumnRenamed("node", "uid")
         now = materialize(held.join(comp, "uid", "left").withColumn("comp", F.coalesce("comp", "uid")), f"held_{step}", where)
         lists = now.groupBy("member", "comp").agg(F.count("*").alias("k")).groupBy("member").agg(F.count("*").alias("comps"), F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("main")).where("comps > 1")
         lists = materialize(lists.select("member", "all", F.col("main.k").alias("k"), F.col("main.comp").alias("main")), f"lists_{step}", where)
@@ -258,13 +264,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = open_.where("comp <> main").select("member", row.alias("x")).join(pick, "member")
         new = materialize(_to_hub(met, percent).join(tried, ["a", "b"], "left_anti"), f"tried_{step}", where)
         tried = tried.union(new)
-        links = links.union(materialize(verify(new, sets, percent), f"links_{step}", where))
+        # A component goes on as its star, so later rounds don't walk its links again.
+        links = _stars(known).union(materialize(verify(new, sets, percent), f"links_{step}", where))
 
     x, y = open_.where("comp <> main").alias("x"), open_.alias("y")
     cross = x.join(y, F.expr(f"x.member = y.member and x.comp <> y.comp and (y.comp = y.main or x.uid < y.uid) and {_fits('x', 'y', percent)}")).select(*_pairs("x", "y")).distinct()
     rest = materialize(cross.join(tried, ["a", "b"], "left_anti"), "rest", where)
     more = materialize(verify(rest, sets, percent), "links_rest", where)
-    comp = components(links.union(more), where + "/cc")
+    comp = components(_stars(known).union(more), where + "/cc")
 
     by_class = classes.join(comp, classes.cls == comp.node, "left").withColumn("comp", F.coalesce("comp", "cls"))
     by_class = materialize(by_class.select("cls", "least", "comp", "k1", "k2", "n", F.col("node").isNotNull().alias("linked")), "by_class", where)
