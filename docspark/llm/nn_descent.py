@@ -7,11 +7,14 @@
    hyperplane codes; a bucket is cut into pieces of about PIECE nodes.
 3. Descent: every node introduces its neighbours, forward and reverse, to each
    other; a pair that beats either one's worst neighbour enters its list of K.
-   Long reverse lists are cut into pieces, too.
-4. The recall of links is audited by brute force for AUDIT nodes in hash order;
-   below `recall`, more tables and rounds follow, up to ROUNDS of them.
-5. Nodes whose K neighbours all reach the threshold are saturated: their lists are
-   enlarged to their whole component of threshold edges, compared exactly in
+   Long reverse lists are cut into pieces, too. Links among nodes that met
+   count outside the lists of K as well: each piece keeps a spanning forest.
+4. Nodes whose K neighbours all reach the threshold are saturated, and so are their
+   components. The recall of links is audited by brute force for AUDIT nodes in hash
+   order; below `recall`, more tables and rounds follow, up to ROUNDS of them.
+5. Saturated components are compared with one another exactly, block by block;
+   blocks whose balls (a member and the largest angle to it) are too far apart to
+   link are left out. Then lists are enlarged to the whole component, compared in
    blocks of BLOCK x BLOCK that keep counts only, so nothing quadratic is stored.
 
 Cosines are computed in double precision. Defined cases: an empty table gives an
@@ -38,8 +41,11 @@ TABLES = 6
 PIECE = 128
 BLOCK = 1024
 AUDIT, RECALL, ROUNDS = 256, 0.97, 4
+#: Balls larger than this many bytes are compared in slices.
+BALL_BYTES = 32 << 20
 
-GRAPH = "src long, dst long, sim double"
+#: tree: an edge of a piece's spanning forest of links, not of the lists.
+GRAPH = "src long, dst long, sim double, tree boolean"
 
 
 def unit_rows(v: pa.Array, dtype: str) -> np.ndarray:
@@ -50,8 +56,35 @@ def unit_rows(v: pa.Array, dtype: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _table(src, dst, sim) -> pa.Table:
-    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "sim": pa.array(sim, pa.float64())})
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (child, parent) of a spanning forest of the symmetric relation `near`."""
+    child, parent = [], []
+    left = near.any(1)
+    while left.any():
+        front = np.array([left.argmax()])
+        left[front] = False
+        while len(front):
+            reach = near[front]
+            new = np.flatnonzero(reach.any(0) & left)
+            child.append(new)
+            parent.append(front[reach[:, new].argmax(0)])
+            left[new] = False
+            front = new
+    none = np.zeros(0, np.int64)
+    return np.concatenate(child or [none]), np.concatenate(parent or [none])
+
+
+def _table(uid, a, b, s, threshold: float) -> pa.Table:
+    """Edges of the lists, a to b, and the spanning forest of all links of the similarities s."""
+    near = s >= threshold
+    np.fill_diagonal(near, False)
+    x, y = _forest(near)
+    src, dst = np.concatenate((a, x)), np.concatenate((b, y))
+    tree = np.arange(len(src)) >= len(a)
+    return pa.table({"src": pa.array(uid[src], pa.int64()), "dst": pa.array(uid[dst], pa.int64()), "sim": pa.array(s[src, dst], pa.float64()), "tree": pa.array(tree)})
+
+
+EMPTY = pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "sim": pa.array([], pa.float64()), "tree": pa.array([], pa.bool_())})
 
 
 def raw_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
@@ -76,9 +109,13 @@ def raw_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataF
     return rows.mapInArrow(run, "uid long, vec_id long, v binary, dim int"), dtype
 
 
-def bucket_graph(nodes: DataFrame, dtype: str, n: int, tables: range, k: int) -> DataFrame:
-    """Edges to the nearest k of each piece of each bucket."""
-    bits = max(0, min(30, round(math.log2(max(n, 1) / (PIECE / 2)))))
+def code_bits(n: int) -> int:
+    return max(0, min(30, round(math.log2(max(n, 1) / (PIECE / 2)))))
+
+
+def bucket_graph(nodes: DataFrame, dtype: str, n: int, tables: range, k: int, threshold: float) -> DataFrame:
+    """Edges to the nearest k / 2 of each piece of each bucket, to the nearest k if they are links, and the links' forest."""
+    bits = code_bits(n)
 
     def code(batches):
         for b in batches:
@@ -103,12 +140,14 @@ def bucket_graph(nodes: DataFrame, dtype: str, n: int, tables: range, k: int) ->
         uid, x = table.column("uid").to_numpy(), unit_rows(table.column("v"), dtype)
         m = min(k, len(uid) - 1)
         if m < 1:
-            return _table([], [], [])
+            return EMPTY
         s = x @ x.T
         np.fill_diagonal(s, -2)
         top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        rows = np.repeat(np.arange(len(uid)), m)
-        return _table(uid[rows], uid[top.ravel()], s[rows, top.ravel()])
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
+        rows, rank = np.indices(top.shape)
+        keep = (rank < k // 2) | (s[rows, top] >= threshold)
+        return _table(uid, rows[keep], top[keep], s, threshold)
 
     return pieces.groupBy("t", "dim", "code", "piece").applyInArrow(nearest, GRAPH)
 
@@ -119,8 +158,8 @@ def best(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
-def descend(graph: DataFrame, nodes: DataFrame, dtype: str, k: int) -> DataFrame:
-    """New edges found by introducing each node's neighbours to one another."""
+def descend(graph: DataFrame, nodes: DataFrame, dtype: str, k: int, threshold: float) -> DataFrame:
+    """New edges found by introducing each node's neighbours to one another, and the forest of their links."""
     worst = graph.groupBy("src").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("worst"))
     meet = graph.select(F.col("src").alias("u"), F.col("dst").alias("w")).union(graph.select(F.col("dst").alias("u"), F.col("src").alias("w"))).distinct()
     degree = meet.groupBy("u").agg(F.count("*").alias("size")).where(f"size > {PIECE}")
@@ -131,17 +170,17 @@ def descend(graph: DataFrame, nodes: DataFrame, dtype: str, k: int) -> DataFrame
     def introduce(table: pa.Table) -> pa.Table:
         uid, worst = table.column("w").to_numpy(), table.column("worst").to_numpy()
         if len(uid) < 2:
-            return _table([], [], [])
+            return EMPTY
         x = unit_rows(table.column("v"), dtype)
         s = x @ x.T
         a, b = np.nonzero((s > worst[:, None] + 1e-12) & ~np.eye(len(uid), dtype=bool))
-        return _table(uid[a], uid[b], s[a, b])
+        return _table(uid, a, b, s, threshold)
 
     return guests.groupBy("u", "piece").applyInArrow(introduce, GRAPH)
 
 
 def true_links(nodes: DataFrame, queries: list[tuple[int, bytes]], dtype: str, threshold: float) -> DataFrame:
-    """Brute-force links (src, dst) of at most AUDIT query nodes."""
+    """Brute-force links (src, dst) of a bounded set of query nodes."""
     by_dim: dict[int, list[tuple[int, bytes]]] = {}
     for q in queries:
         by_dim.setdefault(len(q[1]), []).append(q)
@@ -154,17 +193,84 @@ def true_links(nodes: DataFrame, queries: list[tuple[int, bytes]], dtype: str, t
                 mine = np.flatnonzero(sizes == d)
                 if len(mine):
                     uid = b.column("uid").to_numpy()[mine]
-                    q, j = np.nonzero(m @ unit_rows(b.column("v").take(pa.array(mine)), dtype).T >= threshold)
-                    keep = ids[q] != uid[j]
-                    yield pa.RecordBatch.from_pydict({"src": pa.array(ids[q][keep]), "dst": pa.array(uid[j][keep])})
+                    x = unit_rows(b.column("v").take(pa.array(mine)), dtype).T
+                    for a in range(0, len(ids), AUDIT):
+                        q, j = np.nonzero(m[a : a + AUDIT] @ x >= threshold)
+                        src = ids[a + q]
+                        keep = src != uid[j]
+                        yield pa.RecordBatch.from_pydict({"src": pa.array(src[keep]), "dst": pa.array(uid[j][keep])})
 
     return nodes.select("uid", "v").mapInArrow(run, "src long, dst long")
 
 
+def _placed(members: DataFrame) -> DataFrame:
+    """Members with `blocks`, the number of their component's blocks, and their own block `at`."""
+    size = members.groupBy("comp").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("blocks"))
+    return members.join(size, "comp").withColumn("at", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+
+
+def cross_links(members: DataFrame, dtype: str, threshold: float, where: str) -> DataFrame:
+    """A link (src, dst) of every two blocks of different components of (comp, uid, v) that have any, exactly."""
+    placed = materialize(_placed(members).select("comp", "at", "uid", "v"), "placed", where)
+    pivot = placed.groupBy("comp", "at").agg(F.min_by("v", "uid").alias("c"))
+
+    def angles(batches):
+        for b in batches:
+            size = np.array([len(x.as_buffer()) for x in b.column("c")])
+            for d in np.unique(size):  # one length a component
+                mine = b.filter(pa.array(size == d))
+                s = (unit_rows(mine.column("c"), dtype) * unit_rows(mine.column("v"), dtype)).sum(1)
+                yield pa.RecordBatch.from_arrays([mine.column("comp"), mine.column("at"), pa.array(np.arccos(np.clip(s, -1, 1)))], ["comp", "at", "r"])
+
+    radius = placed.join(pivot, ["comp", "at"]).select("comp", "at", "c", "v").mapInArrow(angles, "comp long, at int, r double").groupBy("comp", "at").agg(F.max("r").alias("r"))
+    balls = materialize(pivot.join(radius, ["comp", "at"]), "balls", where)
+    slices = max(1, -(-(balls.agg(F.sum(F.length("c"))).first()[0] or 0) * 2 // BALL_BYTES))
+    #: Angles from cosines near 1 are off by up to about 1e-8.
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+
+    def near(part: pa.Table) -> DataFrame:
+        mats = {}
+        size = np.array([len(x.as_buffer()) for x in part.column("c").combine_chunks()])
+        for d in np.unique(size):
+            mine = part.filter(pa.array(size == d))
+            mats[int(d)] = (mine.column("comp").to_numpy(), mine.column("at").to_numpy(), mine.column("r").to_numpy(), unit_rows(mine.column("c"), dtype))
+
+        def run(batches):
+            for b in batches:
+                size = np.array([len(x.as_buffer()) for x in b.column("c")])
+                for d, (comp, at, r, m) in mats.items():
+                    mine = b.filter(pa.array(size == d))
+                    if not mine.num_rows:
+                        continue
+                    x, xr, xc, xa = unit_rows(mine.column("c"), dtype), mine.column("r").to_numpy(), mine.column("comp").to_numpy(), mine.column("at").to_numpy()
+                    for a in range(0, len(x), AUDIT):
+                        far = np.cos(np.minimum(xr[a : a + AUDIT, None] + r[None, :] + reach, math.pi))
+                        i, j = np.nonzero((x[a : a + AUDIT] @ m.T >= far) & (xc[a : a + AUDIT, None] < comp[None, :]))
+                        yield pa.RecordBatch.from_pydict({"comp": pa.array(xc[a + i]), "at": pa.array(xa[a + i]), "comp2": pa.array(comp[j]), "at2": pa.array(at[j])})
+
+        return balls.mapInArrow(run, "comp long, at int, comp2 long, at2 int")
+
+    pairs = None
+    for s in range(slices):
+        part = near(balls.where(F.pmod(F.xxhash64("comp", "at"), F.lit(slices)) == s).toArrow())
+        pairs = part if pairs is None else pairs.union(part)
+    pairs = materialize(pairs, "ball_pairs", where)
+    key = ["comp", "at", "comp2", "at2"]
+    left = pairs.join(placed, ["comp", "at"]).select(*key, F.lit(True).alias("row"), "uid", "v")
+    right = pairs.join(placed.select(F.col("comp").alias("comp2"), F.col("at").alias("at2"), "uid", "v"), ["comp2", "at2"]).select(*key, F.lit(False).alias("row"), "uid", "v")
+
+    def run(table: pa.Table) -> pa.Table:
+        row = np.array(table.column("row").to_pylist(), bool)
+        uid, x = table.column("uid").to_numpy(), unit_rows(table.column("v"), dtype)
+        a, b = np.nonzero(x[row] @ x[~row].T >= threshold)
+        return pa.table({"src": pa.array(uid[row][a[:1]], pa.int64()), "dst": pa.array(uid[~row][b[:1]], pa.int64())})
+
+    return left.union(right).groupBy(*key).applyInArrow(run, "src long, dst long")
+
+
 def _exact_counts(members: DataFrame, dtype: str, threshold: float) -> DataFrame:
     """(uid, n): multiplicities that each node of (comp, uid, v, mult) links to in its component, itself excluded."""
-    size = members.groupBy("comp").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("blocks"))
-    placed = members.join(size, "comp").withColumn("at", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    placed = _placed(members)
     left = placed.select("comp", F.col("at").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("row"), "uid", "v", "mult")
     right = placed.select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("at").alias("j"), F.lit(False).alias("row"), "uid", "v", "mult")
 
@@ -195,15 +301,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     queries = [(r.uid, bytes(r.v)) for r in nodes.select("uid", "v").orderBy(F.xxhash64("sha"), "uid").limit(AUDIT).toLocalIterator()]
     truth = materialize(true_links(nodes, queries, dtype, threshold), "truth", where)
     n_true = truth.count()
-    graph, measured = None, 0.0
+    graph, trees, measured = None, None, 0.0
     for step in range(ROUNDS):
-        new = bucket_graph(nodes, dtype, n, range(step * TABLES, (step + 1) * TABLES), k // 2)
-        graph = materialize(best(new if graph is None else graph.union(new), k), f"graph_{step}a", where)
-        graph = materialize(best(graph.union(descend(graph, nodes, dtype, k)), k), f"graph_{step}b", where)
+        for part in "ab":
+            new = bucket_graph(nodes, dtype, n, range(step * TABLES, (step + 1) * TABLES), k, threshold) if part == "a" else descend(graph, nodes, dtype, k, threshold)
+            new = materialize(new, f"edges_{step}{part}", where)
+            lists, tree = new.where("not tree").drop("tree"), new.where("tree").select("src", "dst")
+            graph = materialize(best(lists if graph is None else graph.union(lists), k), f"graph_{step}{part}", where)
+            trees = tree if trees is None else trees.union(tree)
         links = graph.where(F.col("sim") >= threshold)
         #: A saturated node's whole component will be compared, so its links count as found.
         full = links.groupBy("src").agg(F.count("*").alias("c")).where(f"c >= {k}").select("src")
-        links = materialize(links.select("src", "dst").union(links.select("dst", "src")).distinct(), f"links_{step}", where)
+        links = links.select("src", "dst").union(trees)
+        links = materialize(links.union(links.select("dst", "src")).distinct(), f"links_{step}", where)
         comp = components(links, f"{where}/cc_{step}")
         saturated = materialize(comp.join(full, comp.node == full.src, "left_semi").select("comp").distinct(), f"saturated_{step}", where)
         asked = truth.join(comp.select(F.col("node").alias("src"), F.col("comp").alias("cs")), "src", "left").join(comp.select(F.col("node").alias("dst"), F.col("comp").alias("cd")), "dst", "left")
@@ -213,6 +323,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         if measured >= recall:
             break
     member = comp.join(nodes, comp.node == nodes.uid).select("comp", "uid", "v", "mult", "least")
+    met = materialize(cross_links(member.join(saturated, "comp", "left_semi"), dtype, threshold, where), "cross", where)
+    if met.limit(1).count():
+        #: A component goes on as its star.
+        star = comp.where("node <> comp").select(F.col("node").alias("src"), F.col("comp").alias("dst"))
+        old, comp = comp, components(star.union(met), f"{where}/cc")
+        saturated = materialize(comp.join(old.join(saturated, "comp", "left_semi").select("node"), "node", "left_semi").select("comp").distinct(), "saturated", where)
+        member = comp.join(nodes, comp.node == nodes.uid).select("comp", "uid", "v", "mult", "least")
     some = member.join(saturated, "comp", "left_anti").select("uid")
     exact = _exact_counts(member.join(saturated, "comp", "left_semi"), dtype, threshold)
     plain = links.join(some, links.src == some.uid, "left_semi").join(nodes.select(F.col("uid").alias("dst"), "mult"), "dst").groupBy(F.col("src").alias("uid")).agg(F.sum("mult").alias("n"))

@@ -64,3 +64,27 @@ def test_empty_table_and_all_equal(spark):
     assert N.near_duplicates(frame(spark, [])).count() == 0
     got = N.near_duplicates(frame(spark, [(k, [1.0, 0.5]) for k in range(40)])).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(39, 0)}
+
+
+def equals_brute(got, rows):
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=key) == sorted(brute(rows, N.THRESHOLD), key=key)
+
+
+def twins(size, dims=16):
+    """Two dense groups of `size` vectors at cosine 0.97 of one another."""
+    rng = np.random.default_rng(5)
+    a, b = np.eye(dims)[0], 0.97 * np.eye(dims)[0] + np.sqrt(1 - 0.97**2) * np.eye(dims)[1]
+    out = [(c + rng.normal(size=dims) * 0.002).astype(np.float32).tolist() for c in (a, b) for _ in range(size)]
+    return list(enumerate(out))
+
+
+def test_links_between_saturated_groups(spark):
+    rows = twins(20)
+    assert {n for _, n, _ in brute(rows, N.THRESHOLD)} == {39}
+    equals_brute(N.near_duplicates(frame(spark, rows)).collect(), rows)
+
+
+def test_saturated_groups_that_never_met(spark, monkeypatch):
+    rows, buckets = twins(20), N.bucket_graph
+    monkeypatch.setattr(N, "bucket_graph", lambda nodes, *a: buckets(nodes.where("least < 20"), *a).union(buckets(nodes.where("least >= 20"), *a)))
+    equals_brute(N.near_duplicates(frame(spark, rows)).collect(), rows)
