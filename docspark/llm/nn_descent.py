@@ -4,14 +4,18 @@
    null or non-finite components) take no part. Vectors of different lengths
    never link.
 2. A first graph joins the nearest of a bucket in several tables of random
-   hyperplane codes; a bucket is cut into pieces of about PIECE nodes.
+   hyperplane codes; a bucket is cut into pieces of about PIECE nodes. The tables
+   grow with log n, so that a pair at the threshold meets with probability `recall`.
 3. Descent: every node introduces its neighbours, forward and reverse, to each
    other; a pair that beats either one's worst neighbour enters its list of K.
    Long reverse lists are cut into pieces, too. Links among nodes that met
    count outside the lists of K as well: each piece keeps a spanning forest.
 4. Nodes whose K neighbours all reach the threshold are saturated, and so are their
-   components. The recall of links is audited by brute force for AUDIT nodes in hash
-   order; below `recall`, more tables and rounds follow, up to ROUNDS of them.
+   components. The recall of links is audited by brute force as the mean over nodes
+   that have links, apart for nodes outside saturated components (OUTSIDE x AUDIT
+   of them in hash order) and inside (AUDIT); the lesser counts. Below `recall`,
+   more tables and rounds follow, up to ROUNDS of them; then every node's component
+   is taken as saturated, which makes the result exact.
 5. Saturated components are compared with one another exactly, block by block;
    blocks whose balls (a member and the largest angle to it) are too far apart to
    link are left out. Then lists are enlarged to the whole component, compared in
@@ -41,6 +45,7 @@ TABLES = 6
 PIECE = 128
 BLOCK = 1024
 AUDIT, RECALL, ROUNDS = 256, 0.97, 4
+OUTSIDE = 16
 #: Balls larger than this many bytes are compared in slices.
 BALL_BYTES = 32 << 20
 
@@ -113,6 +118,14 @@ def code_bits(n: int) -> int:
     return max(0, min(30, round(math.log2(max(n, 1) / (PIECE / 2)))))
 
 
+def tables_needed(n: int, threshold: float, recall: float) -> int:
+    """Tables in which a pair at the threshold shares a bucket at least once with probability `recall`; TABLES at least."""
+    meets = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** code_bits(n)
+    if meets >= 1 or recall >= 1:
+        return TABLES
+    return max(TABLES, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
+
+
 def bucket_graph(nodes: DataFrame, dtype: str, n: int, tables: range, k: int, threshold: float) -> DataFrame:
     """Edges to the nearest k / 2 of each piece of each bucket, to the nearest k if they are links, and the links' forest."""
     bits = code_bits(n)
@@ -203,6 +216,26 @@ def true_links(nodes: DataFrame, queries: list[tuple[int, bytes]], dtype: str, t
     return nodes.select("uid", "v").mapInArrow(run, "src long, dst long")
 
 
+def audit(nodes: DataFrame, comp: DataFrame, saturated: DataFrame, links: DataFrame, dtype: str, threshold: float, where: str) -> float:
+    """Mean recall over audited nodes with links; the lesser of those outside and inside saturated components.
+
+    Saturated components will be compared with one another, so links between their members count as found.
+    """
+    inside = comp.join(saturated, "comp", "left_semi").select(F.col("node").alias("uid"), F.lit(True).alias("sat"))
+    placed = nodes.select("uid", "v", "sha").join(inside, "uid", "left").withColumn("sat", F.coalesce("sat", F.lit(False)))
+    first = F.xxhash64("sha")
+    queries = []
+    for sat, most in ((False, OUTSIDE * AUDIT), (True, AUDIT)):
+        queries += [(r.uid, bytes(r.v)) for r in placed.where(F.col("sat") == sat).orderBy(first, "uid").limit(most).select("uid", "v").toLocalIterator()]
+    truth = materialize(true_links(nodes, queries, dtype, threshold), "truth", where)
+    asked = truth.join(placed.select(F.col("uid").alias("src"), F.col("sat").alias("ss")), "src").join(placed.select(F.col("uid").alias("dst"), F.col("sat").alias("ds")), "dst")
+    asked = asked.join(links.withColumn("hit", F.lit(True)), ["src", "dst"], "left")
+    found = F.when(F.coalesce("hit", F.lit(False)) | (F.col("ss") & F.col("ds")), 1.0).otherwise(0.0)
+    per_node = asked.groupBy("src", "ss").agg(F.avg(found).alias("r"))
+    worst = per_node.groupBy("ss").agg(F.avg("r").alias("r")).agg(F.min("r")).first()[0]
+    return 1.0 if worst is None else worst
+
+
 def _placed(members: DataFrame) -> DataFrame:
     """Members with `blocks`, the number of their component's blocks, and their own block `at`."""
     size = members.groupBy("comp").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("blocks"))
@@ -298,13 +331,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = rows.where("v is not null").groupBy("sha").agg(F.min("uid").alias("uid"), F.min("vec_id").alias("least"), F.first("v").alias("v"), F.first("dim").alias("dim"), F.count("*").alias("mult"))
     nodes = materialize(nodes, "nodes", where)
     n = nodes.count()
-    queries = [(r.uid, bytes(r.v)) for r in nodes.select("uid", "v").orderBy(F.xxhash64("sha"), "uid").limit(AUDIT).toLocalIterator()]
-    truth = materialize(true_links(nodes, queries, dtype, threshold), "truth", where)
-    n_true = truth.count()
+    tables = tables_needed(n, threshold, recall)
     graph, trees, measured = None, None, 0.0
     for step in range(ROUNDS):
         for part in "ab":
-            new = bucket_graph(nodes, dtype, n, range(step * TABLES, (step + 1) * TABLES), k, threshold) if part == "a" else descend(graph, nodes, dtype, k, threshold)
+            new = bucket_graph(nodes, dtype, n, range(step * tables, (step + 1) * tables), k, threshold) if part == "a" else descend(graph, nodes, dtype, k, threshold)
             new = materialize(new, f"edges_{step}{part}", where)
             lists, tree = new.where("not tree").drop("tree"), new.where("tree").select("src", "dst")
             graph = materialize(best(lists if graph is None else graph.union(lists), k), f"graph_{step}{part}", where)
@@ -316,16 +347,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         links = materialize(links.union(links.select("dst", "src")).distinct(), f"links_{step}", where)
         comp = components(links, f"{where}/cc_{step}")
         saturated = materialize(comp.join(full, comp.node == full.src, "left_semi").select("comp").distinct(), f"saturated_{step}", where)
-        asked = truth.join(comp.select(F.col("node").alias("src"), F.col("comp").alias("cs")), "src", "left").join(comp.select(F.col("node").alias("dst"), F.col("comp").alias("cd")), "dst", "left")
-        asked = asked.join(saturated.select(F.col("comp").alias("cs"), F.lit(True).alias("sat")), "cs", "left").join(links.withColumn("hit", F.lit(True)), ["src", "dst"], "left")
-        found = asked.where("hit or (sat and cs = cd)").count()
-        measured = found / n_true if n_true else 1.0
+        measured = audit(nodes, comp, saturated, links, dtype, threshold, f"{where}/audit_{step}")
         if measured >= recall:
             break
+    exact_all = measured < recall
+    if exact_all:
+        comp = nodes.select(F.col("uid").alias("node")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        comp = materialize(comp, "comp_all", where)
+        saturated, measured = comp.select("comp").distinct(), 1.0
     member = comp.join(nodes, comp.node == nodes.uid).select("comp", "uid", "v", "mult", "least")
     met = materialize(cross_links(member.join(saturated, "comp", "left_semi"), dtype, threshold, where), "cross", where)
-    if met.limit(1).count():
-        #: A component goes on as its star.
+    if exact_all or met.limit(1).count():
+        #: A component goes on as its star; nodes without any link drop out.
         star = comp.where("node <> comp").select(F.col("node").alias("src"), F.col("comp").alias("dst"))
         old, comp = comp, components(star.union(met), f"{where}/cc")
         saturated = materialize(comp.join(old.join(saturated, "comp", "left_semi").select("node"), "node", "left_semi").select("comp").distinct(), "saturated", where)

@@ -88,3 +88,19 @@ def test_saturated_groups_that_never_met(spark, monkeypatch):
     rows, buckets = twins(20), N.bucket_graph
     monkeypatch.setattr(N, "bucket_graph", lambda nodes, *a: buckets(nodes.where("least < 20"), *a).union(buckets(nodes.where("least >= 20"), *a)))
     equals_brute(N.near_duplicates(frame(spark, rows)).collect(), rows)
+
+
+def test_missed_pairs_beside_a_hot_group_are_audited(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pairs = [v for v in rng.normal(size=(30, 16)) for _ in range(2)]
+    vectors = [np.eye(16)[0] + rng.normal(size=16) * 0.02 for _ in range(60)] + [v + rng.normal(size=16) * 0.05 for v in pairs]
+    rows = [(k, v.astype(np.float32).tolist()) for k, v in enumerate(vectors)]
+    buckets, descent = N.bucket_graph, N.descend
+    monkeypatch.setattr(N, "bucket_graph", lambda nodes, *a: buckets(nodes.where("least < 60"), *a))
+    monkeypatch.setattr(N, "descend", lambda graph, nodes, *a: descent(graph, nodes.where("least < 60"), *a))
+    equals_brute(N.near_duplicates(frame(spark, rows)).collect(), rows)
+
+
+def test_tables_grow_with_the_table(spark):
+    met = (1 - np.arccos(N.THRESHOLD) / np.pi) ** N.code_bits(10**6)
+    assert 1 - (1 - met) ** N.tables_needed(10**6, N.THRESHOLD, N.RECALL) >= N.RECALL
