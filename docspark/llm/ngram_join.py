@@ -218,7 +218,7 @@ def _stars(known: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_shingles, uid (of the row), class (uid of its set's class), component_id.
+    """One row per document: doc_id, text_hash, n_shingles, uid (of the row), class (uid of its set's class), component (least class uid), component_id.
 
     Links are pairs with 100 * overlap >= percent * union of their shingle sets;
     component_id is the smallest doc_id reachable by links.
@@ -276,17 +276,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_class = classes.join(comp, classes.cls == comp.node, "left").withColumn("comp", F.coalesce("comp", "cls"))
     by_class = materialize(by_class.select("cls", "least", "comp", "k1", "k2", "n", F.col("node").isNotNull().alias("linked")), "by_class", where)
     best = by_class.where("linked").groupBy("comp").agg(F.min("least").alias("component"))
-    named = by_class.join(best, "comp", "left").select("k1", "k2", "n", "cls", F.coalesce("component", "least").alias("component"))
+    named = by_class.join(best, "comp", "left").select("k1", "k2", "n", "cls", "comp", F.coalesce("component", "least").alias("named"))
     named = materialize(named, "named", where)
     out = rows.join(named, ["k1", "k2", "n"], "left")
-    return out.select(F.col("id").alias("doc_id"), "text_hash", F.col("n").alias("n_shingles"), "uid", F.coalesce("cls", "uid").alias("class"), F.coalesce("component", "id").alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), "text_hash", F.col("n").alias("n_shingles"), "uid", F.coalesce("cls", "uid").alias("class"), F.coalesce("comp", "uid").alias("component"), F.coalesce("named", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Rows of docs, one of each component: a row of its smallest id. Texts without words all stay."""
     found = near_duplicates(docs, id_col, text_col, words, percent)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid", "text_hash")  # a null id comes last
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(order).alias("x")).select("x.doc_id", "x.text_hash")
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("x")).select("x.doc_id", "x.text_hash")
     stays = first.union(found.where("n_shingles = 0").select("doc_id", "text_hash")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("__rows"))
     stays = stays.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__rows")
     rows = docs.withColumn("__key", F.xxhash64(text_col))

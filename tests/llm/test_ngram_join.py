@@ -116,3 +116,11 @@ def test_result_has_one_row_a_document(spark):
     out = J.near_duplicates(frame(spark, awkward()))
     assert out.count() == out.select("uid").distinct().count() == len(awkward())
     assert out.where(F.col("n_shingles") == 0).where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).count() == 0
+
+
+def test_keep_one_keeps_unlinked_texts_of_null_and_equal_ids(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, 60, 9000) for _ in range(6)]
+    rows = [(None, t, "en", "a") for t in texts[:4]] + [(None, texts[0], "en", "a")] + [(7, t, "en", "a") for t in texts[4:]]
+    got = J.keep_one(frame(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter([(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:]])
