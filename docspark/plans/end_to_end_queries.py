@@ -7,11 +7,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docspark.operators import ingest as I
+from docspark.operators.vector_search import QUERY_BYTES
 from docspark.plans import portal, retrieval
 from docspark.sources.tables import spread
 
 QUERIES, ORACLE_SQL = {}, {}
 
+#: A larger query set is embedded and scored in slices of about this many queries, or of QUERY_BYTES of text.
+QUERIES_AT_ONCE = 10_000
+
 
 def _q(name: str, sql: str | None = None):
     def put(f):
@@ -40,9 +44,15 @@ def _corpus(spark, d):
 
 def _legs(spark, d, k=10):
     files, chunks, vectors, items, provider = _corpus(spark, d)
-    asked = [(r.query_id, r.text) for r in items.orderBy("query_id").limit(10_000).toLocalIterator()]  # the query set
-    q = retrieval.embed_queries(provider, asked, 64, provider.identity())
-    semantic = retrieval.file_scores(files, chunks, vectors, q, k)
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    slices = max(1, -(-n // QUERIES_AT_ONCE), -(-size // QUERY_BYTES))
+    semantic = None
+    for s in range(slices):
+        mine = items.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s)
+        asked = [(r.query_id, r.text) for r in mine.orderBy("query_id").toLocalIterator()]
+        q = retrieval.embed_queries(provider, asked, 64, provider.identity())
+        part = retrieval.file_scores(files, chunks, vectors, q, k)
+        semantic = part if semantic is None else semantic.union(part)
     return files, items, retrieval.all_legs(files, items, k, semantic)
 
 

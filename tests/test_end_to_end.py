@@ -89,3 +89,13 @@ def test_evaluation_and_status(spark):
     assert got["tax"].win_recency == 1 and got["tax"].tie_keyword == 1
     status = {(r.what, r.detail): r.n for r in retrieval.status(spark, files.withColumn("extract_status", F.lit("extracted")), chunks, vectors).collect()}
     assert status == {("files", "extracted"): 4, ("chunks", None): 3, ("vectors", "hashing:32"): 3}
+
+
+def test_every_query_of_a_large_set_has_a_semantic_leg(spark, tmp_path):
+    from docspark.plans import end_to_end_queries as Q
+
+    n = 10_050
+    spark.createDataFrame([(1, "tax notes of spring", "a"), (2, "an invoice for consulting", "b")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).select(F.col("id").alias("item_id"), F.concat(F.lit("invoice "), F.col("id")).alias("text")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    legs = Q.search_all_legs(spark, str(tmp_path)).where("leg = 'semantic'")
+    assert legs.select("query_id").distinct().count() == n
