@@ -10,6 +10,9 @@ from docspark.operators import vector_search as S
 
 QUERIES, ORACLE_SQL = {}, {}
 
+#: Cells are probed until recall, measured on so many queries by hash order, reaches this.
+LEAST_RECALL, RECALL_QUERIES = 0.9, 1024
+
 
 def _q(name: str, sql: str | None = None):
     def put(f):
@@ -133,8 +136,15 @@ def capacity_estimate(spark, d):
 
 @_q("knn_centroid_cells")
 def knn_centroid_cells(spark, d):
+    """Every vec_id divisible by 20 asks as many cells as its recall needs, held against exact search; 4 at least."""
     v = _vectors(spark, d)
-    return S.CentroidIndex(v, 8).search(_probe(v), 10, probe=4)
+    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = S.CentroidIndex(v, 8)
+    some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(RECALL_QUERIES).persist()  # what recall is measured on; all are asked
+    recall = index.recalls(some, S.knn_batch(v, some, 10))
+    some.unpersist()
+    probe = next(p for p in range(4, len(recall) + 1) if recall[p - 1] >= LEAST_RECALL or p == len(recall))
+    return index.search_batch(queries, 10, probe)
 
 
 @_q("cluster_suggestions")

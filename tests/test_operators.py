@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -217,3 +218,17 @@ def test_corpus_fingerprint_ignores_order(spark):
     a = spark.createDataFrame([(k, f"h{k}") for k in range(300)], "path long, h string")
     f = lambda df: I.content_fingerprint(df, ["path", "h"]).first().fingerprint
     assert f(a) == f(a.orderBy(F.desc("path")).repartition(7)) != f(a.where("path > 0"))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_centroid_cells_ask_all_queries_at_recall(spark):
+    from docspark.operators import vector_search as S
+    from docspark.plans import vector_queries as Q
+
+    d = "/root/testdata/sf0.1"
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    asked = v.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as vector")
+    exact, got = ({(r.query_id, r.vec_id) for r in x.collect()} for x in (S.knn_batch(v, asked, 10), Q.knn_centroid_cells(spark, d)))
+    assert len(exact) == 10 * asked.count() and {q for q, _ in got} == {q for q, _ in exact}
+    assert len(got & exact) / len(exact) >= 0.9
+    print("recall", len(got & exact) / len(exact))
