@@ -1,11 +1,11 @@
-"""Sharding by size-tiered compaction under a versioned manifest.
+"""Sharding by bin-packing compaction under a versioned manifest.
 
 A store is a folder: `data/` holds immutable Parquet shards, `manifest/` one
 JSON file a version. `append` writes arrivals as small shards, one or more a
-task. `compact` puts the live shards that are smaller than the target into tiers
-by size (a factor of FANOUT each), and merges runs of a tier, and of neighbouring
-tiers while a target-sized file isn't full, into files of about the target size;
-shards of at least half the target stay as they are. A version is committed by
+task. `compact` takes the live shards smaller than half the target, largest first, and
+packs them into files of about the target size in one pass (bin packing; the tier
+in the sort key orders like the size and doesn't hold back a merge); shards of at
+least half the target stay as they are. A version is committed by
 renaming a finished manifest into place under the next number, which fails if
 another writer took it; readers see the shards of one manifest only, so a job
 that dies leaves the last version untouched, and unreferenced files are removed
@@ -102,7 +102,7 @@ class Store:
         return max(0, math.ceil(math.log(max(self.target / max(size, 1), 1), FANOUT)))
 
     def plan(self, shards: list[dict]) -> list[list[dict]]:
-        """Groups of shards to merge: similar sizes first, each group up to the target."""
+        """Groups of shards to merge: largest first, each group up to the target."""
         small = sorted((s for s in shards if s["bytes"] < self.target / 2), key=lambda s: (self.tier(s["bytes"]), -s["bytes"], s["path"]))
         groups, size = [[]], 0
         for s in small:
