@@ -114,9 +114,12 @@ def _words(buf: np.ndarray, offs: np.ndarray):
         nxt = np.concatenate((starts[1:], [len(buf)]))
         stop = stop | (line[nxt] > line[ends])
     s, e = starts.copy(), ends.copy()
-    for _ in range(4):
-        s += (s < e) & PUNCT[buf[np.minimum(s, len(buf) - 1)]]
-        e -= (e > s) & PUNCT[buf[np.maximum(e - 1, 0)]]
+    todo = np.arange(len(s))
+    while len(todo := (t := todo[s[todo] < e[todo]])[PUNCT[buf[s[t]]]]):
+        s[todo] += 1
+    todo = np.arange(len(s))
+    while len(todo := (t := todo[s[todo] < e[todo]])[PUNCT[buf[e[t] - 1]]]):
+        e[todo] -= 1
     return s, e, at, stop
 
 

@@ -97,3 +97,11 @@ def test_without_labels(spark):
     assert {r.score for r in run(spark, rows, [])} == {0.0}
     assert {r.score for r in run(spark, rows, [(k, 0) for k in range(20)])} == {0.0}
     assert run(spark, [], []) == []
+
+
+def test_any_number_of_outer_marks(spark):
+    m = model()
+    for text in ("you idiot", "***** you!!!!!! *****idiot", "'\"((([[[you]]])))\"' --------idiot--------", "you idiot " + "-" * 5000):
+        assert marks(m, text)[0] > 0
+    assert marks(m, "*****idiot")[0] == marks(m, "idiot")[0]
+    assert marks(m, "kill '''''you'''''")[0] == marks(m, "kill you")[0] > 0
