@@ -11,24 +11,44 @@ from .store import drop_dir, materialize
 def components(edges: DataFrame, where: str) -> DataFrame:
     """(node, comp): comp is the smallest node reachable by edges (src, dst), for every node with an edge.
 
-    Each round gives a node the smallest label of its neighbours and then the
-    label of that label, so the rounds grow with the logarithm of a chain's
-    length; every round is written to the shared folder. Self loops are nodes
-    without links; an empty edge list gives an empty result.
+    A round hooks every node to its smallest neighbour, if that is smaller, finds
+    the roots of these hooks by pointer doubling, and contracts the graph to the
+    roots. A root that no node joins has, in the next round, only smaller
+    neighbours and joins one of them, so two rounds at least halve the nodes of a
+    component, and a round's doublings are the logarithm of its longest chain of
+    hooks. Edges and nodes shrink from round to round; the maps from node to root
+    are chained at the end, the small ones first. A hub is one key of joins whose
+    other side has a row a key, so Spark can split it. Everything a round makes is
+    written to the shared folder.
+
+    Self loops are nodes without links; an empty edge list gives an empty result.
     """
     spark = edges.sparkSession
-    both = materialize(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "cc_edges", where)
-    labels = materialize(both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("comp")).withColumnRenamed("src", "node"), "cc_0", where)
-    k = 0
+    pair = lambda x, y: [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+    live = materialize(edges.select(*pair("src", "dst")).distinct(), "cc_live_0", where)
+    maps: list[DataFrame] = []
     while True:
-        near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("comp").alias("near"))
-        new = labels.join(near, labels.node == near.src).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        jump = labels.select(F.col("node").alias("at"), F.col("comp").alias("further"))
-        new = new.join(jump, new.comp == jump.at, "left").select("node", F.least("comp", F.coalesce("further", "comp")).alias("comp"), "old")
-        k += 1
-        new = materialize(new, f"cc_{k}", where)
-        changed = new.where("comp <> old").limit(1).count()
-        drop_dir(spark, f"{where}/cc_{k - 1}")
-        labels = new.select("node", "comp")
-        if not changed:
-            return labels
+        k = len(maps)
+        ends = live.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(live.select("b", "b"))
+        hooks, step, moved = materialize(ends.groupBy("node").agg(F.min("comp").alias("comp")), f"cc_hooks_{k}_0", where), 0, 1
+        while moved:
+            step += 1
+            further = hooks.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+            new = hooks.join(further, "comp").select("node", F.col("root").alias("comp"), (F.col("root") != F.col("comp")).alias("moved"))
+            new = materialize(new, f"cc_hooks_{k}_{step}", where)
+            drop_dir(spark, f"{where}/cc_hooks_{k}_{step - 1}")
+            moved = new.where("moved").limit(1).count()
+            hooks = new.select("node", "comp")
+        maps.append(hooks)
+        x, y = hooks.toDF("a", "x"), hooks.toDF("b", "y")
+        left = live.join(x, "a").join(y, "b").where("x <> y").select(*pair("x", "y")).distinct()
+        live = materialize(left, f"cc_live_{k + 1}", where)
+        drop_dir(spark, f"{where}/cc_live_{k}")
+        if not live.limit(1).count():
+            break
+    found = maps.pop()
+    while maps:
+        last = found.toDF("comp", "root")
+        found = maps.pop().join(last, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+        found = materialize(found, f"cc_chain_{len(maps)}", where)
+    return found

@@ -14,6 +14,7 @@ owner of the range merges them and answers each sender in its own order.
 from __future__ import annotations
 
 import math
+import re
 import struct
 import tempfile
 import uuid
@@ -28,17 +29,28 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
+#: Bytes of a block and of a hash range's keys where a task has up to 1 GB; both grow with a task's memory, up to 16 times.
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 6 << 20
+#: Bytes of input that a bucket of the block table is meant to hold, buckets that a task writes to, and most buckets that Spark takes.
+BUCKET_BYTES, TASK_BUCKETS, MOST_BUCKETS = 128 << 20, 2, 100_000
 #: Packets (blocks times ranges) up to which one level of exchange is used, and blocks a group of the second level has.
 MOST_PACKETS, GROUP_BLOCKS = 20_000_000, 1024
-#: A row's uid is its block id times this plus its place in the block.
-BLOCK_ROWS = 1 << 20
+#: A row's uid is its block id times this plus its place in the block; a block's id is its task's times TASK_BLOCKS plus its number.
+#: The product leaves 23 bits for the task.
+BLOCK_ROWS = 1 << 16
+TASK_BLOCKS = 1 << 24
+MOST_TASKS = 1 << 23
 
 
 def workdir(spark: SparkSession) -> str:
-    """The URI of a fresh folder below the shared one; below a temporary one only where none is set."""
+    """The URI of a fresh folder below the shared one that the session names in spark.checkpoint.dir.
+
+    Where none is set, a local session, which is one process, gets a temporary one; a cluster raises.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = f"file://{tempfile.gettempdir()}/docspark-work"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
@@ -83,27 +95,72 @@ class Blocks:
 BLOCK_FIELDS = "block long, n int, size long, ids array<long>, tags array<long>, offs binary, data binary"
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None, block_bytes: int | None = None, part_bytes: int = PART_BYTES, most_packets: int | None = None, apart: int | None = None) -> Blocks:
+def task_scale(spark: SparkSession) -> int:
+    """GB of executor memory a core, from 1 to 16."""
+    conf = spark.sparkContext.getConf()
+    found = re.fullmatch(r"(\d+)([kmgt]?)b?", conf.get("spark.executor.memory", "1g").strip().lower())
+    size = int(found[1]) << {"k": 10, "m": 20, "g": 30, "t": 40, "": 20}[found[2]] if found else 1 << 30
+    return max(1, min(16, size // max(1, int(conf.get("spark.executor.cores", "1"))) >> 30))
+
+
+def _buckets(docs: DataFrame) -> int:
+    """Buckets of about BUCKET_BYTES by Spark's estimate of the input, never fewer than shuffle partitions."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MOST_BUCKETS, size // BUCKET_BYTES)) if size < 1 << 53 else least  # larger estimates are unknown sizes
+
+
+def bucket_of(block: np.ndarray, buckets: int) -> np.ndarray:
+    """Spark's buckets of longs: their Murmur3 hash (x86, 32 bits, seed 42) modulo the buckets."""
+    u = np.uint32
+    turn = lambda x, r: x << u(r) | x >> u(32 - r)
+    h = np.full(len(block), 42, u)
+    for half in (block & 0xFFFFFFFF, block >> 32):
+        h ^= turn(half.astype(u) * u(0xCC9E2D51), 15) * u(0x1B873593)
+        h = turn(h, 13) * u(5) + u(0xE6546B64)
+    h ^= u(8)
+    h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+    h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+    return (h ^ h >> u(16)).view(np.int32) % buckets
+
+
+def block_ids(task: int, buckets: int) -> Iterator[int]:
+    """Ids of a task's blocks, chosen so that they fall into TASK_BUCKETS buckets: a task writes so many files.
+
+    If the ids of these buckets are used up, the others follow.
+    """
+    if task >= MOST_TASKS:
+        raise ValueError("block ids hold 2^23 tasks")
+    want = [(task * TASK_BUCKETS + j) % buckets for j in range(TASK_BUCKETS)]
+    for mine in (True, False):
+        for a in range(0, TASK_BLOCKS, 1 << 16):
+            ids = task * TASK_BLOCKS + np.arange(a, a + (1 << 16))
+            yield from ids[np.isin(bucket_of(ids, buckets), want) == mine].tolist()
+    raise ValueError("a task has more than 2^24 blocks")
+
+
+def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None, block_bytes: int | None = None, part_bytes: int | None = None, most_packets: int | None = None, apart: int | None = None) -> Blocks:
     """Pack (id, text) rows into a bucketed block table; `tag` is an integer kept beside each row; rows whose tag is `apart` get blocks of their own."""
     spark = docs.sparkSession
     most_packets = MOST_PACKETS if most_packets is None else most_packets
-    block_bytes = BLOCK_BYTES if block_bytes is None else block_bytes
+    block_bytes = BLOCK_BYTES * task_scale(spark) if block_bytes is None else block_bytes
+    part_bytes = PART_BYTES * task_scale(spark) if part_bytes is None else part_bytes
+    buckets = _buckets(docs.select(text_col))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), (tag if tag is not None else F.lit(0)).cast("long").alias("tag"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         from pyspark import TaskContext
 
-        base, k = TaskContext.get().partitionId() << 24, 0
+        free = block_ids(TaskContext.get().partitionId(), buckets)
         open_: dict[bool, list] = {}  # ids, tags, texts, bytes and rows of the blocks being filled
 
         def row(kind: bool) -> pa.RecordBatch:
-            nonlocal k
             ids, tags, texts, _, _ = open_.pop(kind)
             text = pa.concat_arrays(texts)
             buf, offs = K.text_column(text)
-            out = pa.RecordBatch.from_pydict(
+            return pa.RecordBatch.from_pydict(
                 {
-                    "block": pa.array([base + k], pa.int64()),
+                    "block": pa.array([next(free)], pa.int64()),
                     "n": pa.array([len(text)], pa.int32()),
                     "size": pa.array([len(buf)], pa.int64()),
                     "ids": pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(pa.int64())),
@@ -112,8 +169,6 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None,
                     "data": pa.array([buf.tobytes()], pa.binary()),
                 }
             )
-            k += 1
-            return out
 
         def kinds(b: pa.RecordBatch):
             if apart is None:
@@ -142,7 +197,6 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None,
             yield row(kind)
 
     where = workdir(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = "blocks_" + where[-12:]
     (narrow.mapInArrow(run, BLOCK_FIELDS).write.bucketBy(buckets, "block").option("path", f"{where}/blocks").format("parquet").mode("overwrite").saveAsTable(name))
     df = spark.table(name)

@@ -1,3 +1,5 @@
+from itertools import islice
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -60,7 +62,7 @@ def test_two_levels_answer_like_one(spark, two_levels):
     assert b.fine > 1 and b.groups > 1 and b.df.count() > 4
     test_lm_scoring.test_scores_equal_brute_force(spark)
     test_suffix_dedup.test_awkward_rows(spark)
-    test_suffix_dedup.test_shared_passages_with_many_edges(spark)
+    test_suffix_dedup.many_edges(spark)
     test_ngram_join.test_awkward_rows(spark)
     test_ngram_join.test_large_groups_around_the_threshold(spark)
 
@@ -78,3 +80,41 @@ def test_blocks_hold_every_row_once(spark, two_levels):
     assert sum(r.n for r in rows) == b.n_docs == len(awkward())
     assert sorted((i is None, i or 0) for r in rows for i in r.ids) == sorted((i is None, i or 0) for i, *_ in awkward())
     assert all(r.size <= 3000 or r.n == 1 for r in rows)
+
+
+def test_ids_fall_into_few_of_sparks_buckets(spark):
+    for task in (0, 5, 1 << 19, store.MOST_TASKS - 1):
+        ids = list(islice(store.block_ids(task, 51), 40))
+        found = spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("pmod(hash(id), 51) b").collect()
+        assert [r.b for r in found] == store.bucket_of(np.array(ids), 51).tolist()
+        assert len({r.b for r in found}) == store.TASK_BUCKETS and len(set(ids)) == 40
+        assert max(ids) * store.BLOCK_ROWS + store.BLOCK_ROWS < 1 << 63
+    with pytest.raises(ValueError):
+        next(store.block_ids(store.MOST_TASKS, 51))
+
+
+def test_ids_go_on_when_their_buckets_are_used_up(monkeypatch):
+    monkeypatch.setattr(store, "TASK_BLOCKS", 1 << 16)
+    ids = list(islice(store.block_ids(3, 1 << 14), 1 << 16))
+    assert len(set(ids)) == 1 << 16 and min(ids) == 3 << 16 and max(ids) == (4 << 16) - 1
+
+
+def test_a_cluster_without_a_shared_folder_raises(spark):
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        store.workdir(Session())
+
+
+def test_a_tasks_blocks_make_few_files(spark, two_levels):
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        b = store.pack(frame(spark, [(i, "word " * 300, "en", "a") for i in range(400)]).coalesce(2), "doc_id", "text")
+        assert b.df.count() > 100 and len(b.df.inputFiles()) <= 2 * store.TASK_BUCKETS
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
