@@ -22,10 +22,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Two independent rolling hashes: tables of the bytes, bases, and their powers and inverses so far.
+_TABLES = [_rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_powers: list[list[np.ndarray]] = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _BASES]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,14 +38,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        for k, b in ((0, _BASE), (1, _INVERSE)):
-            p = np.full(n + n // 8, b, np.uint64)
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n-1 of a base and of its inverse modulo 2^64."""
+    have = _powers[which]
+    if len(have[0]) < n:
+        for k, x in enumerate((_BASES[which], pow(_BASES[which], -1, 1 << 64))):
+            p = np.full(n + n // 8, np.uint64(x), np.uint64)
             p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+            have[k] = np.multiply.accumulate(p)
+    return have[0][:n], have[1][:n]
 
 
 def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,14 +93,14 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Rolling:
-    """Hashes of any span of a buffer, from prefix sums of a polynomial mod 2^64."""
+    """Hashes of any span of a buffer, from prefix sums of a polynomial mod 2^64; `which` of two independent ones."""
 
-    def __init__(self, buf: np.ndarray):
+    def __init__(self, buf: np.ndarray, which: int = 0):
         self.n = len(buf)
-        p, self.inv = powers(self.n + 1)
+        p, self.inv = powers(self.n + 1, which)
         self.sums = np.empty(self.n + 1, np.uint64)
         self.sums[0] = 0
-        x = _TABLE[buf]
+        x = _TABLES[which][buf]
         x *= p[: self.n]
         np.cumsum(x, out=self.sums[1:])
 

@@ -12,18 +12,25 @@ else in the corpus, the same document included; strings never cross documents.
 2. Census. The owner of a guard's hash range answers for each anchor whether its
    guard occurs elsewhere (if not, none of its strings repeats), whether its
    whole context lo..hi+length does (then all of its strings repeat), or
-   whether it has to be compared.
+   whether it has to be compared. Guard and context are hashed independently.
 3. Merge sort. Suffixes to compare are sorted within their block and sent as
    front-coded runs (length of the prefix shared with the predecessor, and the
    rest). The receiver merges the runs with a loser tree that carries the prefix
    each head shares with the last winner: heads that share different lengths
    are ordered without looking at bytes, and equal ones are compared beyond it.
-   The shared prefixes of the merged order delimit the groups with one guard,
-   in which starts are matched exactly by the bytes left and right of the anchor.
+   The shared prefixes of the merged order delimit the groups with one guard; in
+   a group, two strings are equal if the prefixes shared right of the anchor and
+   left of it say so, byte by byte.
 4. The found starts go back to the blocks, which cut the covered bytes.
 
-A group's identical contexts are sent once for a block and only if something in
-the group is undecided, so hot passages don't gather in one task.
+Hot passages don't gather in one task: a group's identical contexts are sent once
+for a block and only if something in the group is undecided; and a guard in more
+than HOT_GROUP different contexts is not merged at all: its strings are counted
+one by one, by two independent 64-bit hashes, at the owners of their hash ranges.
+
+Shorter passages: with `passage`, strings of that many bytes are looked for first
+and counted as `passage_bytes`, without being removed; only anchors at their starts
+are then looked at for `length`.
 
 Defined cases: null or empty text has no bytes; repeated rows are documents of
 their own (and repeat one another); null ids are kept; other columns ignored.
@@ -37,11 +44,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import PACKET, Census, answers_of, block_text, exchange, join_fields, materialize, one_row_batches, own_range, pack, packet_batch, split_fields, visit
+from .store import PACKET, Blocks, Census, answers_of, block_text, exchange, join_fields, materialize, one_row_batches, own_range, pack, packet_batch, split_fields, visit
 
 GRAM = 16
 WINDOW = 185
-DEAD, WHOLE, COMPARE, WHOLE_SENT = 0, 1, 2, 3
+#: Contexts of a guard that are merged and compared as bytes; more are counted string by string.
+HOT_GROUP = 4096
+#: Bytes of fifty words of four letters and a blank.
+PASSAGE = 250
+DEAD, WHOLE, COMPARE, WHOLE_SENT, COUNT, COUNT_SENT = range(6)
+#: Parts of a block's own rows: lo and hi of whole contexts, strings to count, counted starts, and starts found by part p at FOUND - p; FIRST apart for the first of two lengths.
+WHOLE_PART, COUNT_PART, COUNTED, FOUND, FIRST = -1, -2, -3, -4, 1 << 30
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray, length: int, window: int, gram: int = GRAM):
@@ -70,39 +83,81 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int, window: int, gram: i
     a, lo = s[first], p[first]
     hi = p[np.concatenate((first[1:], [len(p)])) - 1]
     guard = roll.spans(a, a + (length - window + 1))
-    context = K.mix(roll.spans(lo, hi + length) + (a - lo).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (hi - lo).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+    context = K.mix(K.Rolling(buf, 1).spans(lo, hi + length) + (a - lo).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (hi - lo).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
     return a, lo, hi, guard, context
 
 
-def _block_anchors(row: dict, length: int, window: int):
-    """Anchors of a block in order of their guards' hashes; places count from the block's start."""
+def _block_anchors(row: dict, length: int, window: int, answers: dict[int, bytes] | None):
+    """Anchors of a block in order of their guards' hashes; places count from the block's start.
+
+    answers: of the first length, if there was one: anchors without any start found then are left out.
+    """
     buf, offs = block_text(row)
     found = [[], [], [], [], []]
     for a, _, part, po in K.chunks(buf, offs):
-        for k, x in enumerate(anchors(part, po, length, window)):
+        for k, x in enumerate(anchors(part, po, length, window, min(GRAM, length - window + 1))):
             found[k].append(x + offs[a] if k < 3 else x)
     found = [np.concatenate(x) if x else np.zeros(0, np.int64 if k < 3 else np.uint64) for k, x in enumerate(found)]
+    if answers is not None:
+        before = np.concatenate(([0], np.cumsum(repeated_starts(answers, len(buf), FIRST))))
+        some = before[found[2] + 1] > before[found[1]]
+        found = [x[some] for x in found]
     order = np.argsort(found[3], kind="stable")
     return buf, [x[order] for x in found]
 
 
+def repeated_starts(answers: dict[int, bytes], n: int, shift: int = 0) -> np.ndarray:
+    """Which of n places start a repeated string, from the rows of one length."""
+    edge = np.zeros(n + 1, np.int32)
+    for p, blob in answers.items():
+        if p + shift >= 0 or p + shift < -FIRST:
+            continue
+        if p + shift == WHOLE_PART:
+            lo, hi = np.frombuffer(blob, np.int64).reshape(2, -1)
+        else:
+            lo = hi = np.frombuffer(blob, np.int64)
+        np.add.at(edge, lo, 1)
+        np.add.at(edge, hi + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def covered(starts: np.ndarray, length: int) -> np.ndarray:
+    """Places within `length` bytes of a start at or before them."""
+    before = np.concatenate(([0], np.cumsum(starts)))
+    at = np.arange(1, len(starts) + 1)
+    return before[at] > before[np.maximum(at - length, 0)]
+
+
 class GuardCensus(Census):
-    """What to do with the anchors of each (guard, context); one sender stands for a context that is compared for others' sake."""
+    """What to do with the anchors of each (guard, context); one sender stands for a context that is looked at for others' sake."""
 
     pairs = True
-    first_only = {WHOLE_SENT: WHOLE}
+    first_only = {WHOLE_SENT: WHOLE, COUNT_SENT: WHOLE}
+
+    def __init__(self, most: int):
+        self.most = most
 
     def answer(self, section, keys, seconds, sums):
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]
         group = np.cumsum(new) - 1
         many = np.bincount(group, sums[0]) > 1
+        hot = np.bincount(group)[group] > self.most
         single = many[group] & (sums[0] == 1)
-        undecided = np.bincount(group, single) > 0
-        return [np.where(~many[group], DEAD, np.where(single, COMPARE, np.where(undecided[group], WHOLE_SENT, WHOLE)))]
+        undecided = np.bincount(group, single)[group] > 0
+        return [np.select([~many[group], single & hot, single, undecided & hot, undecided], [DEAD, COUNT, COMPARE, COUNT_SENT, WHOLE_SENT], WHOLE)]
 
 
-GUARDS = GuardCensus()
+class StringCensus(Census):
+    """Whether a string occurs more than once."""
+
+    pairs = True
+
+    def answer(self, section, keys, seconds, sums):
+        return [sums[0] > 1]
+
+
+STRINGS = StringCensus()
 
 
 def shared_prefix(a: bytes, b: bytes, start: int = 0) -> int:
@@ -173,35 +228,30 @@ def merge_runs(runs: list):
         top = w
 
 
-def match_group(members: list[tuple[bytes, bytes, int, int]], rights: list[int], length: int) -> list[np.ndarray | None]:
-    """For members (left, right, least a, most a) of one guard: which distances a start a repeated string.
+def match_group(members: list[tuple[bytes, int, int]], rights: list[int], length: int) -> list[np.ndarray]:
+    """For members (left, least a, most a) of one guard, in order of their suffixes: which distances a start a repeated string.
 
     The string at distance a is the last a bytes of `left` and the first
-    length - a of `right`. rights: prefix shared with the member before.
+    length - a of the suffix. rights: prefix shared with the suffix before. Places
+    where neighbours share less than the bytes in question delimit equal ones, in
+    the order of the suffixes and in that of the lefts read backwards.
     """
-    if len(members) == 2:
-        (l0, _, s0, e0), (l1, _, s1, e1) = members
-        left = shared_prefix(l0[::-1], l1[::-1])
-        got = np.arange(max(s0, s1, length - rights[1]), min(e0, e1, left) + 1)
-        return [got, got]
-    m, wide = len(members), max(e for *_, e in members)
-    total = wide + length
+    m = len(members)
+    least, most = np.array([x[1] for x in members]), np.array([x[2] for x in members])
+    back = [x[0][::-1] for x in members]
+    order = sorted(range(m), key=back.__getitem__)
+    lefts = np.array([0, *(shared_prefix(back[i], back[j]) for i, j in zip(order, order[1:], strict=False))])
+    place = np.empty(m, np.int64)
+    place[order] = np.arange(m)
+    right = np.array(rights)
     out = [[] for _ in members]
-    sums = np.zeros((m, total + 1), np.uint64)
-    p, _ = K.powers(total + 1)
-    for i, (left, right, _, _) in enumerate(members):
-        x = np.zeros(total, np.uint8)
-        x[wide - len(left) : wide] = np.frombuffer(left, np.uint8)
-        x[wide : wide + len(right)] = np.frombuffer(right, np.uint8)
-        np.cumsum(K._TABLE[x] * p[:total], out=sums[i, 1:])
-    least, most = np.array([x[2] for x in members]), np.array([x[3] for x in members])
-    for a in range(int(least.min()), wide + 1):
+    for a in range(int(least.min()), int(most.max()) + 1):
         ok = np.flatnonzero((least <= a) & (a <= most))
         if len(ok) > 1:
-            h = sums[ok, wide - a + length] - sums[ok, wide - a]
-            order = np.argsort(h)
-            same = h[order][1:] == h[order][:-1]
-            for i in ok[order[np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))]]:
+            key = np.cumsum(right < length - a)[ok] * (m + 1) + np.cumsum(lefts < a)[place[ok]]
+            by = np.argsort(key)
+            same = key[by][1:] == key[by][:-1]
+            for i in ok[by[np.concatenate((same, [False])) | np.concatenate(([False], same))]]:
                 out[i].append(a)
     return [np.array(x, np.int64) for x in out]
 
@@ -223,7 +273,7 @@ def _merge(length: int, window: int):
         def settle(group: list, rights: list[int]):
             if len(group) < 2:
                 return
-            members = [(left, suffix, low, len(left)) for suffix, (_, left, _, low, _) in group]
+            members = [(left, low, len(left)) for _, (_, left, _, low, _) in group]
             for (_, (sender, _, where, _, undecided)), a in zip(group, match_group(members, rights, length), strict=True):
                 if undecided and len(a):
                     found[sender].append(where - a)
@@ -243,31 +293,35 @@ def _merge(length: int, window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
-    """Per document: doc_id, n_bytes, removed (start and end byte offsets of the maximal runs, one after another), kept (binary)."""
+def find_repeats(blocks: Blocks, length: int, name: str, first: DataFrame | None = None) -> DataFrame:
+    """Rows (part, block, data) that tell repeated_starts() of each block; first: those of a lesser length, with parts shifted by FIRST."""
     window = min(WINDOW, length // 2)
-    blocks = pack(docs, id_col, text_col)
-    where, parts = blocks.where, blocks.parts
+    where, parts, guards, again = blocks.where, blocks.parts, GuardCensus(HOT_GROUP), first is not None
+    columns = ("block", "offs", "data", "answers")
 
     def ask(batches):
         for row in one_row_batches(batches):
-            _, (_, _, _, guard, context) = _block_anchors(row, length, window)
-            yield GUARDS.packets(row["block"].as_py(), [(guard, context, [np.ones(len(guard), np.int64)])], parts)
+            _, (_, _, _, guard, context) = _block_anchors(row, length, window, answers_of(row) if again else None)
+            yield guards.packets(row["block"].as_py(), [(guard, context, [np.ones(len(guard), np.int64)])], parts)
 
-    texts = blocks.df.select("block", "offs", "data")
-    codes = exchange(texts.mapInArrow(ask, PACKET), GUARDS, blocks, "census")
+    asked = visit(blocks, first, keep_all=not again).select(*columns).mapInArrow(ask, PACKET)
+    codes = exchange(asked, guards, blocks, f"census_{name}")
 
     def send(batches):
         for row in one_row_batches(batches):
             got = answers_of(row)
-            buf, (at, lo, hi, guard, context) = _block_anchors(row, length, window)
+            buf, (at, lo, hi, guard, _) = _block_anchors(row, length, window, got if again else None)
             cut = K.cut_by_part(guard, parts)
-            code = np.concatenate([GUARDS.read(got[p], [int(cut[p + 1] - cut[p])])[0][0] for p in range(parts) if cut[p + 1] > cut[p]] or [np.zeros(0, np.int64)])
-            whole = (code == WHOLE) | (code == WHOLE_SENT)
-            names, blobs = [-1], [np.stack([lo[whole], hi[whole]]).tobytes()]
+            code = np.concatenate([guards.read(got[p], [int(cut[p + 1] - cut[p])])[0][0] for p in range(parts) if cut[p + 1] > cut[p]] or [np.zeros(0, np.int64)])
+            whole = (code == WHOLE) | (code == WHOLE_SENT) | (code == COUNT_SENT)
+            names, blobs = [WHOLE_PART], [np.stack([lo[whole], hi[whole]]).tobytes()]
+            if (code >= COUNT).any():
+                names.append(COUNT_PART)
+                blobs.append(_strings(buf, lo[code >= COUNT], hi[code >= COUNT], code[code >= COUNT] == COUNT, length))
             raw = buf.tobytes()
             for p in range(parts):
-                k = np.flatnonzero(code[cut[p] : cut[p + 1]] >= COMPARE) + cut[p]
+                mine = code[cut[p] : cut[p + 1]]
+                k = np.flatnonzero((mine == COMPARE) | (mine == WHOLE_SENT)) + cut[p]
                 if not len(k):
                     continue
                 run = sorted((raw[at[i] : hi[i] + length], int(i)) for i in k)
@@ -278,25 +332,70 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 blobs.append(join_fields(lcp.tobytes(), size.tobytes(), rest, np.array([len(x) for x in lefts], np.uint16).tobytes(), b"".join(lefts), at[i].tobytes(), (at[i] - hi[i]).astype(np.uint16).tobytes(), (code[i] == COMPARE).astype(np.uint8).tobytes()))
             yield packet_batch(row["block"].as_py(), names, blobs)
 
-    sent = materialize(visit(blocks, codes, keep_all=False).select("block", "offs", "data", "answers").mapInArrow(send, PACKET), "runs", where)
-    found = materialize(own_range(sent.where("part >= 0"), _merge(length, window)), "found", where)
+    with_codes = visit(blocks, codes.unionByName(first) if again else codes, keep_all=False)
+    if again:  # blocks without anchors got no codes
+        with_codes = with_codes.where(F.exists("answers", lambda x: x["part"] >= 0))
+    sent = materialize(with_codes.select(*columns).mapInArrow(send, PACKET), f"runs_{name}", where)
+    found = materialize(own_range(sent.where("part >= 0"), _merge(length, window)), f"found_{name}", where)
+    out = sent.where(f"part = {WHOLE_PART}").unionByName(found.withColumn("part", (F.lit(FOUND) - F.col("part")).cast("int")))
+    hot = sent.where(f"part = {COUNT_PART}")
+    return out.unionByName(_counted(hot, blocks, name)) if hot.limit(1).count() else out
+
+
+def _strings(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, asks: np.ndarray, length: int) -> bytes:
+    """Sorted hashes of the strings that start at lo..hi, second hashes, starts, and whether an answer is needed."""
+    n = hi - lo + 1
+    start = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    one, two = (K.Rolling(buf, k).spans(start, start + length) for k in (0, 1))
+    order = np.argsort(one, kind="stable")
+    return join_fields(one[order].tobytes(), two[order].tobytes(), start[order].tobytes(), np.repeat(asks, n)[order].tobytes())
+
+
+def _counted(hot: DataFrame, blocks: Blocks, name: str) -> DataFrame:
+    """Starts whose string occurs elsewhere, by a count of every string at the owner of its hash range."""
+    parts = blocks.parts
+
+    def read(row: dict):
+        one, two, start, asks = split_fields(row["data"].as_buffer(), 4)
+        return np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64), np.frombuffer(start, np.int64), np.frombuffer(asks, bool)
+
+    def ask(batches):
+        for row in one_row_batches(batches):
+            one, two, _, _ = read(row)
+            yield STRINGS.packets(row["block"].as_py(), [(one, two, [np.ones(len(one), np.int64)])], parts)
+
+    answers = exchange(hot.mapInArrow(ask, PACKET), STRINGS, blocks, f"strings_{name}")
+    got = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers"))
+
+    def starts(batches):
+        for row in one_row_batches(batches):
+            one, _, start, asks = read(row)
+            cut, found = K.cut_by_part(one, parts), answers_of(row)
+            again = np.concatenate([STRINGS.read(found[p], [int(cut[p + 1] - cut[p])])[0][0] for p in range(parts) if cut[p + 1] > cut[p]])
+            yield packet_batch(row["block"].as_py(), [COUNTED], [start[(again > 0) & asks].tobytes()])
+
+    return materialize(hot.select("block", "data").join(got, "block").mapInArrow(starts, PACKET), f"counted_{name}", blocks.where)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passage: int | None = None) -> DataFrame:
+    """Per document: doc_id, n_bytes, removed (start and end byte offsets of the maximal runs, one after another), kept (binary) and passage_bytes.
+
+    passage_bytes: bytes covered by repeated strings of `passage` bytes, less than `length`; null without `passage`.
+    """
+    blocks = pack(docs, id_col, text_col)
+    shorter = None
+    if passage is not None:
+        if passage >= length:
+            raise ValueError("passages are shorter than what is removed")
+        shorter = find_repeats(blocks, passage, "passages").withColumn("part", (F.col("part") - FIRST).cast("int"))
+    rows = find_repeats(blocks, length, "repeats", shorter)
 
     def cut(batches):
         for row in one_row_batches(batches):
             buf, offs = block_text(row)
             ids = pa.array(row["ids"].values)
-            n = len(buf)
-            edge = np.zeros(n + 1, np.int32)
-            for p, blob in answers_pairs(row):
-                if p < 0:
-                    lo, hi = np.frombuffer(blob, np.int64).reshape(2, -1)
-                    np.add.at(edge, lo, 1)
-                    np.add.at(edge, hi + length, -1)
-                else:
-                    s = np.frombuffer(blob, np.int64)
-                    np.add.at(edge, s, 1)
-                    np.add.at(edge, s + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            n, got = len(buf), answers_of(row)
+            gone = covered(repeated_starts(got, n), length)
             before = np.concatenate(([0], np.cumsum(gone)))
             first = gone.copy()
             first[1:] &= ~gone[:-1]
@@ -311,19 +410,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             off = np.searchsorted(starts, offs) if len(starts) else np.zeros(len(offs), np.int64)
             kept_at = offs - before[offs]
             kept = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(kept_at, np.int64)), pa.py_buffer(buf[~gone].tobytes())])
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_bytes": pa.array(np.diff(offs)), "removed": pa.ListArray.from_arrays(pa.array((2 * off).astype(np.int32)), pa.array(spans)), "kept": kept.cast(pa.binary())})
-
-    both = sent.where("part < 0").unionByName(found)
-    out = visit(blocks, both, keep_all=True).select("block", "ids", "offs", "data", "answers").mapInArrow(cut, "doc_id long, n_bytes long, removed array<long>, kept binary")
-    return out
-
+            part = pa.nulls(len(ids), pa.int64())
+            if passage is not None:
+                within = np.concatenate(([0], np.cumsum(covered(repeated_starts(got, n, FIRST), passage))))
+                part = pa.array(np.diff(within[offs]))
+            removed = pa.ListArray.from_arrays(pa.array((2 * off).astype(np.int32)), pa.array(spans))
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_bytes": pa.array(np.diff(offs)), "removed": removed, "kept": kept.cast(pa.binary()), "passage_bytes": part})
 
-def answers_pairs(row: dict):
-    a = row["answers"]
-    return [(x["part"], x["data"]) for x in a.as_py()] if a.is_valid else []
+    both = rows if shorter is None else rows.unionByName(shorter)
+    return visit(blocks, both, keep_all=True).select("block", "ids", "offs", "data", "answers").mapInArrow(cut, "doc_id long, n_bytes long, removed array<long>, kept binary, passage_bytes long")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    """Query op4: 400-byte repeats of all documents."""
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), (F.size("removed") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Query op4: 400-byte repeats of all documents; n_passage_bytes counts bytes of repeated passages from PASSAGE bytes on."""
+    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage=PASSAGE)
+    removed = (F.col("n_bytes") - F.length("kept")).cast("long")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("removed") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("passage_bytes").alias("n_passage_bytes"))
