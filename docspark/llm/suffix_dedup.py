@@ -50,6 +50,8 @@ GRAM = 16
 WINDOW = 185
 #: Contexts of a guard that are merged and compared as bytes; more are counted string by string.
 HOT_GROUP = 4096
+#: Members times distances that are matched at a time.
+MATCHED = 1 << 18
 #: Bytes of fifty words of four letters and a blank.
 PASSAGE = 250
 DEAD, WHOLE, COMPARE, WHOLE_SENT, COUNT, COUNT_SENT = range(6)
@@ -103,7 +105,7 @@ def _block_anchors(row: dict, length: int, window: int, answers: dict[int, bytes
         some = before[found[2] + 1] > before[found[1]]
         found = [x[some] for x in found]
     order = np.argsort(found[3], kind="stable")
-    return buf, [x[order] for x in found]
+    return buf, offs, [x[order] for x in found]
 
 
 def repeated_starts(answers: dict[int, bytes], n: int, shift: int = 0) -> np.ndarray:
@@ -237,6 +239,10 @@ def match_group(members: list[tuple[bytes, int, int]], rights: list[int], length
     the order of the suffixes and in that of the lefts read backwards.
     """
     m = len(members)
+    if m == 2:
+        (l0, s0, e0), (l1, s1, e1) = members
+        got = np.arange(max(s0, s1, length - rights[1]), min(e0, e1, shared_prefix(l0[::-1], l1[::-1])) + 1)
+        return [got, got]
     least, most = np.array([x[1] for x in members]), np.array([x[2] for x in members])
     back = [x[0][::-1] for x in members]
     order = sorted(range(m), key=back.__getitem__)
@@ -244,16 +250,25 @@ def match_group(members: list[tuple[bytes, int, int]], rights: list[int], length
     place = np.empty(m, np.int64)
     place[order] = np.arange(m)
     right = np.array(rights)
-    out = [[] for _ in members]
-    for a in range(int(least.min()), int(most.max()) + 1):
-        ok = np.flatnonzero((least <= a) & (a <= most))
-        if len(ok) > 1:
-            key = np.cumsum(right < length - a)[ok] * (m + 1) + np.cumsum(lefts < a)[place[ok]]
-            by = np.argsort(key)
-            same = key[by][1:] == key[by][:-1]
-            for i in ok[by[np.concatenate((same, [False])) | np.concatenate(([False], same))]]:
-                out[i].append(a)
-    return [np.array(x, np.int64) for x in out]
+    who, which = [], []
+    step = max(1, MATCHED // m)
+    for first in range(int(least.min()), int(most.max()) + 1, step):
+        a = np.arange(first, min(first + step, int(most.max()) + 1))[:, None]
+        key = np.cumsum(right < length - a, axis=1) * (m + 1) + np.cumsum(lefts < a, axis=1)[:, place]
+        out = (least > a) | (a > most)
+        key[out] = -1 - np.nonzero(out)[1]  # equal to none
+        by = np.argsort(key, axis=1)
+        key = np.take_along_axis(key, by, 1)
+        same = key[:, 1:] == key[:, :-1]
+        again = np.zeros(key.shape, bool)
+        again[:, 1:] |= same
+        again[:, :-1] |= same
+        row, k = np.nonzero(again)
+        who.append(by[row, k])
+        which.append(a[row, 0])
+    who, which = np.concatenate(who), np.concatenate(which)
+    by = np.argsort(who, kind="stable")
+    return np.split(which[by], np.searchsorted(who[by], np.arange(1, m)))
 
 
 def _merge(length: int, window: int):
@@ -301,7 +316,7 @@ def find_repeats(blocks: Blocks, length: int, name: str, first: DataFrame | None
 
     def ask(batches):
         for row in one_row_batches(batches):
-            _, (_, _, _, guard, context) = _block_anchors(row, length, window, answers_of(row) if again else None)
+            _, _, (_, _, _, guard, context) = _block_anchors(row, length, window, answers_of(row) if again else None)
             yield guards.packets(row["block"].as_py(), [(guard, context, [np.ones(len(guard), np.int64)])], parts)
 
     asked = visit(blocks, first, keep_all=not again).select(*columns).mapInArrow(ask, PACKET)
@@ -310,14 +325,14 @@ def find_repeats(blocks: Blocks, length: int, name: str, first: DataFrame | None
     def send(batches):
         for row in one_row_batches(batches):
             got = answers_of(row)
-            buf, (at, lo, hi, guard, _) = _block_anchors(row, length, window, got if again else None)
+            buf, offs, (at, lo, hi, guard, _) = _block_anchors(row, length, window, got if again else None)
             cut = K.cut_by_part(guard, parts)
             code = np.concatenate([guards.read(got[p], [int(cut[p + 1] - cut[p])])[0][0] for p in range(parts) if cut[p + 1] > cut[p]] or [np.zeros(0, np.int64)])
             whole = (code == WHOLE) | (code == WHOLE_SENT) | (code == COUNT_SENT)
             names, blobs = [WHOLE_PART], [np.stack([lo[whole], hi[whole]]).tobytes()]
             if (code >= COUNT).any():
                 names.append(COUNT_PART)
-                blobs.append(_strings(buf, lo[code >= COUNT], hi[code >= COUNT], code[code >= COUNT] == COUNT, length))
+                blobs.append(_strings(buf, offs, lo[code >= COUNT], hi[code >= COUNT], code[code >= COUNT] == COUNT, length))
             raw = buf.tobytes()
             for p in range(parts):
                 mine = code[cut[p] : cut[p + 1]]
@@ -342,13 +357,20 @@ def find_repeats(blocks: Blocks, length: int, name: str, first: DataFrame | None
     return out.unionByName(_counted(hot, blocks, name)) if hot.limit(1).count() else out
 
 
-def _strings(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, asks: np.ndarray, length: int) -> bytes:
+def _strings(buf: np.ndarray, offs: np.ndarray, lo: np.ndarray, hi: np.ndarray, asks: np.ndarray, length: int) -> bytes:
     """Sorted hashes of the strings that start at lo..hi, second hashes, starts, and whether an answer is needed."""
-    n = hi - lo + 1
-    start = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    one, two = (K.Rolling(buf, k).spans(start, start + length) for k in (0, 1))
+    found = [[], [], [], []]
+    for a, b, part, _ in K.chunks(buf, offs):
+        mine = np.flatnonzero((lo >= offs[a]) & (lo < offs[b]))
+        if len(mine):
+            n = hi[mine] - lo[mine] + 1
+            start = np.repeat(lo[mine] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            at = start - offs[a]
+            for x, y in zip(found, (K.Rolling(part).spans(at, at + length), K.Rolling(part, 1).spans(at, at + length), start, np.repeat(asks[mine], n)), strict=True):
+                x.append(y)
+    one, two, start, asked = map(np.concatenate, found)
     order = np.argsort(one, kind="stable")
-    return join_fields(one[order].tobytes(), two[order].tobytes(), start[order].tobytes(), np.repeat(asks, n)[order].tobytes())
+    return join_fields(*(x[order].tobytes() for x in (one, two, start, asked)))
 
 
 def _counted(hot: DataFrame, blocks: Blocks, name: str) -> DataFrame:
