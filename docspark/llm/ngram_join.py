@@ -4,8 +4,10 @@ Prefix filtering under several global orders. Two sets can only reach the
 threshold if their prefixes (the first n - ceil(t n) + 1 members) share a member
 under every global order of the shingles. Order 1 is by document frequency over
 the whole corpus, rarest first, and makes the candidates; orders 2 and 3 are
-independent hash orders whose prefixes a candidate must share as well before it
-is verified on the whole sets.
+independent hash orders. A set without a member known to others in any of its
+prefixes has no partner and drops out at once; a candidate pair must share a member
+of the prefixes of both hash orders, which is tested on the prefixes alone, before
+any whole set is sent for verification.
 
 Work stays linear around hot groups: equal sets form one class; the holders of
 one prefix member are first verified against one of them only; connected
@@ -123,7 +125,7 @@ def parity_bitmap(x: np.ndarray) -> np.ndarray:
 
 
 def _survivors(reps: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
-    """Sets that can have a partner, with their prefix under order 1: members seen in no other class are misses for all."""
+    """Sets that can have a partner, with their prefixes under the three orders: members seen in no other class are misses for all and left out."""
 
     def run(batches):
         for row in one_row_batches(batches):
@@ -132,7 +134,7 @@ def _survivors(reps: DataFrame, parts: int, words: int, percent: int) -> DataFra
             cut = K.cut_by_part(known, parts)
             df = np.concatenate([FREQUENCIES.read(got[p], [int(cut[p + 1] - cut[p])])[0][0] for p in range(parts) if cut[p + 1] > cut[p]] or [np.zeros(0, np.int64)])
             block = row["block"].as_py()
-            out = {k: [] for k in ("uid", "n", "members", "prefix", "places", "bitmap")}
+            out = {k: [] for k in ("uid", "n", "members", "prefix", "places", "bitmap", "second", "third")}
             for a, d, h in _chosen(row, words):
                 f = df[np.searchsorted(known, h)]
                 bounds = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1], [True])))
@@ -141,7 +143,13 @@ def _survivors(reps: DataFrame, parts: int, words: int, percent: int) -> DataFra
                 for k in np.flatnonzero(alone <= size - _needed(size, percent)):
                     x, g = h[bounds[k] : bounds[k + 1]], f[bounds[k] : bounds[k + 1]]
                     n = len(x)
-                    place = np.argsort(g, kind="stable")[: n - _needed(n, percent) + 1]
+                    p = n - _needed(n, percent) + 1
+                    others = [hash_prefix(x, g > 1, salt, p) for salt in ORDERS]
+                    if not all(map(len, others)):
+                        continue
+                    out["second"].append(others[0])
+                    out["third"].append(others[1])
+                    place = np.argsort(g, kind="stable")[:p]
                     shared = np.flatnonzero(g[place] > 1)
                     out["uid"].append(block * BLOCK_ROWS + a + int(d[bounds[k]]))
                     out["n"].append(n)
@@ -157,21 +165,30 @@ def _survivors(reps: DataFrame, parts: int, words: int, percent: int) -> DataFra
                     "prefix": pa.array(out["prefix"], pa.list_(pa.int64())),
                     "places": pa.array(out["places"], pa.list_(pa.int32())),
                     "bitmap": pa.array(out["bitmap"], pa.list_(pa.int64())),
+                    "second": pa.array(out["second"], pa.list_(pa.int32())),
+                    "third": pa.array(out["third"], pa.list_(pa.int32())),
                 }
             )
 
-    return reps.mapInArrow(run, "uid long, n long, members binary, prefix array<long>, places array<int>, bitmap array<long>")
+    return reps.mapInArrow(run, "uid long, n long, members binary, prefix array<long>, places array<int>, bitmap array<long>, second array<int>, third array<int>")
 
 
-def _prefix(x: np.ndarray, salt: np.uint64, percent: int) -> np.ndarray:
-    n = len(x)
-    p = n - _needed(n, percent) + 1
+def hash_prefix(x: np.ndarray, known: np.ndarray, salt: np.uint64, p: int) -> np.ndarray:
+    """Half the bits of the first p members in a hash order, of those that are `known` elsewhere."""
     y = K.mix(x ^ salt)
-    return np.partition(y, p - 1)[:p] if p < n else y
+    first = np.argpartition(y, p - 1)[:p] if p < len(y) else np.arange(len(y))
+    return y[first[known[first]]].astype(np.uint32).view(np.int32)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (src, dst) of the candidate pairs (a, b): hash-order prefixes first, then the whole sets."""
+def shared_under_all_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes share a member under the second and under the third order, too."""
+    one = sets.select(F.col("uid").alias("b"), F.col("second").alias("y2"), F.col("third").alias("y3"))
+    two = sets.select(F.col("uid").alias("a"), F.col("second").alias("x2"), F.col("third").alias("x3"))
+    return pairs.select("a", "b").join(one, "b").join(two, "a").where(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("a", "b")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, name: str, where: str) -> DataFrame:
+    """Links (src, dst) of the candidate pairs (a, b): the filters of all orders first, then the whole sets of what is left."""
 
     def run(batches):
         for batch in batches:
@@ -181,14 +198,15 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for i in range(batch.num_rows):
                 x = np.frombuffer(xs[i].as_buffer(), np.uint64)
                 y = np.frombuffer(ys[i].as_buffer(), np.uint64)
-                if all(len(np.intersect1d(_prefix(x, s, percent), _prefix(y, s, percent), assume_unique=True)) for s in ORDERS):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_pydict({"src": pa.array(a[keep]), "dst": pa.array(b[keep])})
 
+    # Written, so Spark knows the size and leaves the sets where they are if there are few pairs.
+    left = materialize(shared_under_all_orders(pairs, sets), f"candidates_{name}", where)
     one = sets.select(F.col("uid").alias("b"), F.col("members").alias("y"))
     two = sets.select(F.col("uid").alias("a"), F.col("members").alias("x"))
-    return pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(run, "src long, dst long")
+    return materialize(left.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(run, "src long, dst long"), f"links_{name}", where)
 
 
 def _fits(x: str, y: str, percent: int) -> str:
@@ -245,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = materialize(posting.join(hub.select("member"), "member", "left_semi"), "postings", where)
     n_held, before = held.count(), math.inf
     tried = materialize(_to_hub(held.select("member", F.struct("uid", "n", "place", "bitmap").alias("x")).join(hub.select("member", "hub"), "member"), percent), "tried_0", where)
-    links = materialize(verify(tried, sets, percent), "links_0", where)
+    links = verify(tried, sets, percent, "0", where)
     for step in range(1, HUB_ROUNDS + 1):
         known = components(links, f"{where}/cc_{step}")
         comp = known.withColumnRenamed("node", "uid")
@@ -265,12 +283,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new = materialize(_to_hub(met, percent).join(tried, ["a", "b"], "left_anti"), f"tried_{step}", where)
         tried = tried.union(new)
         # A component goes on as its star, so later rounds don't walk its links again.
-        links = _stars(known).union(materialize(verify(new, sets, percent), f"links_{step}", where))
+        links = _stars(known).union(verify(new, sets, percent, str(step), where))
 
     x, y = open_.where("comp <> main").alias("x"), open_.alias("y")
     cross = x.join(y, F.expr(f"x.member = y.member and x.comp <> y.comp and (y.comp = y.main or x.uid < y.uid) and {_fits('x', 'y', percent)}")).select(*_pairs("x", "y")).distinct()
     rest = materialize(cross.join(tried, ["a", "b"], "left_anti"), "rest", where)
-    more = materialize(verify(rest, sets, percent), "links_rest", where)
+    more = verify(rest, sets, percent, "rest", where)
     comp = components(_stars(known).union(more), where + "/cc")
 
     by_class = classes.join(comp, classes.cls == comp.node, "left").withColumn("comp", F.coalesce("comp", "cls"))
