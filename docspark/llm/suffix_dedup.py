@@ -101,7 +101,7 @@ def _block_anchors(row: dict, length: int, window: int, answers: dict[int, bytes
             found[k].append(x + offs[a] if k < 3 else x)
     found = [np.concatenate(x) if x else np.zeros(0, np.int64 if k < 3 else np.uint64) for k, x in enumerate(found)]
     if answers is not None:
-        before = np.concatenate(([0], np.cumsum(repeated_starts(answers, len(buf), FIRST))))
+        before = _counts(repeated_starts(answers, len(buf), FIRST))
         some = before[found[2] + 1] > before[found[1]]
         found = [x[some] for x in found]
     order = np.argsort(found[3], kind="stable")
@@ -120,14 +120,22 @@ def repeated_starts(answers: dict[int, bytes], n: int, shift: int = 0) -> np.nda
             lo = hi = np.frombuffer(blob, np.int64)
         np.add.at(edge, lo, 1)
         np.add.at(edge, hi + 1, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
+
+
+def _counts(flags: np.ndarray) -> np.ndarray:
+    """Flags set before each place; a block is smaller than 2 GB."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, dtype=np.int32, out=out[1:])
+    return out
 
 
 def covered(starts: np.ndarray, length: int) -> np.ndarray:
     """Places within `length` bytes of a start at or before them."""
-    before = np.concatenate(([0], np.cumsum(starts)))
-    at = np.arange(1, len(starts) + 1)
-    return before[at] > before[np.maximum(at - length, 0)]
+    before = _counts(starts)
+    out = before[1:] > 0
+    out[length:] = before[length + 1 :] > before[1 : len(before) - length]
+    return out
 
 
 class GuardCensus(Census):
@@ -418,7 +426,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids = pa.array(row["ids"].values)
             n, got = len(buf), answers_of(row)
             gone = covered(repeated_starts(got, n), length)
-            before = np.concatenate(([0], np.cumsum(gone)))
+            before = _counts(gone)
             first = gone.copy()
             first[1:] &= ~gone[:-1]
             first[offs[:-1][offs[:-1] < n]] = gone[offs[:-1][offs[:-1] < n]]
@@ -434,8 +442,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(kept_at, np.int64)), pa.py_buffer(buf[~gone].tobytes())])
             part = pa.nulls(len(ids), pa.int64())
             if passage is not None:
-                within = np.concatenate(([0], np.cumsum(covered(repeated_starts(got, n, FIRST), passage))))
-                part = pa.array(np.diff(within[offs]))
+                within = _counts(covered(repeated_starts(got, n, FIRST), passage))
+                part = pa.array(np.diff(within[offs]).astype(np.int64))
             removed = pa.ListArray.from_arrays(pa.array((2 * off).astype(np.int32)), pa.array(spans))
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_bytes": pa.array(np.diff(offs)), "removed": removed, "kept": kept.cast(pa.binary()), "passage_bytes": part})
 
