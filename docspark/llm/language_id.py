@@ -1,12 +1,13 @@
 """Language identification with spans of mixed-language text.
 
-1. Script ranges: the scripts of a word's letters leave only the languages whose
-   training text uses them.
+1. Script ranges: the scripts of a word's letters (characters of Unicode's category
+   L) leave only the languages whose training text uses them. A word that no
+   language explains adds nothing.
 2. Every word is scored for each remaining language by a naive Bayes model over
    hashed character trigrams (with word boundaries) and whole words.
 3. Viterbi: the best sequence of languages for a document's words, where each
    change of language costs `SWITCH`. Runs of one language are the spans; the
-   prediction is the language with most letters' bytes.
+   prediction is the language with most letters.
 
 The Viterbi recursion runs over all documents of a chunk in step, longest
 first, so a step is one array operation.
@@ -14,12 +15,20 @@ first, so a step is one array operation.
 The model has a fixed size (BUCKETS hashed features a language) and is learned
 from at most FIT_ROWS labelled rows, taken in hash order.
 
+The score is the predicted language's probability, by Bayes' rule from the spans'
+summed word scores, averaged over the letters: 1 over the number of languages where
+nothing is explained.
+
 Defined cases: null text or text without a letter is `und` with score 0, and so
-is every text if no row is labelled; repeated rows are predicted each.
+is every text if no row is labelled; repeated rows are predicted each; equal
+languages (also where no word is explained) give the first by name.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,22 +41,28 @@ BUCKETS = 1 << 16
 SWITCH = 6.0
 CHUNK = 3 << 20
 
-# First code point of consecutive script ranges, and the script.
+# First code point of consecutive script ranges, and the script of the letters in them.
 RANGES = [
-    (0x0000, "none"), (0x0041, "latin"), (0x005B, "none"), (0x0061, "latin"), (0x007B, "none"), (0x00AA, "latin"), (0x00AB, "none"), (0x00B5, "latin"), (0x00B6, "none"), (0x00BA, "latin"), (0x00BB, "none"), (0x00C0, "latin"), (0x00D7, "none"), (0x00D8, "latin"), (0x00F7, "none"), (0x00F8, "latin"),
-    (0x02B0, "none"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"), (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "other"), (0x0B80, "tamil"), (0x0C00, "other"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"),
-    (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "none"), (0x2C00, "other"), (0x3000, "none"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0xFE00, "none"), (0xFF21, "latin"), (0xFF5B, "none"), (0xFF66, "kana"), (0xFFA0, "none"), (0x10000, "other"), (0x1F000, "none"), (0x20000, "han"),
+    (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"), (0x0750, "arabic"), (0x0780, "other"), (0x08A0, "arabic"), (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "other"), (0x0B80, "tamil"), (0x0C00, "other"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"),
+    (0x1C80, "cyrillic"), (0x1C90, "georgian"), (0x1CC0, "other"), (0x1D00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2071, "latin"), (0x20A0, "other"), (0x212A, "latin"), (0x212C, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x2DE0, "cyrillic"), (0x2E00, "other"), (0x3005, "han"), (0x3008, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3130, "hangul"), (0x3190, "other"), (0x31F0, "kana"), (0x3200, "other"), (0x3400, "han"), (0xA000, "other"),
+    (0xA640, "cyrillic"), (0xA6A0, "other"), (0xA720, "latin"), (0xA800, "other"), (0xAB30, "latin"), (0xAB70, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "armenian"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0xFE70, "arabic"), (0xFF00, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "han"), (0x32000, "other"),
 ]
-SCRIPTS = sorted({s for _, s in RANGES} - {"none"})
-_FIRST = np.array([a for a, _ in RANGES])
-_BIT = np.array([0 if s == "none" else 1 << SCRIPTS.index(s) for _, s in RANGES], np.int64)
+SCRIPTS = sorted({s for _, s in RANGES})
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """Script bit of every code point; 0 for those that are not letters."""
+    letter = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+    bit = np.array([1 << SCRIPTS.index(s) for _, s in RANGES], np.uint32)
+    return np.where(letter, bit[np.searchsorted([a for a, _ in RANGES], np.arange(0x110000), "right") - 1], 0).astype(np.uint32)
 
 
 def script_bits(buf: np.ndarray) -> np.ndarray:
     """Script bit of the character that starts at each byte; 0 at other bytes and for non-letters."""
-    ascii_bits = _BIT[np.searchsorted(_FIRST, np.arange(128), "right") - 1]
-    table = np.zeros(256, np.int64)
-    table[:128] = ascii_bits
+    bits = _letters()
+    table = np.zeros(256, np.uint32)
+    table[:128] = bits[:128]
     out = table[buf]
     lead = np.flatnonzero(buf >= 0xC0)
     if len(lead):
@@ -55,15 +70,16 @@ def script_bits(buf: np.ndarray) -> np.ndarray:
         x = b[lead]
         c1, c2, c3 = (b[lead + k] & 0x3F for k in (1, 2, 3))
         cp = np.where(x < 0xE0, (x & 0x1F) << 6 | c1, np.where(x < 0xF0, (x & 0xF) << 12 | c1 << 6 | c2, (x & 7) << 18 | c1 << 12 | c2 << 6 | c3))
-        out[lead] = _BIT[np.searchsorted(_FIRST, cp, "right") - 1]
+        out[lead] = bits[np.minimum(cp, 0x10FFFF)]
     return out
 
 
 def _features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """(trigram bucket at each byte where it is centred, word bucket of each word); white space is a boundary mark."""
+    """(trigram bucket at each byte where it is centred, word bucket of each word); a blank marks words' boundaries, also between documents."""
     x = np.where(K.SPACE[buf], 32, buf).astype(np.int64)
-    y = np.concatenate(([32], x, [32]))
-    tri = (y[:-2] * 65_599 + y[1:-1] * 257 + y[2:] * 1_000_003) * 0x9E3779B1 >> 7 & (BUCKETS // 2 - 1)
+    before, after = np.concatenate(([32], x[:-1])), np.concatenate((x[1:], [32]))
+    before[starts] = after[ends - 1] = 32
+    tri = (before * 65_599 + x * 257 + after * 1_000_003) * 0x9E3779B1 >> 7 & (BUCKETS // 2 - 1)
     word = (K.Rolling(buf).spans(starts, ends) >> np.uint64(40)).astype(np.int64) % (BUCKETS // 2) + BUCKETS // 2
     return tri, word
 
@@ -82,8 +98,8 @@ class Model:
         share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
         self.allowed = [int(sum(1 << k for k in np.flatnonzero(row >= 0.01))) for row in share]
 
-    def word_scores(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(words, languages) scores and the bytes of letters of each word; a language outside the word's scripts gets -50."""
+    def word_scores(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words, languages) scores, letters of each word, and whether a language explains it; one outside the word's scripts gets -50."""
         tri, word = _features(buf, starts, ends)
         bits = script_bits(buf)
         sums = np.zeros((len(buf) + 1, len(self.langs)), np.float64)
@@ -94,11 +110,12 @@ class Model:
         used = np.bitwise_or.reduceat(bits, np.stack([starts, np.minimum(ends, len(bits) - 1)], 1).ravel())[::2] if len(starts) else np.zeros(0, np.int64)
         some = np.zeros(len(starts), bool)
         for k, mask in enumerate(self.allowed):
-            fits = (used & ~mask) == 0
+            fits = (used & np.uint32(~mask & 0xFFFFFFFF)) == 0
             some |= fits
             scores[~fits, k] -= 50
-        scores[(letters == 0) | ~some] = 0
-        return scores, letters
+        some &= letters > 0
+        scores[~some] = 0
+        return scores, letters, some
 
 
 def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
@@ -136,10 +153,10 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, use: Column, fit_rows: int = FIT_ROWS) -> Model | None:
-    """Learn from at most fit_rows rows with text and lang of which `use` holds; None without any."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & use)
-    chosen = rows.select("doc_id", "lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id").limit(fit_rows).select("doc_id").distinct()
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("lang", "text")  # fit_rows ids: safe to broadcast
+    """Learn from at most fit_rows different rows with text and lang, in hash order, of which `use` holds; None without any."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & use).select("lang", "text").withColumn("key", F.xxhash64("lang", "text"))
+    last = rows.select("key").distinct().orderBy("key").limit(fit_rows).agg(F.max("key")).first()[0]
+    rows = rows.where(F.col("key") <= last).dropDuplicates(["key"]).select("lang", "text")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -177,7 +194,7 @@ def fit(docs: DataFrame, use: Column, fit_rows: int = FIT_ROWS) -> Model | None:
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
-    """Per text: doc_id, lang_pred, score (share of its letters' bytes in that language) and spans (lang, first word, words)."""
+    """Per text: doc_id, lang_pred, score (that language's probability, averaged over letters) and spans (lang, first word, words)."""
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -189,17 +206,24 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 if model is not None and len(part):
                     low = K.LOWER[part]
                     s, e, at = K.word_spans(low, po)
-                    scores, letters = model.word_scores(low, s, e)
+                    scores, letters, some = model.word_scores(low, s, e)
                     path = viterbi(scores, at, switch)
                     doc = np.repeat(np.arange(hi - lo), np.diff(at))
                     weight = np.zeros((hi - lo, len(model.langs)))
-                    np.add.at(weight, (doc, path), letters)
-                    total = weight.sum(1)
+                    np.add.at(weight, (doc[some], path[some]), letters[some])
+                    total = np.bincount(doc, letters, hi - lo)
                     has = total > 0
                     best = weight.argmax(1)
                     pred[has] = np.array(model.langs, object)[best[has]]
-                    share[has] = weight[np.arange(hi - lo), best][has] / total[has]
                     new = np.flatnonzero(np.concatenate(([True], (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])))) if len(path) else np.zeros(0, np.int64)
+                    if len(new):
+                        sums = np.add.reduceat(scores, new)
+                        odds = np.exp(sums - sums.max(1, keepdims=True))
+                        sure = odds[np.arange(len(new)), best[doc[new]]] / odds.sum(1)
+                        plain = np.full(len(new), 1 / len(model.langs))
+                        known, all_ = np.add.reduceat(letters * some, new), np.add.reduceat(letters, new)
+                        gained = np.bincount(doc[new], sure * known + plain * (all_ - known), hi - lo)
+                        share[has] = np.minimum(gained[has] / total[has], 1.0)
                     for i, d, k, n in zip(new.tolist(), doc[new].tolist(), path[new].tolist(), np.diff(np.concatenate((new, [len(path)]))).tolist(), strict=True):
                         spans[d].append({"lang": model.langs[k], "first_word": i - int(at[d]), "words": n})
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(lo, hi - lo), "lang_pred": pa.array(pred.tolist(), pa.string()), "score": pa.array(share), "spans": pa.array(spans, pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("words", pa.int64())])))})

@@ -86,3 +86,83 @@ def test_viterbi_is_the_best_path():
                 p = path[a:b]
                 got = scores[np.arange(a, b), p].sum() - 1.5 * np.count_nonzero(p[1:] != p[:-1])
                 assert abs(got - brute_viterbi(scores[a:b].tolist(), 1.5)) < 1e-9
+
+
+def predicted(docs, fitted, text):
+    r = L.identify(frame(docs.sparkSession, [(1, text, None, None)]), fitted).first()
+    return r.lang_pred, r.score
+
+
+def test_letters_are_those_of_unicode(spark):
+    docs = frame(spark, corpus())
+    fitted = L.fit(docs, F.lit(True))
+    for text in ("١٢٣", "१२३", "๑๒๓", "،", "\U0001d7ce", "12 ½ % ²", "\u0301"):
+        assert predicted(docs, fitted, text) == ("und", 0.0), text
+    for text in ("Å", "ʰ", "ℂ", "\uffa1", "日本語", "ª", "ⅰa"):
+        lang, score = predicted(docs, fitted, text)
+        assert lang in SYLLABLES and 0 < score <= 1, text
+    for text in ("日本語", "ℂ ℂ", "\uffa1"):
+        assert predicted(docs, fitted, text) == ("aa", 0.25)
+
+
+def brute_prediction(model, text, switch):
+    """Prediction and score of a text, word by word in plain Python."""
+    import re
+    import unicodedata
+
+    text = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    n = len(model.langs)
+    words, letters, scores, known = re.findall(r"[^\x20\x09-\x0D]+", text), [], [], []
+    for w in words:
+        b = f" {w} ".encode()
+        buf = np.frombuffer(b, np.uint8)
+        tri, word = L._features(buf, np.array([1]), np.array([len(b) - 1]))
+        row = model.weights[tri[1:-1]].astype(float).sum(0) + model.weights[word[0]]
+        scripts = {L.SCRIPTS.index(s) for ch in w if unicodedata.category(ch)[0] == "L" for s in [[x for a, x in L.RANGES if a <= ord(ch)][-1]]}
+        fits = [all(m >> s & 1 for s in scripts) for m in model.allowed]
+        letters.append(sum(unicodedata.category(ch)[0] == "L" for ch in w))
+        known.append(any(fits) and letters[-1] > 0)
+        scores.append([x - 50 * (not f) for x, f in zip(row, fits)] if known[-1] else [0.0] * n)
+    if not sum(letters):
+        return "und", 0.0
+    best, back = [0.0] * n, []
+    for row in scores:
+        top = max(range(n), key=best.__getitem__)
+        step = [k if best[k] >= best[top] - switch else top for k in range(n)]
+        back.append(step)
+        best = [max(best[k], best[top] - switch) + row[k] for k in range(n)]
+    state, path = max(range(n), key=best.__getitem__), []
+    for step in reversed(back):
+        path.append(state)
+        state = step[state]
+    path.reverse()
+    tally = [sum(c for c, k, ok in zip(letters, path, known) if ok and k == j) for j in range(n)]
+    lang, gained, i = max(range(n), key=tally.__getitem__), 0.0, 0
+    while i < len(path):
+        j = i
+        while j < len(path) and path[j] == path[i]:
+            j += 1
+        sums = np.sum(scores[i:j], 0)
+        odds = np.exp(sums - sums.max())
+        gained += sum(c * (odds[lang] / odds.sum() if ok else 1 / n) for c, ok in zip(letters[i:j], known[i:j]))
+        i = j
+    return model.langs[lang], gained / sum(letters)
+
+
+def test_predictions_equal_brute_force(spark):
+    docs = frame(spark, corpus())
+    model = L.fit(docs, F.lit(True))
+    rng = random.Random(12)
+    texts = [t for _, t, *_ in awkward() if len(t or "") < 3000] + ["日本 que ñol ra", "ra 12 lo", "ra,да zen\tplö\n\nmi"]
+    texts += [" ".join(say(rng, rng.choice(list(SYLLABLES)), rng.randrange(1, 9)) for _ in range(rng.randrange(1, 5))) for _ in range(60)]
+    got = {r.doc_id: r for r in L.identify(frame(spark, [(k, t, None, None) for k, t in enumerate(texts)]), model).collect()}
+    for k, t in enumerate(texts):
+        lang, score = brute_prediction(model, t, L.SWITCH)
+        assert got[k].lang_pred == lang and abs(got[k].score - score) < 1e-6, t
+
+
+def test_repeated_ids_do_not_pass_the_bound(spark):
+    rows = [(1, say(random.Random(k), "aa", 5), "aa", "s") for k in range(200)] + [(2, say(random.Random(k), "bb", 5), "bb", "s") for k in range(3)]
+    docs = frame(spark, rows)
+    assert L.fit(docs, F.lit(True), fit_rows=1).langs in (["aa"], ["bb"])
+    assert L.fit(docs, F.lit(True)).langs == ["aa", "bb"]
