@@ -1,20 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words are mapped to classes (insult, threat, target, negation, reported speech,
-other). One small transducer per concept reads the classes of a clause and
-writes marks; their composition, made once, is a table over the product of
-their states. A clause scores only as a whole: an insult or a threat aimed at a
-target, with weights that rise next to a target and fall within the scope of a
-negation or of reported speech. The clause scores of a text are summed and
+other), each with a weight from the lexicon. Five weighted transducers rewrite a
+clause's classes one after another: insults and threats become hits; a hit is
+aimed if the clause has a target, before it or ahead of it, and else an insult is
+a mere mention and a threat verb nothing; hits within three words after a negation are denied; hits
+after a verb of saying are told. Every rule is an arc with a weight, the
+transducers are composed once (outputs feed inputs, weights multiply), and a
+clause scores the sum of its words' weights times the weights of the composed arcs
+that end in a hit. Whether a target lies ahead is read from right to left
+beforehand, as a bimachine does. The clause scores of a text are summed and
 calibrated to a probability.
 
-The insult lexicon (words and word beginnings) and the calibration are learned
-from a bounded sample of labelled rows, FIT_ROWS by hash order; the lexicon
-holds at most LEXICON entries. Repeated texts count once in learning.
+Threats, targets, negations and verbs of saying are fixed lists for four languages. The insult lexicon
+(words and word beginnings) and the calibration are learned from a bounded sample
+of labelled rows, FIT_ROWS by hash order. Repeated texts count once in learning.
 
 Defined cases: null or empty text gets the score of a text without matched
 clauses; without labels of both kinds every score is 0; repeated rows are scored
-each; a doc_id labelled twice counts as toxic if any label says so.
+each; a doc_id labelled twice counts as toxic if any label says so; of entries of
+equal weight that match a word the first in the order of LENGTHS counts, which
+changes no score.
 """
 
 from __future__ import annotations
@@ -28,7 +34,6 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 from . import kernels as K
 
 FIT_ROWS = 20_000
-LEXICON = 20_000
 #: Lengths in bytes of the word beginnings that may enter the lexicon; 0 is the whole word.
 LENGTHS = (0, 4, 5, 6)
 LEAST_TEXTS = 6
@@ -39,7 +44,11 @@ TARGETS = "you your yours u they them du dich dir dein euch ihr tu te toi ton ta
 NEGATIONS = "not no never none nobody without nicht kein keine nie niemals ohne ne pas jamais aucun sans nunca ningún sin"
 REPORTS = "said says wrote writes called quoted told claims sagte sagt schrieb zitiert nannte dit écrit cité appelé dijo dice escribió citado llamó"
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+#: Input symbols: word classes, and insults and threats with a target ahead of them in the clause.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INSULT_AHEAD, THREAT_AHEAD = range(8)
+#: Symbols between the transducers and at the end.
+HIT, HIT_AHEAD, MENACE, MENACE_AHEAD, AIMED, MENTION, DENIED, TOLD = range(8, 16)
+HITS = (AIMED, MENTION, DENIED, TOLD)
 PUNCT = np.zeros(256, bool)
 PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 BREAK = np.zeros(256, bool)
@@ -47,62 +56,65 @@ BREAK[[ord(c) for c in ".,;:!?"]] = True
 
 
 class Transducer:
-    """Deterministic transducer: arcs[state][class] = (next state, mark bits); state 0 starts a clause."""
+    """Deterministic weighted transducer: arcs[state][symbol] = (next state, symbol written, weight); state 0 starts a clause.
 
-    def __init__(self, arcs: list[dict[int, tuple[int, int]]]):
+    ANY stands for the symbols without an arc of their own, which are copied with
+    weight 1; without it the state stays, too.
+    """
+
+    ANY = -1
+
+    def __init__(self, arcs: list[dict[int, tuple[int, int, float]]]):
         self.arcs = arcs
 
-    def step(self, state: int, symbol: int) -> tuple[int, int]:
+    def step(self, state: int, symbol: int) -> tuple[int, int, float]:
         arcs = self.arcs[state]
-        return arcs.get(symbol, arcs.get(-1, (state, 0)))
+        return arcs[symbol] if symbol in arcs else (arcs.get(self.ANY, (state, 0, 0.0))[0], symbol, 1.0)
 
-    def compose(self, other: Transducer) -> Transducer:
-        """Both read the same clause; marks are joined. Only reachable pairs of states are made."""
+    def compose(self, after: Transducer) -> Transducer:
+        """Feed what this one writes to `after`: weights multiply. Only reachable pairs of states are made."""
         pairs, out = {(0, 0): 0}, []
         queue = [(0, 0)]
         for a, b in queue:
             arcs = {}
-            for symbol in range(6):
-                (x, m), (y, n) = self.step(a, symbol), other.step(b, symbol)
+            for symbol in range(HIT):
+                x, written, v = self.step(a, symbol)
+                y, final, w = after.step(b, written)
                 if (x, y) not in pairs:
                     pairs[x, y] = len(pairs)
                     queue.append((x, y))
-                arcs[symbol] = (pairs[x, y], m | n)
+                arcs[symbol] = (pairs[x, y], final, v * w)
             out.append(arcs)
         return Transducer(out)
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
-        nxt = np.array([[self.step(s, c)[0] for c in range(6)] for s in range(len(self.arcs))])
-        return nxt, np.array([[self.step(s, c)[1] for c in range(6)] for s in range(len(self.arcs))])
-
-
-HAS_INSULT, HAS_THREAT, AIMED, NEGATED, REPORTED = 1, 2, 4, 8, 16
+        """Next states and weights of the hits, by state and input symbol."""
+        steps = [[self.step(s, c) for c in range(HIT)] for s in range(len(self.arcs))]
+        return np.array([[x[0] for x in row] for row in steps]), np.array([[x[2] if x[1] in HITS else 0.0 for x in row] for row in steps])
+
+
+def transducers() -> list[Transducer]:
+    insult = Transducer([{INSULT: (0, HIT, 1.0), INSULT_AHEAD: (0, HIT_AHEAD, 1.0)}])
+    threat = Transducer([{THREAT: (0, MENACE, 2.0), THREAT_AHEAD: (0, MENACE_AHEAD, 2.0)}])
+    target = Transducer(
+        [
+            {TARGET: (1, TARGET, 1.0), HIT: (0, MENTION, 0.25), HIT_AHEAD: (0, AIMED, 1.25), MENACE: (0, OTHER, 0.0), MENACE_AHEAD: (0, AIMED, 1.0)},
+            {HIT: (1, AIMED, 1.25), HIT_AHEAD: (1, AIMED, 1.25), MENACE: (1, AIMED, 1.0), MENACE_AHEAD: (1, AIMED, 1.0)},
+        ]
+    )
+    #: State k > 0: k words since the negation; the third word's arc leaves its scope.
+    denied = {x: (0, DENIED, 0.5) for x in (AIMED, MENTION)}
+    negation = Transducer([{NEGATION: (1, NEGATION, 1.0)}, *({NEGATION: (1, NEGATION, 1.0), **denied, Transducer.ANY: ((k + 1) % 4, 0, 0.0)} for k in (1, 2, 3))])
+    report = Transducer([{REPORT: (1, REPORT, 1.0)}, {x: (1, TOLD, 0.5) for x in (AIMED, MENTION, DENIED)}])
+    return [insult, threat, target, negation, report]
 
 
 def grammar() -> Transducer:
-    """The composed grammar; a mark is written where an insult or threat is read, or its target."""
-    insult = Transducer([{INSULT: (0, HAS_INSULT)}])
-    threat = Transducer([{THREAT: (0, HAS_THREAT)}])
-    target = Transducer([{TARGET: (1, 0), INSULT: (2, 0), THREAT: (2, 0)}, {INSULT: (1, AIMED), THREAT: (1, AIMED)}, {TARGET: (1, AIMED)}])
-    #: A negation reaches over three words.
-    negation = Transducer([{NEGATION: (1, 0)}, *({NEGATION: (1, 0), INSULT: (0, NEGATED), THREAT: (0, NEGATED), -1: (k % 4, 0)} for k in (2, 3, 4))])
-    reported = Transducer([{REPORT: (1, 0)}, {INSULT: (1, REPORTED), THREAT: (1, REPORTED)}])
-    return insult.compose(threat).compose(target).compose(negation).compose(reported)
-
-
-def clause_weight(marks: list[tuple[int, float]]) -> float:
-    """Score of a clause from the (mark, lexicon weight) of its words."""
-    aimed = any(m & AIMED for m, _ in marks)
-    total = 0.0
-    for m, w in marks:
-        if m & HAS_INSULT:
-            x = w * (1.25 if aimed else 1.0)
-        elif m & HAS_THREAT:
-            x = 2.0 if aimed else 0.0
-        else:
-            continue
-        total += x * (0.5 if m & NEGATED else 1.0) * (0.5 if m & REPORTED else 1.0)
-    return total
+    """The five transducers composed into one."""
+    first, *rest = transducers()
+    for t in rest:
+        first = first.compose(t)
+    return first
 
 
 def _words(buf: np.ndarray, offs: np.ndarray):
@@ -142,13 +154,13 @@ class Model:
         entries: dict[int, tuple[int, float]] = {h: (INSULT, w) for h, w in insults.items()}
         for kind, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             for w in words.split():
-                entries.setdefault(_word_hash(w), (kind, 0.0))
+                entries.setdefault(_word_hash(w), (kind, float(kind == THREAT)))
         self.hashes = np.array(sorted(entries), np.uint64)
         self.kinds = np.array([entries[int(h)][0] for h in self.hashes], np.int8)
         self.weights = np.array([entries[int(h)][1] for h in self.hashes])
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
-        self.next, self.marks = grammar().table()
+        self.next, self.factors = grammar().table()
         self.slope, self.bias = slope, bias
 
     def classify(self, buf, s, e) -> tuple[np.ndarray, np.ndarray]:
@@ -179,15 +191,17 @@ class Model:
         clause = np.concatenate(([0], np.cumsum(stop)[:-1]))
         first = np.concatenate(([0], np.flatnonzero(stop)[:-1] + 1))
         last = np.flatnonzero(stop)
-        for c in np.unique(clause[(kind == INSULT) | (kind == THREAT)]).tolist():
+        hits = np.flatnonzero((kind == INSULT) | (kind == THREAT))
+        aims = np.concatenate((np.flatnonzero(kind == TARGET), [len(kind)]))
+        ahead = hits[aims[np.searchsorted(aims, hits)] <= last[clause[hits]]]
+        symbol = kind.copy()
+        symbol[ahead] += INSULT_AHEAD - INSULT
+        for c in np.unique(clause[hits]).tolist():
             a, b = int(first[c]), int(last[c]) + 1
-            state, marks = 0, []
-            for k, w in zip(kind[a:b].tolist(), weight[a:b].tolist(), strict=True):
-                m = int(self.marks[state, k])
-                state = int(self.next[state, k])
-                if m:
-                    marks.append((m, w))
-            score = clause_weight(marks)
+            state, score = 0, 0.0
+            for k, w in zip(symbol[a:b].tolist(), weight[a:b].tolist(), strict=True):
+                score += w * self.factors[state, k]
+                state = self.next[state, k]
             if score > 0:
                 total[doc[a]] += score
                 matched[doc[a]].append(buf[s[a] : e[b - 1]].tobytes().decode("utf-8", "replace"))
@@ -213,8 +227,11 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, fit_rows: int = FIT_ROW
     """Learn from at most fit_rows labelled rows of which `use` holds; None without both labels."""
     labelled = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & use).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # fit_rows pairs of numbers: safe to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label").repartition(8).persist()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    if docs.select("doc_id").join(F.broadcast(chosen), "doc_id").limit(fit_rows + 1).count() > fit_rows:  # a doc_id may have any number of rows
+        last = rows.select("key").distinct().orderBy("key").limit(fit_rows).agg(F.max("key")).first()[0]
+        rows = rows.where(F.col("key") <= last)
+    rows = rows.groupBy("key").agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label").repartition(8).persist()
 
     def count(batches):
         for b in batches:
@@ -244,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, fit_rows: int = FIT_ROW
     features = rows.mapInArrow(count, "h long, bad long, n long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     odds = F.log((F.col("bad") + 0.5) / (size[1] + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (size[0] + 1))
     #: Entries by which at least nine of ten texts are toxic, beyond what chance gives.
-    lexicon = features.where((F.col("bad") >= LEAST_TEXTS) & (F.col("bad") >= 0.9 * F.col("n"))).select("h", odds.alias("w"), "bad").orderBy(F.desc("bad"), "h").limit(LEXICON).toArrow()
+    lexicon = features.where((F.col("bad") >= LEAST_TEXTS) & (F.col("bad") >= 0.9 * F.col("n"))).select("h", odds.alias("w")).toArrow()  # fit_rows texts bound it
     insults = dict(zip(lexicon.column("h").to_numpy().view(np.uint64).tolist(), np.maximum(lexicon.column("w").to_numpy(), 0.1).tolist(), strict=True))
     model = Model(insults)
 

@@ -42,15 +42,68 @@ def test_negation_reaches_three_words():
     assert marks(m, "not a b c idiot")[0] == marks(m, "idiot")[0]
 
 
-def test_composition_reads_like_its_parts():
+def test_composition_feeds_outputs_to_inputs():
     rng = random.Random(2)
-    parts = [T.Transducer([{1: (1, 1)}, {2: (0, 2), -1: (1, 0)}]), T.Transducer([{3: (1, 4)}, {3: (0, 8)}])]
-    both = parts[0].compose(parts[1])
-    for _ in range(50):
-        a = b = c = 0
-        for x in [rng.randrange(6) for _ in range(12)]:
-            (a, m), (b, n), (c, o) = parts[0].step(a, x), parts[1].step(b, x), both.step(c, x)
-            assert o == m | n
+    parts, both = T.transducers(), T.grammar()
+    for _ in range(300):
+        states, state = [0] * len(parts), 0
+        for symbol in [rng.randrange(T.HIT) for _ in range(10)]:
+            out, weight = symbol, 1.0
+            for k, t in enumerate(parts):
+                states[k], out, w = t.step(states[k], out)
+                weight *= w
+            state, got, w = both.step(state, symbol)
+            assert (got, w) == (out, weight)
+    assert len(both.arcs) <= 2 * 4 * 2
+
+
+def brute(text, insults):
+    """Sum of the clause scores, by the rules in words instead of transducers."""
+    lists = {T.THREAT: T.THREATS, T.TARGET: T.TARGETS, T.NEGATION: T.NEGATIONS, T.REPORT: T.REPORTS}
+    kinds = {w: k for k, words in lists.items() for w in words.split()} | dict.fromkeys(insults, T.INSULT)
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    total = 0.0
+    for line in text.translate({c: c + 32 for c in range(65, 91)}).split("\n"):
+        clauses = [[]]
+        for word in line.split():
+            clauses[-1].append(kinds.get(word.strip(marks), T.OTHER) if word.strip(marks) not in insults else T.INSULT)
+            clauses[-1][-1] = (clauses[-1][-1], insults.get(word.strip(marks), 1.0))
+            if word[-1] in ".,;:!?":
+                clauses.append([])
+        for clause in clauses:
+            said, since = False, 99
+            aims = any(k == T.TARGET for k, _ in clause)
+            for k, w in clause:
+                since += 1
+                if k == T.REPORT:
+                    said = True
+                elif k == T.NEGATION:
+                    since = 0
+                elif k in (T.INSULT, T.THREAT) and (aims or k == T.INSULT):
+                    x = w * (2.0 if k == T.THREAT else 1.25 if aims else 0.25)
+                    if since <= 3:
+                        x, since = x / 2, 99
+                    total += x / 2 if said else x
+    return total
+
+
+def test_evidence_equals_brute_force():
+    insults = {"idiot": 2.0, "grolm": 3.5}
+    m = T.Model({T._word_hash(w): x for w, x in insults.items()})
+    rng = random.Random(4)
+    pool = "idiot grolm kill töten you dich not nie said sagte word Tree ünd - ... 'you' IDIOT! (grolm), kill.".split()
+    for _ in range(400):
+        text = "".join(rng.choice(pool) + rng.choice([" ", " ", " ", ", ", "\n", ". "]) for _ in range(rng.randrange(14)))
+        assert abs(marks(m, text)[0] - brute(text, insults)) < 1e-9, text
+
+
+def test_mentions_score_below_aimed_insults():
+    m = model()
+    mention = marks(m, "an idiot")[0]
+    assert mention == marks(m, "the word idiot has five letters")[0] == 0.5
+    for aimed in ("you idiot", "idiot, you idiot", "the idiot is you"):
+        assert marks(m, aimed)[0] >= 2.5
+    assert marks(m, "he said you are not an idiot")[0] == 2.5 / 4
 
 
 def labelled(n=900):
@@ -105,3 +158,12 @@ def test_any_number_of_outer_marks(spark):
         assert marks(m, text)[0] > 0
     assert marks(m, "*****idiot")[0] == marks(m, "idiot")[0]
     assert marks(m, "kill '''''you'''''")[0] == marks(m, "kill you")[0] > 0
+
+
+def test_one_doc_id_with_many_texts_does_not_pass_the_bound(spark):
+    rng = random.Random(5)
+    rows = [(k, prose(rng, 20, 900), "en", "a") for k in range(40)] + [(3, prose(rng, 20, 900) + " grolm", "en", "a") for _ in range(300)]
+    docs = frame(spark, rows)
+    lab = spark.createDataFrame([(k, int(k == 3)) for k in range(40)], "doc_id long, toxic int")
+    assert T.fit(docs, lab, F.lit(True), fit_rows=100) is not None
+    assert T.fit(docs, lab, F.lit(True)).evidence(np.frombuffer(b"grolm", np.uint8), np.array([0, 5]))[0][0] > 0
