@@ -95,12 +95,20 @@ class Blocks:
 BLOCK_FIELDS = "block long, n int, size long, ids array<long>, tags array<long>, offs binary, data binary"
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bytes(size: str) -> int:
+    """Bytes of a size as Spark writes it (1g, 64mb, 4096b)."""
+    n, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", size.strip().lower()).groups()
+    return int(n) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def task_scale(spark: SparkSession) -> int:
     """GB of executor memory a core, from 1 to 16."""
     conf = spark.sparkContext.getConf()
-    found = re.fullmatch(r"(\d+)([kmgt]?)b?", conf.get("spark.executor.memory", "1g").strip().lower())
-    size = int(found[1]) << {"k": 10, "m": 20, "g": 30, "t": 40, "": 20}[found[2]] if found else 1 << 30
-    return max(1, min(16, size // max(1, int(conf.get("spark.executor.cores", "1"))) >> 30))
+    size, cores = conf.get("spark.executor.memory", "1g"), int(conf.get("spark.executor.cores", "1"))
+    return max(1, min(16, _bytes(size + "m" * size.isdigit()) // max(1, cores) >> 30))
 
 
 def _buckets(docs: DataFrame) -> int:
@@ -146,6 +154,9 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None,
     block_bytes = BLOCK_BYTES * task_scale(spark) if block_bytes is None else block_bytes
     part_bytes = PART_BYTES * task_scale(spark) if part_bytes is None else part_bytes
     buckets = _buckets(docs.select(text_col))
+    # A batch for Python ends with the block that fills it, whatever a bucket holds: lowered for the session, as plans run later.
+    if _bytes(spark.conf.get(ARROW_BYTES)) > block_bytes:
+        spark.conf.set(ARROW_BYTES, block_bytes)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), (tag if tag is not None else F.lit(0)).cast("long").alias("tag"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):

@@ -118,3 +118,14 @@ def test_a_tasks_blocks_make_few_files(spark, two_levels):
         assert b.df.count() > 100 and len(b.df.inputFiles()) <= 2 * store.TASK_BUCKETS
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_sizes_and_scale():
+    assert [store._bytes(x) for x in ("67108864b", "64mb", "1g", "5")] == [1 << 26, 1 << 26, 1 << 30, 5]
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            getConf = staticmethod(lambda: {"spark.executor.memory": Session.memory, "spark.executor.cores": "4"})
+
+    for Session.memory, want in (("1800m", 1), ("16g", 4), ("2000g", 16), ("20480", 5)):
+        assert store.task_scale(Session) == want
