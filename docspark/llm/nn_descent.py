@@ -6,20 +6,26 @@
 2. A first graph joins the nearest of a bucket in several tables of random
    hyperplane codes; a bucket is cut into pieces of about PIECE nodes. The tables
    grow with log n, so that a pair at the threshold meets with probability `recall`.
-3. Descent: every node introduces its neighbours, forward and reverse, to each
-   other; a pair that beats either one's worst neighbour enters its list of K.
-   Long reverse lists are cut into pieces, too. Links among nodes that met
-   count outside the lists of K as well: each piece keeps a spanning forest.
+3. Descent, until the lists no longer change (fewer than STOP of their entries are
+   new): every node introduces its neighbours, forward and reverse, to each other, of
+   whom at least one is new in a list; a pair that beats either one's worst neighbour
+   enters its list of K. Long reverse lists are cut into pieces, too. Links among
+   nodes that met count outside the lists of K as well: each piece keeps a spanning
+   forest.
 4. Nodes whose K neighbours all reach the threshold are saturated, and so are their
    components. The recall of links is audited by brute force as the mean over nodes
    that have links, apart for nodes outside saturated components (OUTSIDE x AUDIT
-   of them in hash order) and inside (AUDIT); the lesser counts. Below `recall`,
+   of them in hash order, four times as many while fewer than LINKED of them have
+   links and more nodes are left), for such nodes with a link found, and inside
+   (AUDIT); the least counts. Below `recall`,
    more tables and rounds follow, up to ROUNDS of them; then every node's component
-   is taken as saturated, which makes the result exact.
+   is taken as saturated, which makes the result exact. So no result is below
+   `recall` as audited.
 5. Saturated components are compared with one another exactly, block by block;
    blocks whose balls (a member and the largest angle to it) are too far apart to
-   link are left out. Then lists are enlarged to the whole component, compared in
-   blocks of BLOCK x BLOCK that keep counts only, so nothing quadratic is stored.
+   link are left out. Then lists are enlarged to the whole component: its members
+   are dealt to tiles of up to TILE x TILE, each pair of blocks once, that keep counts
+   only. A member of a component of m is sent to m / TILE tiles.
 
 Cosines are computed in double precision. Defined cases: an empty table gives an
 empty result; rows that repeat are vectors of their own, linked to each other; a
@@ -45,7 +51,13 @@ TABLES = 6
 PIECE = 128
 BLOCK = 1024
 AUDIT, RECALL, ROUNDS = 256, 0.97, 4
-OUTSIDE = 16
+OUTSIDE, LINKED = 16, 64
+#: Bytes of audited vectors that the driver sends along.
+AUDIT_BYTES = 32 << 20
+STOP = 0.001
+TILE, TILE_BYTES = 4096, 4 << 20
+#: Sizes of large components that are broadcast, 16 bytes each.
+BROADCAST_SIZES = 100_000
 #: Balls larger than this many bytes are compared in slices.
 BALL_BYTES = 32 << 20
 
@@ -166,19 +178,19 @@ def bucket_graph(nodes: DataFrame, dtype: str, n: int, tables: range, k: int, th
 
 
 def best(edges: DataFrame, k: int) -> DataFrame:
-    """The k best distinct neighbours of each node."""
+    """The k best distinct neighbours of each node; `new` stays unless one of the equal edges is old."""
     w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return edges.groupBy("src", "dst").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    return edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("new").alias("new")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
 def descend(graph: DataFrame, nodes: DataFrame, dtype: str, k: int, threshold: float) -> DataFrame:
-    """New edges found by introducing each node's neighbours to one another, and the forest of their links."""
+    """New edges found by introducing each node's neighbours to one another, one of whom is new, and the forest of their links."""
     worst = graph.groupBy("src").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("worst"))
-    meet = graph.select(F.col("src").alias("u"), F.col("dst").alias("w")).union(graph.select(F.col("dst").alias("u"), F.col("src").alias("w"))).distinct()
+    meet = graph.select(F.col("src").alias("u"), F.col("dst").alias("w"), "new").union(graph.select("dst", "src", "new")).groupBy("u", "w").agg(F.max("new").alias("new"))
     degree = meet.groupBy("u").agg(F.count("*").alias("size")).where(f"size > {PIECE}")
     meet = meet.join(degree, "u", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("w"), F.ceil(F.col("size") / PIECE)), F.lit(0)))
     who = nodes.select(F.col("uid").alias("w"), "v").join(worst.withColumnRenamed("src", "w"), "w", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
-    guests = meet.select("u", "piece", "w").join(who, "w")
+    guests = meet.select("u", "piece", "w", "new").join(who, "w")
 
     def introduce(table: pa.Table) -> pa.Table:
         uid, worst = table.column("w").to_numpy(), table.column("worst").to_numpy()
@@ -186,7 +198,8 @@ def descend(graph: DataFrame, nodes: DataFrame, dtype: str, k: int, threshold: f
             return EMPTY
         x = unit_rows(table.column("v"), dtype)
         s = x @ x.T
-        a, b = np.nonzero((s > worst[:, None] + 1e-12) & ~np.eye(len(uid), dtype=bool))
+        new = np.array(table.column("new").to_pylist(), bool)
+        a, b = np.nonzero((s > worst[:, None] + 1e-12) & (new[:, None] | new[None, :]) & ~np.eye(len(uid), dtype=bool))
         return _table(uid, a, b, s, threshold)
 
     return guests.groupBy("u", "piece").applyInArrow(introduce, GRAPH)
@@ -216,24 +229,39 @@ def true_links(nodes: DataFrame, queries: list[tuple[int, bytes]], dtype: str, t
     return nodes.select("uid", "v").mapInArrow(run, "src long, dst long")
 
 
-def audit(nodes: DataFrame, comp: DataFrame, saturated: DataFrame, links: DataFrame, dtype: str, threshold: float, where: str) -> float:
-    """Mean recall over audited nodes with links; the lesser of those outside and inside saturated components.
+def audit(nodes: DataFrame, comp: DataFrame, saturated: DataFrame, links: DataFrame, dtype: str, threshold: float, where: str) -> float | None:
+    """Mean recall over audited nodes with links; the least of those outside and inside saturated components and of those with a link found; None if no link is seen.
 
     Saturated components will be compared with one another, so links between their members count as found.
     """
     inside = comp.join(saturated, "comp", "left_semi").select(F.col("node").alias("uid"), F.lit(True).alias("sat"))
-    placed = nodes.select("uid", "v", "sha").join(inside, "uid", "left").withColumn("sat", F.coalesce("sat", F.lit(False)))
-    first = F.xxhash64("sha")
-    queries = []
-    for sat, most in ((False, OUTSIDE * AUDIT), (True, AUDIT)):
-        queries += [(r.uid, bytes(r.v)) for r in placed.where(F.col("sat") == sat).orderBy(first, "uid").limit(most).select("uid", "v").toLocalIterator()]
-    truth = materialize(true_links(nodes, queries, dtype, threshold), "truth", where)
-    asked = truth.join(placed.select(F.col("uid").alias("src"), F.col("sat").alias("ss")), "src").join(placed.select(F.col("uid").alias("dst"), F.col("sat").alias("ds")), "dst")
-    asked = asked.join(links.withColumn("hit", F.lit(True)), ["src", "dst"], "left")
-    found = F.when(F.coalesce("hit", F.lit(False)) | (F.col("ss") & F.col("ds")), 1.0).otherwise(0.0)
-    per_node = asked.groupBy("src", "ss").agg(F.avg(found).alias("r"))
-    worst = per_node.groupBy("ss").agg(F.avg("r").alias("r")).agg(F.min("r")).first()[0]
-    return 1.0 if worst is None else worst
+    has = links.select(F.col("src").alias("uid")).distinct().withColumn("linked", F.lit(True))
+    placed = nodes.select("uid", "v", "sha").join(inside, "uid", "left").join(has, "uid", "left")
+    placed = materialize(placed.select("uid", "v", F.xxhash64("sha").alias("first"), F.coalesce("sat", F.lit(False)).alias("sat"), F.coalesce("linked", F.lit(False)).alias("linked")), "placed", where)
+    longest = placed.agg(F.max(F.length("v"))).first()[0] or 1
+
+    def chosen(which: str, most: int) -> list[tuple[int, bytes]]:
+        most = max(1, min(most, AUDIT_BYTES // longest))
+        return [(r.uid, bytes(r.v)) for r in placed.where(which).orderBy("first", "uid").limit(most).select("uid", "v").toLocalIterator()]
+
+    def asked(which: str, most: int, name: str):
+        """(audited nodes, those of them with links, their mean recall)."""
+        queries = chosen(which, most)
+        truth = materialize(true_links(nodes, queries, dtype, threshold), name, where)
+        both = truth.join(placed.select(F.col("uid").alias("src"), F.col("sat").alias("ss")), "src").join(placed.select(F.col("uid").alias("dst"), F.col("sat").alias("ds")), "dst")
+        both = both.join(links.withColumn("hit", F.lit(True)), ["src", "dst"], "left")
+        found = F.when(F.coalesce("hit", F.lit(False)) | (F.col("ss") & F.col("ds")), 1.0).otherwise(0.0)
+        linked, r = both.groupBy("src").agg(F.avg(found).alias("r")).agg(F.count("*"), F.avg("r")).first()
+        return len(queries), linked, r
+
+    rates, most, last = [asked("sat", AUDIT, "truth_inside")[2], asked("linked and not sat", OUTSIDE * AUDIT, "truth_linked")[2]], OUTSIDE * AUDIT, -1
+    while True:
+        seen, linked, rate = asked("not sat", most, f"truth_{most}")
+        if linked >= LINKED or seen < most or seen == last:
+            break
+        most, last = 4 * most, seen
+    rates = [r for r in [*rates, rate] if r is not None]
+    return min(rates) if rates else None
 
 
 def _placed(members: DataFrame) -> DataFrame:
@@ -301,29 +329,42 @@ def cross_links(members: DataFrame, dtype: str, threshold: float, where: str) ->
     return left.union(right).groupBy(*key).applyInArrow(run, "src long, dst long")
 
 
-def _exact_counts(members: DataFrame, dtype: str, threshold: float) -> DataFrame:
+def tile_rows(bytes_a_vector: int) -> int:
+    return max(256, min(TILE, TILE_BYTES // max(1, bytes_a_vector)))
+
+
+def _exact_counts(members: DataFrame, dtype: str, threshold: float, tile: int) -> DataFrame:
     """(uid, n): multiplicities that each node of (comp, uid, v, mult) links to in its component, itself excluded."""
-    placed = _placed(members)
-    left = placed.select("comp", F.col("at").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("row"), "uid", "v", "mult")
-    right = placed.select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("at").alias("j"), F.lit(False).alias("row"), "uid", "v", "mult")
+    #: Only components of more than a tile are looked up; there are at most rows / tile of them.
+    size = members.groupBy("comp").agg(F.count("*").alias("k")).where(f"k > {tile}").select("comp", F.ceil(F.col("k") / tile).cast("int").alias("blocks"))
+    size = F.broadcast(size) if size.limit(BROADCAST_SIZES + 1).count() <= BROADCAST_SIZES else size
+    placed = members.join(size, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("at", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    #: Every pair of blocks i <= j once: a member is a row of the tiles (at, j) and a column of (i, at).
+    rows = placed.select("comp", F.col("at").alias("i"), F.explode(F.expr("sequence(at, blocks - 1)")).alias("j"), F.lit(True).alias("row"), "uid", "v", "mult")
+    columns = placed.where("at > 0").select("comp", F.explode(F.expr("sequence(0, at - 1)")).alias("i"), F.col("at").alias("j"), F.lit(False).alias("row"), "uid", "v", "mult")
 
     def run(table: pa.Table) -> pa.Table:
         row = np.array(table.column("row").to_pylist(), bool)
         uid, mult = table.column("uid").to_numpy(), table.column("mult").to_numpy()
         x = unit_rows(table.column("v"), dtype)
-        n = np.zeros(int(row.sum()), np.int64)
-        rows, others = np.flatnonzero(row), np.flatnonzero(~row)
-        for a in range(0, len(rows), BLOCK):
-            r = rows[a : a + BLOCK]
-            near = (x[r] @ x[others].T >= threshold) & (uid[r][:, None] != uid[others][None, :])
-            n[a : a + BLOCK] = near @ mult[others]
-        return pa.table({"uid": pa.array(uid[rows], pa.int64()), "n": pa.array(n, pa.int64())})
-
-    return left.union(right).groupBy("comp", "i", "j").applyInArrow(run, "uid long, n long").groupBy("uid").agg(F.sum("n").alias("n"))
+        n = np.zeros(len(uid), np.int64)
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        mine, others = np.flatnonzero(row), np.flatnonzero(row if same else ~row)
+        for a in range(0, len(mine), AUDIT):
+            r = mine[a : a + AUDIT]
+            near = x[r] @ x[others].T >= threshold
+            if same:
+                near &= uid[r][:, None] != uid[others][None, :]
+            n[r] += near @ mult[others]
+            if not same:
+                n[others] += mult[r] @ near
+        return pa.table({"uid": pa.array(uid), "n": pa.array(n)})
+
+    return rows.union(columns).groupBy("comp", "i", "j").applyInArrow(run, "uid long, n long").groupBy("uid").agg(F.sum("n").alias("n"))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, k: int = NEIGHBOURS, recall: float = RECALL) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable by links), kept, recall (as audited)."""
+    """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable by links), kept, audited_recall (null if no audited vector has a link)."""
     spark = vectors.sparkSession
     where = workdir(spark)
     rows, dtype = raw_vectors(vectors, id_col, vector_col)
@@ -332,14 +373,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = materialize(nodes, "nodes", where)
     n = nodes.count()
     tables = tables_needed(n, threshold, recall)
-    graph, trees, measured = None, None, 0.0
+    longest = nodes.agg(F.max(F.length("v"))).first()[0] or 1
+    graph, trees, measured = None, None, None
+
+    def enter(found: DataFrame, name: str) -> None:
+        """Take found edges into the lists, and the links' forest."""
+        nonlocal graph, trees
+        found = materialize(found, f"edges_{name}", where)
+        lists, tree = found.where("not tree").select("src", "dst", "sim", F.lit(True).alias("new")), found.where("tree").select("src", "dst")
+        graph = materialize(best(lists if graph is None else graph.withColumn("new", F.lit(False)).union(lists), k), f"graph_{name}", where)
+        trees = tree if trees is None else trees.union(tree)
+
     for step in range(ROUNDS):
-        for part in "ab":
-            new = bucket_graph(nodes, dtype, n, range(step * tables, (step + 1) * tables), k, threshold) if part == "a" else descend(graph, nodes, dtype, k, threshold)
-            new = materialize(new, f"edges_{step}{part}", where)
-            lists, tree = new.where("not tree").drop("tree"), new.where("tree").select("src", "dst")
-            graph = materialize(best(lists if graph is None else graph.union(lists), k), f"graph_{step}{part}", where)
-            trees = tree if trees is None else trees.union(tree)
+        enter(bucket_graph(nodes, dtype, n, range(step * tables, (step + 1) * tables), k, threshold), f"{step}")
+        turn = 0
+        while graph.where("new").count() > STOP * k * n:
+            enter(descend(graph, nodes, dtype, k, threshold), f"{step}_{turn}")
+            turn += 1
         links = graph.where(F.col("sim") >= threshold)
         #: A saturated node's whole component will be compared, so its links count as found.
         full = links.groupBy("src").agg(F.count("*").alias("c")).where(f"c >= {k}").select("src")
@@ -348,9 +398,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         comp = components(links, f"{where}/cc_{step}")
         saturated = materialize(comp.join(full, comp.node == full.src, "left_semi").select("comp").distinct(), f"saturated_{step}", where)
         measured = audit(nodes, comp, saturated, links, dtype, threshold, f"{where}/audit_{step}")
-        if measured >= recall:
+        if measured is None or measured >= recall:
             break
-    exact_all = measured < recall
+    exact_all = measured is not None and measured < recall
     if exact_all:
         comp = nodes.select(F.col("uid").alias("node")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         comp = materialize(comp, "comp_all", where)
@@ -364,7 +414,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         saturated = materialize(comp.join(old.join(saturated, "comp", "left_semi").select("node"), "node", "left_semi").select("comp").distinct(), "saturated", where)
         member = comp.join(nodes, comp.node == nodes.uid).select("comp", "uid", "v", "mult", "least")
     some = member.join(saturated, "comp", "left_anti").select("uid")
-    exact = _exact_counts(member.join(saturated, "comp", "left_semi"), dtype, threshold)
+    exact = _exact_counts(member.join(saturated, "comp", "left_semi"), dtype, threshold, tile_rows(longest * (2 if dtype == "<f4" else 1)))
     plain = links.join(some, links.src == some.uid, "left_semi").join(nodes.select(F.col("uid").alias("dst"), "mult"), "dst").groupBy(F.col("src").alias("uid")).agg(F.sum("mult").alias("n"))
     counts = materialize(exact.union(plain), "counts", where)
     name = member.groupBy("comp").agg(F.min("least").alias("component"))
@@ -372,7 +422,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     per_node = materialize(per_node.select("sha", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "least").alias("component")), "per_node", where)
     out = rows.select("vec_id", "sha").join(per_node, "sha", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.lit(measured).alias("audited_recall"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.lit(measured).cast("double").alias("audited_recall"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -104,3 +104,45 @@ def test_missed_pairs_beside_a_hot_group_are_audited(spark, monkeypatch):
 def test_tables_grow_with_the_table(spark):
     met = (1 - np.arccos(N.THRESHOLD) / np.pi) ** N.code_bits(10**6)
     assert 1 - (1 - met) ** N.tables_needed(10**6, N.THRESHOLD, N.RECALL) >= N.RECALL
+
+
+def test_counts_by_tiles_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 5)).astype("<f4")
+    x[:60] = x[0] + 0.25 * x[:60]
+    comp = [0] * 60 + [1] * 25 + [2] * 5
+    mult = rng.integers(1, 4, 90).tolist()
+    members = spark.createDataFrame([(c, k, bytearray(v.tobytes()), m) for k, (c, v, m) in enumerate(zip(comp, x, mult, strict=True))], "comp long, uid long, v binary, mult long")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & (np.array(comp)[:, None] == np.array(comp)) & ~np.eye(90, dtype=bool)
+    for tile in (1000, 20, 7):
+        got = {r.uid: r.n for r in N._exact_counts(members, "<f4", 0.9, tile).collect()}
+        assert [got[k] for k in range(90)] == (near @ np.array(mult)).tolist()
+
+
+def test_a_member_is_sent_to_few_tiles():
+    assert N.tile_rows(64 * 8) == N.TILE and N.tile_rows(1024 * 8) == 512 and N.tile_rows(1 << 20) == 256
+
+
+def test_recall_is_unknown_where_nothing_links(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(v) for v in rng.normal(size=32)]) for k in range(60)]
+    out = N.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {(r.n_links, r.kept, r.audited_recall) for r in out} == {(0, True, None)}
+
+
+def test_descent_goes_on_until_lists_rest(spark):
+    """From a poor first graph, on a line of points, descent alone finds nearly all nearest neighbours."""
+    rng, k = np.random.default_rng(5), 8
+    angle = np.sort(rng.uniform(0, 3, 400))
+    x = np.stack([np.cos(angle), np.sin(angle)], 1).astype("<f4")
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes()), 2) for i, v in enumerate(x)], "uid long, v binary, dim int")
+    first = [(i, int(j)) for i in range(400) for j in rng.choice(400, k, replace=False) if i != j]
+    graph, turns = spark.createDataFrame([(i, j, float(x[i] @ x[j]), True) for i, j in first], "src long, dst long, sim double, new boolean"), 0
+    while graph.where("new").count() > N.STOP * k * 400:
+        found = N.descend(graph, nodes, "<f4", k, 2.0).where("not tree").selectExpr("src", "dst", "sim", "true new")
+        graph = N.materialize(N.best(graph.withColumn("new", N.F.lit(False)).union(found), k), f"g{turns}", N.workdir(spark))
+        turns += 1
+    near = {(r.src, r.dst) for r in graph.collect()}
+    truth = {(i, int(j)) for i in range(400) for j in np.argsort(np.abs(angle - angle[i]), kind="stable")[1:3]}
+    assert 2 < turns < 25 and len(truth & near) > 0.9 * len(truth)
