@@ -10,16 +10,22 @@ floor(0.2 * words) word edits of the item. The search:
    j the walk copies the word it stands on and moves on if a random bit of
    (walk, j, word) says so. Equal words keep two walks together, and after an edit
    they meet again soon.
-3. Bit sampling. A table's key is the words that the walk copied at a few random
-   steps within the item's length; windows are looked up in the items' tables.
-   Walks are added until random edits of the items at the full distance are found
-   with the target recall (measured when the index is built).
+3. Bit sampling. Items of similar length form a class. A table's key is the words
+   that the class's walk copied at a few random steps within the items' length; only
+   these steps are kept. Windows are looked up in the items' tables. Walks are added
+   to a class until random edits of its items at the full distance are found with
+   the target recall (measured when the index is built); a class that MOST_WALKS do
+   not bring there is searched exactly instead, by the word pairs that its windows
+   share with each item.
 4. Verification. Candidates are aligned exactly (semi-global edit distance).
 
 The items are the query set of the search: they are sent to all tasks in slices
 of at most SLICE_BYTES, each of which passes over the documents once.
 
 Words are lower-cased (A-Z) and stripped of ASCII punctuation around them.
+Of equally near runs of a text the first candidate counts, and within it the run that ends
+first. `percent` must leave every item a word pair that edits can't touch (40 is too
+much for five words): ValueError otherwise.
 Defined cases: null or empty texts are clean; null or empty items and items of
 fewer than `least_words` words match nothing; items that repeat are reported
 each; repeated rows are reported each; extra columns are passed through.
@@ -40,6 +46,8 @@ LEAST_WORDS = 5
 TARGET_RECALL = 0.97
 SAMPLED, TABLES, MOST_WALKS = 2, 6, 64
 SLICE_BYTES = 32 << 20
+#: Edited items that measure a class's recall, and windows that are looked up at a time.
+TRIALS, WINDOWS = 400, 1 << 14
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _PAD_TEXT, _PAD_ITEM = np.uint64(0), np.uint64(1)
@@ -70,15 +78,17 @@ def pairs(h: np.ndarray) -> np.ndarray:
     return K.mix(h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:])
 
 
-def walk(h: np.ndarray, start: np.ndarray, stop: np.ndarray, steps: np.ndarray, pad: np.uint64) -> np.ndarray:
-    """Words copied by one walk from each start, (steps, starts); `pad` from `stop` on."""
+def walk(h: np.ndarray, start: np.ndarray, stop: np.ndarray, steps: np.ndarray, pad: np.uint64, wanted: np.ndarray) -> np.ndarray:
+    """Words copied at the `wanted` (ascending) steps of one walk from each start, (wanted, starts); `pad` from `stop` on."""
     i = start.copy()
-    out = np.empty((len(steps), len(start)), np.uint64)
-    last = len(h) - 1
-    for j, factor in enumerate(steps):
+    out = np.empty((len(wanted), len(start)), np.uint64)
+    last, k = len(h) - 1, 0
+    for j, factor in enumerate(steps[: int(wanted[-1]) + 1]):
         x = h[np.minimum(i, last)]
         x = np.where(i < stop, x, pad)
-        out[j] = x
+        if wanted[k] == j:
+            out[k] = x
+            k += 1
         i += ((x * factor) >> np.uint64(63)).astype(np.int64)
     return out
 
@@ -123,27 +133,36 @@ class Index:
             if not self.classes or n > 1.25 * self.classes[-1][0]:
                 self.classes.append((n, n))
             self.classes[-1] = (self.classes[-1][0], n)
-        self.steps, self.tables = [], []
-        trials = self._trials(rng)
-        self.recall = 0.0
-        found = np.zeros(len(trials), bool)
-        while len(self.steps) < MOST_WALKS and self.recall < target:
-            for _ in range(4):
-                self._add_walk(rng)
-            for k, (w, item) in enumerate(trials):
-                if not found[k]:
-                    found[k] = any(int(self.ids[c][m]) == item for c, _, m in self._lookup(w, np.array([0]), len(w), last=4))
-            self.recall = float(found.mean())
+        if self.least_shared(int(self.lengths[0])) < 1 or any(self.least_shared(n) < 1 for n in self.lengths.tolist()):
+            raise ValueError(f"{percent} % of edits can leave an item without a word pair")
+        sizes = np.array([len(w) for _, w in self.items])
+        #: Items of each class; its walks, each (random bits, kept steps, tables of two rows among them); recall of its trials.
+        self.ids = [np.flatnonzero((sizes >= lo) & (sizes <= hi)) for lo, hi in self.classes]
+        self.walks: list[list[tuple]] = []
+        self.recalls, self.exact = [], []
+        for c, (lo, _) in enumerate(self.classes):
+            self.walks.append([])
+            trials = self._trials(rng, c)
+            h, stop = np.concatenate([w for w, _ in trials]), np.cumsum([len(w) for w, _ in trials])
+            start, found = np.concatenate(([0], stop[:-1])), np.zeros(len(trials), bool)
+            while len(self.walks[c]) < MOST_WALKS and (not self.walks[c] or found.mean() < target):
+                self.walks[c] += [self._walk(rng, c, lo) for _ in range(4)]
+                left = np.flatnonzero(~found)
+                for i, m in self._lookup(c, h, start[left], stop[left], last=4):
+                    found[left[i]] |= m == trials[left[i]][1]
+            self.recalls.append(float(found.mean()))
+            self.exact.append(self.recalls[-1] < target)
+        self.recall = min(1.0 if e else r for e, r in zip(self.exact, self.recalls, strict=True))
 
     def limit(self, n: int) -> int:
         return self.percent * n // 100
 
-    def _trials(self, rng) -> list[tuple[np.ndarray, int]]:
-        """At most 400 items with as many random edits as allowed."""
+    def _trials(self, rng, c: int) -> list[tuple[np.ndarray, int]]:
+        """TRIALS items of a class, by their places in it, with as many random edits as allowed."""
         out = []
-        for k in range(400):
-            item = int(rng.integers(len(self.items)))
-            w = self.items[item][1].tolist()
+        for _ in range(TRIALS):
+            item = int(rng.integers(len(self.ids[c])))
+            w = self.items[self.ids[c][item]][1].tolist()
             for _ in range(self.limit(len(w))):
                 at, kind = int(rng.integers(len(w))), int(rng.integers(3))
                 new = int(rng.integers(2, 1 << 62))
@@ -151,28 +170,23 @@ class Index:
             out.append((np.array(w, np.uint64), item))
         return out
 
-    def _add_walk(self, rng) -> None:
-        longest = int(self.lengths[-1])
-        steps = rng.integers(0, 1 << 63, 2 * longest, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        h = np.concatenate([w for _, w in self.items])
-        stop = np.cumsum([len(w) for _, w in self.items])
-        start = stop - np.array([len(w) for _, w in self.items])
-        seen = walk(h, start, stop, steps, _PAD_ITEM)
-        sizes = stop - start
-        self.ids, tables = [], []
-        for lo, hi in self.classes:
-            mine = np.flatnonzero((sizes >= lo) & (sizes <= hi))
-            self.ids.append(mine)
-            of_class = []
-            for _ in range(TABLES):
-                at = rng.choice(max(SAMPLED, int(1.7 * lo)), SAMPLED, replace=False)
-                factors = rng.integers(0, 1 << 63, SAMPLED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-                key = self._key(seen[:, mine], at, factors)
-                order = np.argsort(key, kind="stable")
-                of_class.append((at, factors, key[order], order))
-            tables.append(of_class)
-        self.steps.append(steps)
-        self.tables.append(tables)
+    def _walk(self, rng, c: int, lo: int) -> tuple:
+        """A walk over the class's items and its tables (rows of the kept steps, factors, sorted keys, items' places)."""
+        span = max(SAMPLED, int(1.7 * lo))
+        samples = [rng.choice(span, SAMPLED, replace=False) for _ in range(TABLES)]
+        kept = np.unique(np.concatenate(samples))
+        steps = rng.integers(0, 1 << 63, span, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        words = [self.items[i][1] for i in self.ids[c]]
+        stop = np.cumsum([len(w) for w in words])
+        seen = walk(np.concatenate(words), stop - np.array([len(w) for w in words]), stop, steps, _PAD_ITEM, kept)
+        tables = []
+        for at in samples:
+            factors = rng.integers(0, 1 << 63, SAMPLED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            rows = np.searchsorted(kept, at)
+            key = self._key(seen, rows, factors)
+            order = np.argsort(key, kind="stable")
+            tables.append((rows, factors, key[order], order))
+        return steps, kept, tables
 
     @staticmethod
     def _key(seen: np.ndarray, at: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -181,23 +195,26 @@ class Index:
             x = x + seen[at[k]] * factors[k]
         return K.mix(x)
 
-    def _lookup(self, h: np.ndarray, start: np.ndarray, stop, last: int | None = None, which: list[np.ndarray] | None = None):
-        """Yield (class, place in `start`, item's place in the class) of windows and items with an equal key."""
-        first = 0 if last is None else len(self.steps) - last
-        stop = np.broadcast_to(stop, start.shape)
-        for steps, tables in zip(self.steps[first:], self.tables[first:], strict=True):
-            seen = walk(h, start, stop, steps, _PAD_TEXT)
-            for c, of_class in enumerate(tables):
-                mine = np.arange(len(start)) if which is None else which[c]
-                if not len(mine):
-                    continue
-                sub = seen if which is None else seen[:, mine]
-                for at, factors, keys, order in of_class:
-                    key = self._key(sub, at, factors)
-                    lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                    for i in np.flatnonzero(hi > lo).tolist():
-                        for m in order[lo[i] : hi[i]].tolist():
-                            yield c, int(mine[i]), m
+    def _lookup(self, c: int, h: np.ndarray, start: np.ndarray, stop: np.ndarray, last: int = 0):
+        """Yield (place in `start`, item's place in the class) of windows and items with an equal key; last: of so many walks only."""
+        for steps, kept, tables in self.walks[c][-last:]:
+            seen = walk(h, start, stop, steps, _PAD_TEXT, kept)
+            for rows, factors, keys, order in tables:
+                key = self._key(seen, rows, factors)
+                lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+                for i in np.flatnonzero(hi > lo).tolist():
+                    for m in order[lo[i] : hi[i]].tolist():
+                        yield i, m
+
+    def _sharing(self, c: int, h: np.ndarray, start: np.ndarray, stop: np.ndarray):
+        """Yield like _lookup() all windows and items of a class whose longest match shares word pairs enough."""
+        p = pairs(h)
+        for m, item in enumerate(self.ids[c]):
+            n = len(self.items[item][1])
+            hit = np.concatenate(([0], np.cumsum(np.isin(p, self.own_pairs[item])), [0]))
+            hit[-1] = hit[-2]
+            for i in np.flatnonzero(hit[np.minimum(start + n + self.limit(n) - 1, stop - 1)] - hit[start] >= self.least_shared(n)).tolist():
+                yield i, m
 
     def windows(self, h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """For each length class, the words that start a window which can match."""
@@ -215,38 +232,34 @@ class Index:
         hit = np.cumsum(hit)
         #: A word before which too few hits follow for any length starts no window.
         span = int(self.lengths[-1]) + self.limit(int(self.lengths[-1])) - 1
-        start = np.flatnonzero(hit[np.minimum(np.arange(len(h)) + span, len(h))] - hit[:-1] >= self._need(int(self.lengths[0])))
+        start = np.flatnonzero(hit[np.minimum(np.arange(len(h)) + span, len(h))] - hit[:-1] >= self.least_shared(int(self.lengths[0])))
         doc_end = np.repeat(at[1:], np.diff(at))[start] - 1
         out = []
         for lo, hi in self.classes:
             found = np.zeros(len(start), bool)
             for n in self.lengths[(self.lengths >= lo) & (self.lengths <= hi)].tolist():
                 stop = np.minimum(start + n + self.limit(n) - 1, doc_end)
-                found |= hit[stop] - hit[start] >= self._need(n)
+                found |= hit[stop] - hit[start] >= self.least_shared(n)
             out.append(start[found])
         return out
 
-    def _need(self, n: int) -> int:
+    def least_shared(self, n: int) -> int:
         """Word pairs that a run within the distance of an item of n words shares with it at least."""
-        return max(1, n - 1 - 2 * self.limit(n))
+        return n - 1 - 2 * self.limit(n)
 
     def search(self, h: np.ndarray, at: np.ndarray) -> dict[int, dict[int, tuple[int, int, int]]]:
         """document -> item's place -> (edits, first word, words) of the nearest run, if near enough."""
         out: dict[int, dict[int, tuple[int, int, int]]] = {}
         if not self.items or len(h) < 2:
             return out
-        by_class = self.windows(h, at)
-        start = np.unique(np.concatenate(by_class))
-        if not len(start):
-            return out
         doc_end = np.repeat(at[1:], np.diff(at))
         found: dict[tuple[int, int], set[int]] = {}
-        for a in range(0, len(start), 1 << 14):
-            part = start[a : a + (1 << 14)]
-            which = [np.flatnonzero(np.isin(part, x, assume_unique=True)) for x in by_class]
-            for c, i, m in self._lookup(h, part, doc_end[part], which=which):
-                s = int(part[i])
-                found.setdefault((int(np.searchsorted(at, s, "right")) - 1, int(self.ids[c][m])), set()).add(s)
+        for c, mine in enumerate(self.windows(h, at)):
+            for a in range(0, len(mine), WINDOWS):
+                part = mine[a : a + WINDOWS]
+                for i, m in (self._sharing if self.exact[c] else self._lookup)(c, h, part, doc_end[part]):
+                    s = int(part[i])
+                    found.setdefault((int(np.searchsorted(at, s, "right")) - 1, int(self.ids[c][m])), set()).add(s)
         for (doc, item), starts in found.items():
             words = self.items[item][1]
             n, e = len(words), self.limit(len(words))
@@ -260,7 +273,7 @@ class Index:
                     if same is not None:
                         if best is None or best[0]:
                             best = (0, same - int(at[doc]), n)
-                    elif np.isin(pairs(text), self.own_pairs[item]).sum() >= self._need(n):
+                    elif np.isin(pairs(text), self.own_pairs[item]).sum() >= self.least_shared(n):
                         d, x, y = align(words, text)
                         if d <= e and (best is None or d < best[0]):
                             best = (d, lo + x - int(at[doc]), y - x)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -63,10 +64,46 @@ def test_against_alignment_of_every_item(spark):
     assert set(got) <= set(want)
 
 
-def test_recall_of_random_edits_reaches_the_target():
-    items, _ = planted()
-    index = D.Index([(i, w) for (i, _), w in zip(items, D.text_words([x[1] for x in items]), strict=True)])
-    assert index.recall >= D.TARGET_RECALL
+def index_of(items, **options):
+    return D.Index([(i, w) for (i, _), w in zip(items, D.text_words([x[1] for x in items]), strict=True)], **options)
+
+
+def test_recall_of_random_edits_reaches_the_target_in_each_class():
+    index = index_of(planted()[0])
+    assert index.recall >= D.TARGET_RECALL and len(index.recalls) == len(index.classes) > 2
+    assert all(r >= D.TARGET_RECALL for r in index.recalls) and not any(index.exact)
+
+
+def test_a_class_short_of_the_target_is_searched_exactly(monkeypatch):
+    monkeypatch.setattr(D, "SAMPLED", 6)
+    items, rows = planted()
+    monkeypatch.setattr(D, "MOST_WALKS", 1)
+    index = index_of(items)
+    assert any(index.exact) and index.recall >= D.TARGET_RECALL
+    words = D.text_words([r[1] for r in rows])
+    h, at = np.concatenate(words), np.concatenate(([0], np.cumsum([len(w) for w in words])))
+    got = {(d, i): x[0] for d, found in index.search(h, at).items() for i, x in found.items() if index.exact[[i in ids for ids in index.ids].index(True)]}
+    want = {}
+    for d, w in enumerate(words):
+        for i, (_, v) in enumerate(index.items):
+            if len(w) <= 5000 and index.exact[[i in ids for ids in index.ids].index(True)] and D.align(v, w)[0] <= index.limit(len(v)):
+                want[d, i] = D.align(v, w)[0]
+    assert got == want and want
+
+
+def test_long_items_keep_sampled_steps_only():
+    rng = random.Random(2)
+    items = [(k, prose(rng, 5000, 10**6)) for k in range(20)] + [(99, prose(rng, 6, 10**6))]
+    index = index_of(items)
+    assert all(len(kept) <= D.TABLES * D.SAMPLED for walks in index.walks for _, kept, _ in walks)
+    h, at = D.bare_words(np.frombuffer((items[3][1] + " tail").encode(), np.uint8), np.array([0, len(items[3][1]) + 5]))
+    assert index.search(h, at) == {0: {3: (0, 0, 5000)}}
+
+
+def test_too_many_edits_are_refused():
+    with pytest.raises(ValueError, match="word pair"):
+        index_of([(1, "a b c d e")], percent=40)
+    index_of([(1, "a b c d e")], percent=20)
 
 
 def test_slices_and_empty_tables(spark):
