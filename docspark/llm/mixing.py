@@ -14,7 +14,8 @@ exchange in which Spark splits skewed sources.
 Defined cases: a null source is a source of its own; null and empty texts count
 no characters but are replicated like the rest; a source without characters
 keeps rate `epochs`; rows with the same doc_id get the same number of copies;
-an empty table gives an empty result; other columns are passed through.
+an empty table gives an empty result; other columns are passed through, whatever their
+names, but for `copy`, `rate` and `shuffle_key` in any case, which are replaced.
 """
 
 from __future__ import annotations
@@ -66,26 +67,28 @@ def _thresholds(rate: Column) -> Column:
 def replicate(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Columns of docs plus `copy` (1, 2, ...), `rate` and `shuffle_key`, in globally shuffled order."""
     spark = docs.sparkSession
-    clash = {"copy", "rate", "shuffle_key"} & set(docs.columns)
-    if clash:
-        docs = docs.drop(*clash)
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    names = [c for c in docs.columns if c.lower() not in ("copy", "rate", "shuffle_key")]
     r = rates(docs, weights, alpha, epochs, source_col, text_col)
     pieces = F.greatest(F.ceil(F.col("rate") / LARGEST), F.lit(1)).cast("int")
-    r = r.select(F.col("source").alias("__source"), "rate", pieces.alias("__pieces"), _thresholds(F.col("rate") / pieces).alias("__cdf"))
-    few = r.select("__source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    out = docs.join(F.broadcast(r) if few else r, docs[source_col].eqNullSafe(r["__source"]))
-    key = F.col(id_col)
-    first = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
+    r = r.select(F.col("source").alias("of"), "rate", pieces.alias("pieces"), _thresholds(F.col("rate") / pieces).alias("cdf"))
+    few = r.select("of").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    #: The row travels as one struct, so its columns' names can't meet those used here.
+    rows = docs.select(F.struct(*map(quoted, names)).alias("row"), quoted(id_col).alias("id"), quoted(source_col).alias("source"))
+    out = rows.join(F.broadcast(r) if few else r, F.col("source").eqNullSafe(F.col("of")))
+    key = F.col("id")
+    first = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
     more = F.aggregate(
-        F.sequence(F.lit(1), F.col("__pieces") - 1),
+        F.sequence(F.lit(1), F.col("pieces") - 1),
         F.lit(0),
-        lambda n, j: n + F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), key, j))),
+        lambda n, j: n + F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), key, j))),
     )
-    out = out.withColumn("__u", uniform(F.lit(seed), key)).withColumn("__n", first + F.when(F.col("__pieces") > 1, more).otherwise(0))
-    out = out.where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    out = out.withColumn("u", uniform(F.lit(seed), key)).withColumn("n", first + F.when(F.col("pieces") > 1, more).otherwise(0))
+    out = out.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(key.cast("string"), F.lit("null")), "copy")))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return out.select(*docs.columns, "copy", "rate", "shuffle_key").repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key", id_col)
+    dealt = out.select("row", "id", "copy", "rate", "shuffle_key").repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key", "id")
+    return dealt.select("row.*", "copy", "rate", "shuffle_key")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

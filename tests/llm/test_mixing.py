@@ -57,3 +57,12 @@ def test_counts_follow_the_distribution(spark):
     n = {r.n: r["count"] for r in M.replicate(docs, epochs=2.0).groupBy("doc_id").agg(F.max("copy").alias("n")).groupBy("n").count().collect()}
     for k in range(1, 6):
         assert n[k] / 20000 == pytest.approx(math.exp(-2) * 2**k / math.factorial(k), abs=0.012)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["__u", "__n", "__cdf", "__pieces", "__source", "u", "n", "cdf", "pieces", "of", "id", "row", "a.b", "COPY"]
+    docs = spark.createDataFrame([(k, "some text", "s", *[f"{c}{k}" for c in names]) for k in range(30)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    out = M.replicate(docs, epochs=2.0)
+    assert out.columns == ["doc_id", "text", "source", *names[:-1], "copy", "rate", "shuffle_key"]
+    got = out.collect()
+    assert len(got) > 30 and all(r[3:-3] == tuple(f"{c}{r.doc_id}" for c in names[:-1]) and isinstance(r["copy"], int) for r in got)
