@@ -1,6 +1,7 @@
 """Deleted-interpolation language model: train on a corpus, score every text.
 
-p(w | h) mixes three maximum-likelihood estimates: uniform, unigram and bigram.
+p(w | h) mixes three maximum-likelihood estimates: uniform, unigram and bigram; after
+a context that was never seen, the first two.
 The mixture weights depend on how often the context h was seen (a bucket per
 power of two) and are learned by expectation-maximisation on counts of a part of
 the training documents that the estimates being mixed have not seen (the deleted
@@ -10,7 +11,9 @@ Distribution: a block of documents sends each distinct n-gram once, with its
 counts in the block, to the owner of its hash range and gets the corpus counts
 back in the same order. A frequent word or word pair is thus one entry a block,
 whoever owns it. EM reads a histogram over (bucket, ratios of the estimates) of
-bounded size, filled from every deleted token.
+bounded size, filled from every deleted token: at most BUCKETS times RATIO_BINS
+squared cells, of ratios that agree to an eighth of a power of two, each with its
+tokens and their mean ratios. Scores use the exact estimates.
 
 Defined cases: null or empty text is one end token; null doc_id is kept; rows
 that repeat are documents of their own; other columns are ignored.
@@ -34,7 +37,7 @@ BEGIN = np.uint64(0xA24BAED4963EE407)
 ESTIMATE, DELETED, SCORED = 0, 1, 2
 BUCKETS = 40
 #: Steps of log2 of an estimate's ratio to uniform, for the histogram of EM.
-STEP, RATIO_BINS = 0.25, 256
+STEP, RATIO_BINS = 0.125, 512
 EM_ROUNDS = 60
 
 
@@ -155,29 +158,31 @@ def _bins(p: np.ndarray, p0: float) -> np.ndarray:
     return np.where(p > 0, np.clip(x, 1, RATIO_BINS - 1), 0).astype(np.int64)
 
 
-def learn_weights(cells: np.ndarray, tokens: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """EM on held-out cells (bucket, unigram bin, bigram bin): weights (BUCKETS, 3) of uniform, unigram, bigram.
+def learn_weights(buckets: np.ndarray, tokens: np.ndarray, ratios: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
+    """EM on held-out cells (bucket, tokens, mean ratios of the unigram and the bigram estimate to the uniform one): weights (BUCKETS, 3) of uniform, unigram, bigram.
 
     A bucket starts from, and if it has few tokens stays near, the weights of
-    all buckets together (ten pseudo-tokens).
+    all buckets together (ten pseudo-tokens). Contexts of bucket 0 are unseen and have
+    no bigram estimate: its weight goes to the others.
     """
-    ratio = np.concatenate(([0.0], 2.0 ** ((np.arange(1, RATIO_BINS) - 1 - RATIO_BINS // 4) * STEP)))
-    b, x = np.divmod(cells, RATIO_BINS * RATIO_BINS)
-    u, g = np.divmod(x, RATIO_BINS)
-    p = np.stack([np.ones(len(cells)), ratio[u], ratio[g]], 1) if len(cells) else np.zeros((0, 3))
+    b = buckets
+    p = np.concatenate((np.ones((len(b), 1)), ratios), axis=1)
     pooled = np.array([0.1, 0.6, 0.3])
     for _ in range(rounds):
         q = p * pooled
         q *= (tokens / np.maximum(q.sum(1), 1e-300))[:, None]
         total = q.sum(0) + 1e-3
         pooled = total / total.sum()
-    out = np.tile(pooled, (BUCKETS, 1))
+    prior = np.tile(pooled, (BUCKETS, 1))
+    prior[0, 2] = 0
+    prior[0] /= prior[0].sum()
+    out = prior
     for _ in range(rounds):
         q = p * out[b]
         q *= (tokens / np.maximum(q.sum(1), 1e-300))[:, None]
         total = np.zeros((BUCKETS, 3))
         np.add.at(total, b, q)
-        total += 10 * pooled
+        total += 10 * prior
         out = total / total.sum(1, keepdims=True)
     return out
 
@@ -194,10 +199,14 @@ def score(docs: DataFrame, held_out: Column, deleted: Column, id_col: str = "doc
     blocks = pack(docs, id_col, text_col, role, apart=DELETED)
     parts = blocks.parts
     replies = exchange(_requests(blocks), GRAMS, blocks, "counts")
-    sums = np.zeros(4, np.int64)
-    for r in replies.where("block = -1").select("data").toLocalIterator():  # one row of 32 bytes a part
-        sums += np.frombuffer(r.data, np.int64)
-    n_est, v_est, n_all, v_all = map(int, sums)
+
+    def sizes(batches):
+        for b in batches:
+            x = np.array([np.frombuffer(v.as_buffer(), np.int64) for v in b.column(0)]).reshape(-1, 4)
+            yield pa.RecordBatch.from_pydict(dict(zip("abcd", x.T.copy(), strict=True)))
+
+    found = replies.where("block = -1").select("data").mapInArrow(sizes, "a long, b long, c long, d long").agg(*(F.sum(c) for c in "abcd")).first()
+    n_est, v_est, n_all, v_all = (int(x or 0) for x in found)
 
     def histogram(batches):
         for row in one_row_batches(batches):
@@ -208,14 +217,17 @@ def score(docs: DataFrame, held_out: Column, deleted: Column, id_col: str = "doc
             for a, b, off, cw, cc, cp in _looked_up(row, parts, 0):
                 use = np.repeat(tags[a:b] == DELETED, np.diff(off))
                 p0, p1, p2 = _estimates(cw[use], cc[use], cp[use], n_est, v_est)
-                found.append((_bucket(cc[use]) * RATIO_BINS + _bins(p1, p0)) * RATIO_BINS + _bins(p2, p0))
-            cell, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"cell": cell, "n": n.astype(np.int64)})
+                found.append(((_bucket(cc[use]) * RATIO_BINS + _bins(p1, p0)) * RATIO_BINS + _bins(p2, p0), p1 / p0, p2 / p0))
+            cell, one, two = map(np.concatenate, zip(*found, strict=True))
+            cell, at = np.unique(cell, return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"cell": cell, "n": np.bincount(at).astype(float), "one": np.bincount(at, one), "two": np.bincount(at, two)})
 
     columns = ("block", "ids", "tags", "offs", "data", "answers")
     some = Blocks(blocks.df.where(F.array_contains("tags", DELETED)), blocks.where, 0, 0, parts)
-    held = visit(some, replies).select(*columns).mapInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    weights = learn_weights(held.column("cell").to_numpy(), held.column("n").to_numpy().astype(float))
+    held = visit(some, replies).select(*columns).mapInArrow(histogram, "cell long, n double, one double, two double").groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "one", "two"))).orderBy("cell").toArrow()
+    tokens = held.column("n").to_numpy()
+    ratios = np.stack([held.column(c).to_numpy() / np.maximum(tokens, 1) for c in ("one", "two")], 1)
+    weights = learn_weights(held.column("cell").to_numpy() // RATIO_BINS**2, tokens, ratios)
     log10 = 1 / math.log(10)
 
     def scores(batches):
