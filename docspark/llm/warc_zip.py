@@ -44,8 +44,9 @@ from pyspark.sql import functions as F
 from .store import materialize, workdir
 
 ARCHIVE_BYTES = 32 << 20
-#: A table of payloads that occur more than once is broadcast up to this many rows of about 100 bytes.
-BROADCAST_ROWS = 50_000
+#: A table of payloads that occur more than once is broadcast up to this many rows of about 100 bytes; of a larger one,
+#: those that make up more than a share of 1 / HOT of its rows are, and the rest is joined by an exchange.
+BROADCAST_ROWS, HOT = 50_000, 1_000
 #: Adjacent records are fetched in one range read of about this size.
 RANGE_BYTES = 1 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -187,13 +188,23 @@ def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html, refers_to, revisit: equal payloads refer to the largest page_id among them."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("html"))
     long_enough = F.octet_length("html") >= least_bytes
-    same = rows.where(long_enough).groupBy(F.sha2("html", 256).alias("sha")).agg(F.count("*").alias("n"), F.max("page_id").alias("last")).where("n > 1").select("sha", "last")
+    same = rows.where(long_enough).groupBy(F.sha2("html", 256).alias("sha")).agg(F.count("*").alias("n"), F.max("page_id").alias("last")).where("n > 1")
     same = materialize(same, "repeated", workdir(pages.sparkSession))
+    rows = rows.withColumn("key", F.when(long_enough, F.sha2("html", 256)))
+    known = F.col("sha").isNotNull()
     if same.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        same = F.broadcast(same)
-    rows = rows.withColumn("__sha", F.when(long_enough, F.sha2("html", 256)))
-    out = rows.join(same, rows["__sha"] == F.col("sha"), "left")
-    revisit = F.col("sha").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
+        out = rows.join(F.broadcast(same.select("sha", "last")), F.col("key") == F.col("sha"), "left")
+    else:
+        least = same.agg(F.sum("n")).first()[0] / HOT
+        hot = same.where(F.col("n") > least).select(F.col("sha").alias("hot_sha"), F.col("last").alias("hot_last"))
+        out = rows.join(F.broadcast(hot), F.col("key") == F.col("hot_sha"), "left")  # fewer than HOT rows
+        # Rows that need no other partner get keys of their own, so they don't meet in one task.
+        done = F.col("hot_sha").isNotNull() | F.col("key").isNull()
+        out = out.withColumn("key", F.when(done, F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("key")))
+        cold = same.where(F.col("n") <= least).select("sha", "last")
+        out = out.join(cold, F.col("key") == F.col("sha"), "left").withColumn("last", F.coalesce("hot_last", "last"))
+        known = known | F.col("hot_sha").isNotNull()
+    revisit = known & ~F.col("page_id").eqNullSafe(F.col("last"))
     return out.select("page_id", "url", "html", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
 
 

@@ -97,3 +97,14 @@ def test_damage_is_an_error():
     f = Bytes(out.getvalue())
     with pytest.raises(ValueError):
         W.stored_range(f, W.directory(f)["a"])
+
+
+@pytest.mark.parametrize("least", [0, 4])
+def test_many_repeated_payloads_join_by_exchange(spark, monkeypatch, least):
+    """Hot payloads are broadcast, the others exchanged; roles are the same as with a broadcast of all."""
+    rows = [(k, f"u{k}", None if k % 3 == 0 else "hot" if k % 3 == 1 else f"payload {k // 9}") for k in range(300)] + [(None, None, "payload 7"), (5, "u", "payload 7")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = sorted(map(str, W.with_roles(pages, least).collect()))
+    monkeypatch.setattr(W, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(W, "HOT", 10)
+    assert sorted(map(str, W.with_roles(pages, least).collect())) == plain
