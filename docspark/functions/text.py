@@ -169,6 +169,17 @@ def html_text(html: str, width: int = 100) -> str:
     return "\n".join(lines)
 
 
+# The suffixes of Porter's steps 2, 3 and 4, and what replaces them.
+STEP_2 = "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble logi:log"
+STEP_3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
+STEP_4 = "ement ance ence able ible ment ant ent ism ate iti ous ive ize al er ic ou"
+
+
+def suffix_rules(step: str) -> list[tuple[str, str]]:
+    """(suffix, replacement), longest suffix first."""
+    return sorted(((x.partition(":")[0], x.partition(":")[2]) for x in step.split()), key=lambda r: -len(r[0]))
+
+
 def porter_stem(word: str) -> str:
     """Porter's algorithm of 1980 for a lower-case ASCII word; other words are returned as they are."""
     if len(word) <= 2 or not word.isascii() or not word.isalpha():
@@ -214,16 +225,12 @@ def porter_stem(word: str) -> str:
                 break
     if w.endswith("y") and "v" in shape(w[:-1]):
         w = w[:-1] + "i"
-    # The suffixes of steps 2, 3 and 4, longest match first.
-    step2 = "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble logi:log"
-    step3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-    step4 = "ement ance ence able ible ment ant ent ism ate iti ous ive ize al er ic ou"
-    for step in (step2, step3):
-        w = replace(w, sorted((tuple(x.split(":")) for x in step.split()), key=lambda r: -len(r[0])), 0)
-    if w.endswith("ion") and not any(w.endswith(x) for x in step4.split()):
+    for step in (STEP_2, STEP_3):
+        w = replace(w, suffix_rules(step), 0)
+    if w.endswith("ion") and not any(w.endswith(x) for x in STEP_4.split()):
         w = w[:-3] if measure(w[:-3]) > 1 and w[-4:-3] in ("s", "t") else w
     else:
-        w = replace(w, [(x, "") for x in sorted(step4.split(), key=len, reverse=True)], 1)
+        w = replace(w, suffix_rules(STEP_4), 1)
     if w.endswith("e"):
         m = measure(w[:-1])
         if m > 1 or (m == 1 and not short_end(w[:-1])):
@@ -233,6 +240,16 @@ def porter_stem(word: str) -> str:
     return w
 
 
+def index_words(c: Column) -> Column:
+    """Lower-cased runs of letters, digits and marks: what the full-text index makes terms of."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}\p{M}]+"), 0)
+
+
+def index_term(word: str) -> str:
+    """The index's term for a lower-cased word: diacritics removed, stemmed; empty for marks alone."""
+    return porter_stem("".join(ch for ch in unicodedata.normalize("NFD", word) if not unicodedata.combining(ch)))
+
+
 def index_terms(text: str) -> list[str]:
     """Terms of the full-text index: diacritics removed, lower-cased, split at other than letters and digits, stemmed."""
     plain = "".join(ch for ch in unicodedata.normalize("NFD", text) if not unicodedata.combining(ch)).lower()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import text as T
 from docspark.operators import ingest, text_search
+from docspark.plans.stem_sql import stem_ctes
 from docspark.sources.tables import spread
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -59,16 +60,21 @@ def term_statistics(spark, d):
     return post.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
-_QTERMS = """
-qt AS (
-  SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(tok), '[\\p{L}\\p{N}]+')) AS prefix
-  FROM (SELECT item_id AS query_id, unnest(list_transform(string_split_regex(text, '\\s+'), lambda t: regexp_replace(t, '[^\\p{L}\\p{N}_.\\-]', '', 'g'))) AS tok FROM benchmark))
-"""
-_BM25 = f"""
-WITH {_QTERMS},
-tok AS ({_DOC_TERMS}),
-post AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY id, term),
-len AS (SELECT doc_id AS id, len({_TOK.format(c='text')}) + len({_TOK.format(c='source')}) AS len FROM documents),
+_INDEXED = "regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}]+')"
+
+
+def bm25_ctes(docs: str, queries: str) -> str:
+    """CTEs up to `bm` (query_id, id, score, rank) over docs (id, text, other) and queries (query_id, text)."""
+    tokens = "unnest(list_transform(string_split_regex(text, '\\s+'), lambda t: regexp_replace(t, '[^\\p{L}\\p{N}_.\\-]', '', 'g')))"
+    return f"""
+qw AS (SELECT DISTINCT query_id, unnest({_INDEXED.format(c='tok')}) AS word FROM (SELECT query_id, {tokens} AS tok FROM {queries})),
+docs AS (SELECT * FROM {docs}),
+dw AS (SELECT id, unnest({_INDEXED.format(c='text')}) AS word FROM docs),
+words AS (SELECT word FROM qw UNION SELECT word FROM dw),
+{stem_ctes('words')},
+qt AS (SELECT DISTINCT query_id, term AS prefix FROM qw JOIN stemmed USING (word)),
+post AS (SELECT id, term, count(*) AS tf FROM dw JOIN stemmed USING (word) GROUP BY id, term),
+len AS (SELECT id, len({_INDEXED.format(c='text')}) + len({_INDEXED.format(c='other')}) AS len FROM docs),
 tot AS (SELECT count(*) AS n, avg(len) AS avglen FROM len),
 vocab AS (SELECT DISTINCT term FROM post),
 pre AS (SELECT term, unnest(range(1, length(term) + 1)) AS k FROM vocab),
@@ -76,25 +82,27 @@ m AS (SELECT p.prefix, v.term FROM (SELECT DISTINCT prefix FROM qt) p JOIN (SELE
 tf AS (SELECT prefix, id, sum(tf) AS tf FROM post JOIN m USING (term) GROUP BY prefix, id),
 df AS (SELECT prefix, n, avglen, count(*) AS df FROM tf, tot GROUP BY prefix, n, avglen),
 idf AS (SELECT prefix, avglen, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6::DOUBLE END AS idf FROM df),
-part AS (SELECT prefix, id, idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avglen)) AS part FROM tf JOIN idf USING (prefix) JOIN len USING (id)),
-scored AS (SELECT query_id, id, round(sum(part), 6) AS score FROM qt JOIN part USING (prefix) GROUP BY query_id, id),
-bm AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored)
-"""
+gain AS (SELECT prefix, id, idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avglen)) AS gain FROM tf JOIN idf USING (prefix) JOIN len USING (id)),
+scored AS (SELECT query_id, id, round(sum(gain), 6) AS score FROM qt JOIN gain USING (prefix) GROUP BY query_id, id),
+bm AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored)"""
+
+
+_BM25 = "WITH " + bm25_ctes("(SELECT doc_id AS id, text, source AS other FROM documents)", "(SELECT item_id AS query_id, text FROM benchmark)")
 
 
 def _bm25(spark, d):
     return text_search.bm25(spread(_t(spark, d, "documents")), _t(spark, d, "benchmark"), "text", {"name": "source", "text": "text"})
 
 
-@_q("bm25_body_search", _BM25 + "SELECT query_id, id, round(score, 4) AS score FROM bm WHERE rank <= 10")
+@_q("bm25_body_search", _BM25 + " SELECT query_id, id, floor(score * 10000 + 0.5) / 10000 AS score FROM bm WHERE rank <= 10")
 def bm25_body_search(spark, d):
-    return text_search.top_k(_bm25(spark, d), 10).select("query_id", "id", F.round("score", 4).alias("score"))
+    return text_search.top_k(_bm25(spark, d), 10).select("query_id", "id", (F.floor(F.col("score") * 10_000 + 0.5) / 10_000).alias("score"))  # ties as in SQL, where round() differs between engines
 
 
 _WORDS = f"""
-dw AS (SELECT DISTINCT id, term FROM tok),
+raw AS (SELECT DISTINCT id, term FROM ({_DOC_TERMS})),
 bw AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK.format(c='text')}) AS term FROM benchmark),
-ov AS (SELECT query_id, id, count(*) AS score FROM bw JOIN dw USING (term) GROUP BY ALL),
+ov AS (SELECT query_id, id, count(*) AS score FROM bw JOIN raw USING (term) GROUP BY ALL),
 ovr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM ov)
 """
 
@@ -120,6 +128,7 @@ _PARTS = "(SELECT row_number() OVER (ORDER BY p_type) AS query_id, lower(p_type)
 
 
 def _part_queries(spark, d):
+    """A query for each part type, numbered: a query set, so its one window is small whatever the table's size."""
     from pyspark.sql import Window
 
     kinds = _t(spark, d, "part").select("p_type").distinct()
@@ -138,7 +147,18 @@ def name_like_search(spark, d):
     return text_search.like_search(_t(spark, d, "part"), _part_queries(spark, d), 10, "p_partkey", "p_name").select("query_id", "id", "score", "rank")
 
 
-@_q("name_search_with_fallback")
+_LIKE = "CASE WHEN contains(lower(p_name), text) THEN 10 ELSE 0 END + CAST(list_sum(list_transform(string_split(text, ' '), lambda t: CAST(contains(lower(p_name), t) AS INTEGER))) AS INTEGER)"
+
+
+@_q(
+    "name_search_with_fallback",
+    "WITH " + bm25_ctes("(SELECT p_partkey AS id, p_name AS text, '' AS other FROM part)", _PARTS) + f""",
+hits AS (SELECT query_id, id, score, rank, 'match' AS via FROM bm WHERE rank <= 10),
+rest AS (SELECT * FROM {_PARTS} q WHERE query_id NOT IN (SELECT query_id FROM hits)),
+lk AS (SELECT query_id, p_partkey AS id, {_LIKE} AS score FROM part, rest)
+SELECT * FROM hits
+UNION ALL SELECT query_id, id, CAST(score AS DOUBLE), CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, 'like' FROM lk WHERE score > 0 QUALIFY rank <= 10""",
+)
 def name_search_with_fallback(spark, d):
     return text_search.name_search(_t(spark, d, "part"), _part_queries(spark, d), 10, "p_partkey", "p_name")
 
@@ -248,15 +268,18 @@ def html_to_text(spark, d):
     return _t(spark, d, "pages").select("page_id", extract("html").alias("text"))
 
 
-@_q("keyword_index_terms")
+@_q(
+    "keyword_index_terms",
+    f"""
+WITH dw AS (SELECT doc_id, unnest({_INDEXED.format(c='text')}) AS word FROM documents),
+{stem_ctes('dw')}
+SELECT doc_id, term, count(*) AS tf FROM dw JOIN stemmed USING (word) GROUP BY doc_id, term""",
+)
 def keyword_index_terms(spark, d):
-    """Stemmed postings of the documents."""
-    @F.pandas_udf("array<string>")
-    def terms(s: pd.Series) -> pd.Series:
-        return s.fillna("").map(T.index_terms)
-
-    rows = spread(_t(spark, d, "documents")).select("doc_id", F.explode(terms("text")).alias("term"))
-    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """Stemmed postings of the documents: each distinct word is stemmed once."""
+    rows = spread(_t(spark, d, "documents")).select("doc_id", F.explode(text_search.index_words("text")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    rows = rows.persist()
+    return rows.join(text_search.stems(rows.select("word").distinct()), "word").groupBy("doc_id", "term").agg(F.sum("n").alias("tf"))
 
 
 @_q("embed_missing_chunks")

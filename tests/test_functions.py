@@ -115,3 +115,19 @@ def test_stems_equal_the_full_text_engine():
 
 def test_index_terms():
     assert T.index_terms("Déjà-vu: The_Ponies 4.2") == ["deja", "vu", "the", "poni", "4", "2"]
+
+
+def test_stems_in_sql_equal_those_in_python():
+    import random
+
+    import duckdb
+
+    from docspark.plans.stem_sql import stem_ctes
+
+    rng = random.Random(1)
+    parts = "ing ed ly tion ness ful al ize ate er y e s ss ies at bl iz ll able ement ion run hop tax bil th an ou sky yy ay oy i ical ism ous logi eed".split()
+    words = sorted({"".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(3000)} | set(WORDS) | {"été", "naïveness", "ab1", "x", "is", "straßen"})
+    c = duckdb.connect()
+    c.execute("CREATE TABLE v (word VARCHAR)")
+    c.execute("INSERT INTO v SELECT unnest(?)", [words])
+    assert dict(c.execute(f"WITH {stem_ctes('v')} SELECT word, term FROM stemmed").fetchall()) == {w: T.index_term(w) for w in words}

@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import sqlite3
 
 import numpy as np
 import pytest
@@ -232,3 +233,22 @@ def test_centroid_cells_ask_all_queries_at_recall(spark):
     assert len(exact) == 10 * asked.count() and {q for q, _ in got} == {q for q, _ in exact}
     assert len(got & exact) / len(exact) >= 0.9
     print("recall", len(got & exact) / len(exact))
+
+
+def test_keyword_matches_equal_the_full_text_engine(spark):
+    """Words are found by their stems and without diacritics, as the standard library's SQLite does with porter unicode61."""
+    c = sqlite3.connect(":memory:")
+    try:
+        c.execute("CREATE VIRTUAL TABLE f USING fts5(name, body, tokenize='porter unicode61')")
+    except sqlite3.OperationalError:
+        pytest.skip("no full-text extension")
+    bodies = ["They run and run", "running ponies", "Pony rides, été à Paris", "generalizations of relations", "the general's relative", "ETE 2024", "run_time re-run", "", "relational generality", "x"]
+    for k, b in enumerate(bodies):
+        c.execute("INSERT INTO f(rowid, name, body) VALUES (?, 'nothing', ?)", (k, b))
+    queries = ["running", "ponies", "été", "generalized relation", "run", "rel", "2024 rides"]
+    docs = spark.createDataFrame([(k, "nothing", b) for k, b in enumerate(bodies)], "doc_id long, name string, body string")
+    got = S.bm25(docs, spark.createDataFrame(list(enumerate(queries)), "query_id long, text string"), "body", {"name": "name", "body": "body"}, "doc_id", "query_id", "text").collect()
+    for q, text in enumerate(queries):
+        match = " OR ".join(f'"{t}"*' for t in text.split())
+        want = {r[0] for r in c.execute("SELECT rowid FROM f WHERE f MATCH ?", (f"body : ({match})",))}
+        assert {r.id for r in got if r.query_id == q} == want, text
