@@ -31,7 +31,9 @@ from . import kernels as K
 
 #: Bytes of a block and of a hash range's keys where a task has up to 1 GB; both grow with a task's memory, up to 16 times.
 BLOCK_BYTES = 4 << 20
-PART_BYTES = 6 << 20
+PART_BYTES = 3 << 20
+#: Rows of megabytes: a row group ends after some, so neither writers nor readers hold a file's worth of them.
+LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 2}
 #: Bytes of input that a bucket of the block table is meant to hold, buckets that a task writes to, and most buckets that Spark takes.
 BUCKET_BYTES, TASK_BUCKETS, MOST_BUCKETS = 128 << 20, 2, 100_000
 #: Packets (blocks times ranges) up to which one level of exchange is used, and blocks a group of the second level has.
@@ -70,7 +72,8 @@ def materialize(df: DataFrame, name: str, where: str | None = None) -> DataFrame
     """Write `df` to the shared folder and read it back, cutting its lineage."""
     spark = df.sparkSession
     path = f"{where or workdir(spark)}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    binary = any(kind == "binary" for _, kind in df.dtypes)
+    df.write.options(**LARGE_ROWS if binary else {}).mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -209,7 +212,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None,
 
     where = workdir(spark)
     name = "blocks_" + where[-12:]
-    (narrow.mapInArrow(run, BLOCK_FIELDS).write.bucketBy(buckets, "block").option("path", f"{where}/blocks").format("parquet").mode("overwrite").saveAsTable(name))
+    (narrow.mapInArrow(run, BLOCK_FIELDS).write.bucketBy(buckets, "block").option("path", f"{where}/blocks").options(**LARGE_ROWS).format("parquet").mode("overwrite").saveAsTable(name))
     df = spark.table(name)
     n, size, n_blocks = df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     parts = max(48, -(-size // part_bytes))
