@@ -54,7 +54,7 @@ AUDIT, RECALL, ROUNDS = 256, 0.97, 4
 OUTSIDE, LINKED = 16, 64
 #: Bytes of audited vectors that the driver sends along.
 AUDIT_BYTES = 32 << 20
-STOP = 0.001
+STOP = 0.005
 TILE, TILE_BYTES = 4096, 4 << 20
 #: Sizes of large components that are broadcast, 16 bytes each.
 BROADCAST_SIZES = 100_000
@@ -187,6 +187,8 @@ def descend(graph: DataFrame, nodes: DataFrame, dtype: str, k: int, threshold: f
     """New edges found by introducing each node's neighbours to one another, one of whom is new, and the forest of their links."""
     worst = graph.groupBy("src").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("worst"))
     meet = graph.select(F.col("src").alias("u"), F.col("dst").alias("w"), "new").union(graph.select("dst", "src", "new")).groupBy("u", "w").agg(F.max("new").alias("new"))
+    # Of nodes without a new neighbour no one is introduced.
+    meet = meet.join(graph.where("new").select(F.explode(F.array("src", "dst")).alias("u")).distinct(), "u", "left_semi")
     degree = meet.groupBy("u").agg(F.count("*").alias("size")).where(f"size > {PIECE}")
     meet = meet.join(degree, "u", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("w"), F.ceil(F.col("size") / PIECE)), F.lit(0)))
     who = nodes.select(F.col("uid").alias("w"), "v").join(worst.withColumnRenamed("src", "w"), "w", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
