@@ -256,6 +256,18 @@ def index_terms(text: str) -> list[str]:
     return [porter_stem(w) for w in re.findall(r"[^\W_]+", plain)]
 
 
+def html_cell(c: Column) -> Column:
+    """The column form of html_escape."""
+    for mark, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(mark), F.lit(safe))
+    return c
+
+
+def markdown_cells(c: Column) -> Column:
+    """The column form of markdown_cell."""
+    return F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
 def html_escape(s: str) -> str:
     return escape(s, quote=True)
 

@@ -144,6 +144,41 @@ def decrypt(content: Column, key: Column, aad: Column) -> Column:
     return F.aes_decrypt(content, key, F.lit("GCM"), F.lit("DEFAULT"), aad)
 
 
+def _key_aad(purpose: Column, owner: Column, generation: Column) -> Column:
+    return F.concat_ws("|", purpose, owner, generation).cast("binary")
+
+
+def wrap_key(key: Column, master: Column, iv: Column, purpose: Column, owner: Column, generation: Column) -> Column:
+    """A content key encrypted by the master key, bound to what it is for, whose it is and its generation."""
+    return encrypt(key, master, iv, _key_aad(purpose, owner, generation))
+
+
+def unwrap_key(wrapped: Column, master: Column, purpose: Column, owner: Column, generation: Column) -> Column:
+    """The content key; an error for another master key, purpose, owner or generation, or if it hasn't 32 bytes."""
+    key = decrypt(wrapped, master, _key_aad(purpose, owner, generation))
+    return F.when(F.length(key) == 32, key).otherwise(F.raise_error(F.lit("a wrapped key has another length")).cast("binary"))
+
+
+def insert_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Existing rows, and of the new ones those whose key isn't there yet."""
+    return existing.unionByName(new.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti"))
+
+
+def confirm(placements: DataFrame, confirmations: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, state) of every placement, confirmed or pending, and of confirmations without one: orphan, which the caller must refuse."""
+    p = placements.select(*keys, F.lit(True).alias("__placed")).distinct()
+    c = confirmations.select(*keys, F.lit(True).alias("__confirmed")).distinct()
+    state = F.when(F.col("__placed").isNull(), "orphan").when(F.col("__confirmed").isNull(), "pending").otherwise("confirmed")
+    return p.join(c, keys, "full").select(*keys, state.alias("state"))
+
+
+def compacted(log: DataFrame, key: str, seq: str, op_id: str, is_delete: Column, settled: Column) -> DataFrame:
+    """The log's last operation of every key; tombstones that are `settled` (all replicas have seen them) go, too."""
+    rows = log.withColumn("__gone", is_delete & settled)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(F.col(seq), F.col(op_id))).alias("x"))
+    return last.select(key, "x.*").where(~F.col("__gone")).drop("__gone")
+
+
 def first_valid_replica(replicas: DataFrame, object_key: str, agent: str, content: str) -> DataFrame:
     """Per object the content of the first agent whose bytes hash to the object's name; null if none does."""
     good = F.sha2(content, 256) == F.col(object_key)
@@ -151,9 +186,9 @@ def first_valid_replica(replicas: DataFrame, object_key: str, agent: str, conten
 
 
 def assemble(chunks: DataFrame, upload: str, ordinal: str, content: str) -> DataFrame:
-    """A file's bytes from its chunks in order; a file is one row's worth of chunks."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(content).alias("c"))))
-    return chunks.groupBy(upload).agg(F.array_join(F.transform(ordered, lambda x: x["c"].cast("string")), "").alias("content"))
+    """A file's bytes (binary, whatever they are) from its chunks in order; a file is one row's worth of chunks."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.hex(F.col(content).cast("binary")).alias("c"))))
+    return chunks.groupBy(upload).agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["c"]), "")).alias("content"))
 
 
 def verify_agents(expected: DataFrame, reported: DataFrame, agent: str, identity: str) -> DataFrame:

@@ -162,7 +162,7 @@ def hash_names_valid(spark, d):
 @_q("download_assembled", "SELECT conv_id, string_agg(text, '' ORDER BY turn, role, text) AS content FROM conversations GROUP BY 1")
 def download_assembled(spark, d):
     c = _t(spark, d, "conversations").withColumn("place", F.struct("turn", "role", "text"))
-    return C.assemble(c, "conv_id", "place", "text")
+    return C.assemble(c, "conv_id", "place", "text").select("conv_id", F.decode("content", "UTF-8").alias("content"))
 
 
 @_q("first_valid_replica", "SELECT sha256(text) AS sha, count(*) AS copies, count(*) AS valid FROM documents GROUP BY 1")

@@ -72,10 +72,10 @@ def visible(uploads: DataFrame, chunks: DataFrame, manifest: DataFrame, copies:
 
 
 def download(manifest: DataFrame, copies: DataFrame, key: Column) -> DataFrame:
-    """(upload, content): every chunk from its first valid copy, decrypted and joined; null if a chunk has none."""
+    """(upload, content): the bytes of every chunk from its first valid copy, decrypted and joined; null if a chunk has none."""
     parts = read_manifests(manifest).join(C.first_valid_replica(copies, "hash", "agent", "stored").select("hash", F.col("content").alias("stored")), "hash", "left")
     plain = parts.withColumn("part", F.when(F.col("stored").isNotNull(), C.decrypt(F.col("stored"), key, _bound())))
     whole = C.assemble(plain.withColumn("missing", F.col("part").isNull()), "upload", "ordinal", "part")
     lost = plain.groupBy("upload").agg(F.bool_or(F.col("part").isNull()).alias("lost"))
     out = manifest.select("upload").join(whole, "upload", "left").join(lost, "upload", "left")
-    return out.select("upload", F.when(~F.coalesce("lost", F.lit(False)), F.coalesce("content", F.lit(""))).alias("content"))
+    return out.select("upload", F.when(~F.coalesce("lost", F.lit(False)), F.coalesce("content", F.lit(b""))).alias("content"))

@@ -10,6 +10,7 @@ def key(name="k"):
 
 
 FILES = [("a", "block one block two tail"), ("b", ""), ("c", "héllo wörld " * 20)]
+BYTES = {k: v.encode() for k, v in FILES}
 
 
 @pytest.fixture
@@ -26,7 +27,7 @@ def stored(spark):
 
 def test_round_trip(stored):
     files, chunks, m, copies = stored
-    assert {r.upload: r.content for r in portal.download(m, copies, key()).collect()} == dict(FILES)
+    assert {r.upload: r.content for r in portal.download(m, copies, key()).collect()} == BYTES
     assert all(r.committable for r in portal.visible(files, chunks, m, copies, 3).collect())
     planned = portal.plan(files, 10, F.lit("s"))
     assert planned.select("iv").distinct().count() == planned.count() == chunks.count()
@@ -36,11 +37,11 @@ def test_corrupt_and_missing_copies(stored):
     files, chunks, m, copies = stored
     first = chunks.where("upload = 'a' and ordinal = 0").first().hash
     bad = copies.withColumn("stored", F.when((F.col("hash") == first) & F.col("agent").isin("a1", "a2"), F.lit("junk").cast("binary")).otherwise(F.col("stored")))
-    assert {r.upload: r.content for r in portal.download(m, bad, key()).collect()} == dict(FILES)
+    assert {r.upload: r.content for r in portal.download(m, bad, key()).collect()} == BYTES
     assert {r.upload: r.committable for r in portal.visible(files, chunks, m, bad, 2).collect()} == {"a": False, "b": True, "c": True}
     gone = copies.where(F.col("hash") != first)
     got = {r.upload: r.content for r in portal.download(m, gone, key()).collect()}
-    assert got == {**dict(FILES), "a": None}
+    assert got == {**BYTES, "a": None}
 
 
 def test_tampering_is_an_error(stored):
@@ -99,3 +100,13 @@ def test_every_query_of_a_large_set_has_a_semantic_leg(spark, tmp_path):
     spark.range(n).select(F.col("id").alias("item_id"), F.concat(F.lit("invoice "), F.col("id")).alias("text")).write.parquet(f"{tmp_path}/benchmark.parquet")
     legs = Q.search_all_legs(spark, str(tmp_path)).where("leg = 'semantic'")
     assert legs.select("query_id").distinct().count() == n
+
+
+def test_binary_files_come_back_as_they_are(spark):
+    content = {"x": bytes((i * 31 + 17) % 251 for i in range(1000)), "y": bytes(range(256)), "z": b"\xff\xfe\x00"}
+    files = spark.createDataFrame([(k, bytearray(v)) for k, v in content.items()], "upload string, content binary")
+    chunks = portal.encrypted(files, portal.plan(files, 100, F.lit("s")), 100, key()).persist()
+    m = portal.manifests(chunks)
+    agents = spark.createDataFrame([("a1", "d1")], "agent string, domain string")
+    copies = portal.replicate(chunks.select("hash", "stored").union(m.select("hash", "stored")), agents, F.lit(True))
+    assert {r.upload: bytes(r.content) for r in portal.download(m, copies, key()).collect()} == content
