@@ -34,7 +34,8 @@ def provider_of(model: str, url: str | None, prefix: str = ""):
 
 def tables(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
     """Files, chunks with ids, vectors, and the identities of the models that made them."""
-    files, chunks = Snapshots(spark, f"{store}/files").read(), Snapshots(spark, f"{store}/chunks").read()
+    lead = Snapshots(spark, f"{store}/files")
+    files, chunks = lead.read(), Snapshots(spark, f"{store}/chunks", lead).read()
     if files is None or chunks is None:
         raise SystemExit("nothing is prepared in this store")
     # The id names file, place and content, so a changed chunk is a new one.

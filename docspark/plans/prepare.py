@@ -14,11 +14,12 @@ def prepare(spark: SparkSession, root: str, store: str, size: int = 2000, overla
     """Bring the store's files and chunks up to date with a folder; counters of what happened.
 
     An unchanged extracted file keeps its chunks (its time is refreshed); other
-    states are tried again. A walk that failed anywhere changes nothing. The
-    fingerprint of the parameters is written last.
+    states are tried again. A walk that failed anywhere changes nothing. Files,
+    chunks and the fingerprint of the parameters become visible by one pointer.
     """
     fingerprint = ingest.fingerprint(size, overlap, max_bytes)
-    files, chunks = Snapshots(spark, f"{store}/files"), Snapshots(spark, f"{store}/chunks")
+    files = Snapshots(spark, f"{store}/files")
+    chunks = Snapshots(spark, f"{store}/chunks", files)
     paths = corpus.walk(root)
     now = corpus.read_files(spark, paths, max_bytes).withColumn("file_id", F.xxhash64("path")).persist()
     old, pointer = files.read(), files.pointer()
@@ -34,7 +35,6 @@ def prepare(spark: SparkSession, root: str, store: str, size: int = 2000, overla
         fresh = kept.unionByName(fresh)
     pruned = old.join(now.select("path"), "path", "left_anti").count()
     n = {r.state: r.n for r in ingest.counters(marked.withColumn("state", F.when(F.col("skip"), "skipped").otherwise(F.col("extract_status")))).collect()}
-    chunks.write(fresh, {"fingerprint": fingerprint})
-    files.write(now, {"fingerprint": fingerprint, "root": root})
+    files.write(now, {"fingerprint": fingerprint, "root": root}, others={chunks: fresh})
     now.unpersist()
     return {"seen": len(paths), "pruned": pruned, **n}

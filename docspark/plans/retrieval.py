@@ -23,19 +23,46 @@ def file_scores(files: DataFrame, chunks: DataFrame, vectors: DataFrame, queries
     m = V._unit(np.array([v for _, v in queries], np.float64)) if queries else np.zeros((0, 1))
 
     def run(batches):
+        """A task has all chunks of its files, one file after another: it keeps the k best files of each query."""
+        ids, best = np.zeros(0, np.int64), np.zeros((len(m), 0))
+        last, open_ = None, None  # the file whose chunks may go on in the next batch
+
+        def keep(more, scores):
+            nonlocal ids, best
+            ids, best = np.concatenate((ids, more)), np.concatenate((best, scores), axis=1)
+            if len(ids) > 4 * k + 64:
+                ids, best = kept(ids, best)
+
+        def kept(ids, best):
+            """Only the files that are among the k best of some query."""
+            some = np.zeros(len(ids), bool)
+            some[np.lexsort((np.broadcast_to(ids, best.shape), -best), axis=1)[:, :k].ravel()] = True
+            return ids[some], best[:, some]
+
         for b in batches:
             if not b.num_rows or not len(m):
                 continue
-            s = m @ V._unit(np.array(b.column(1).to_pylist(), np.float64)).T
-            ids, at = np.unique(b.column(0).to_numpy(), return_inverse=True)
-            top = np.full((len(m), len(ids)), -np.inf)
-            for i in range(len(m)):
-                np.maximum.at(top[i], at, np.where(np.isnan(s[i]), -np.inf, s[i]))
-            yield pa.RecordBatch.from_pydict({"q": pa.array(np.repeat(np.arange(len(m)), len(ids)), pa.int64()), "id": pa.array(np.tile(ids, len(m)), pa.int64()), "score": pa.array(top.ravel())})
+            s = np.round(m @ V._unit(np.array(b.column(1).to_pylist(), np.float64)).T, 6)
+            s = np.where(np.isnan(s), -np.inf, s)
+            file = b.column(0).to_numpy()
+            first = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1])))
+            top = np.maximum.reduceat(s, first, axis=1)
+            if last is not None and file[0] == last:
+                top[:, 0] = np.maximum(top[:, 0], open_)
+            elif last is not None:
+                keep(np.array([last]), open_[:, None])
+            keep(file[first[:-1]], top[:, :-1])
+            last, open_ = int(file[-1]), top[:, -1]
+        if last is not None:
+            keep(np.array([last]), open_[:, None])
+        if len(ids):
+            order = np.lexsort((np.broadcast_to(ids, best.shape), -best), axis=1)[:, :k]
+            score = np.take_along_axis(best, order, 1).ravel()
+            yield pa.RecordBatch.from_pydict({"q": pa.array(np.repeat(np.arange(len(m)), order.shape[1]), pa.int64()), "id": pa.array(ids[order.ravel()], pa.int64()), "score": pa.array(score + 0.0)})
 
     dims = len(queries[0][1]) if queries else 0
-    rows = vectors.where(F.size("vector") == dims).join(chunks.select("chunk_id", "file_id"), "chunk_id").select(F.col("file_id").cast("long"), F.col("vector").cast("array<double>"))
-    best = rows.mapInArrow(run, "q long, id long, score double").groupBy("q", "id").agg(F.round(F.max("score"), 6).alias("score"))
+    rows = vectors.where(F.size("vector") == dims).join(chunks.select("chunk_id", "file_id"), "chunk_id").select(F.col("file_id").cast("long").alias("file_id"), F.col("vector").cast("array<double>").alias("vector"))
+    best = rows.repartition("file_id").sortWithinPartitions("file_id").mapInArrow(run, "q long, id long, score double")
     named = files.sparkSession.createDataFrame(list(enumerate(names)), "q long, query_id string")
     return T.top_k(best.join(F.broadcast(named), "q").drop("q"), k)
 
@@ -81,9 +108,15 @@ def evaluate(rankings: DataFrame, qrels: DataFrame, categories: DataFrame, k: in
         for leg, f in firsts.items():
             m = m.join(f, "query_id", "left").withColumn(f"vs_{leg}", E.outcome(F.col("first_hit"), F.col(leg)))
         per.append(m)
+    if not per:  # nothing was ranked: no configuration to judge
+        per = [E.metrics(ours, qrels, k).withColumn("config", F.lit(None).cast("string")).where("false")]
+        for leg in firsts:
+            per[0] = per[0].withColumn(leg, F.lit(None).cast("int")).withColumn(f"vs_{leg}", F.lit("tie"))
     all_ = per[0]
     for m in per[1:]:
         all_ = all_.union(m)
+    if not configs:
+        return all_.select("config", F.lit(None).cast("string").alias("category"), F.lit(0).cast("long").alias("judged"), "recall", "ndcg", *(F.lit(0).cast("long").alias(f"{o}_{leg}") for leg in firsts for o in ("win", "loss", "tie")))
     all_ = all_.join(categories, "query_id", "left").withColumn("category", F.coalesce("category", F.lit("uncategorized")))
     counts = [F.count(F.when(F.col(f"vs_{leg}") == o, 1)).alias(f"{o}_{leg}") for leg in firsts for o in ("win", "loss", "tie")]
     return all_.groupBy("config", "category").agg(F.count("*").alias("judged"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("ndcg"), 6).alias("ndcg"), *counts).unionByName(

@@ -110,3 +110,27 @@ def test_binary_files_come_back_as_they_are(spark):
     agents = spark.createDataFrame([("a1", "d1")], "agent string, domain string")
     copies = portal.replicate(chunks.select("hash", "stored").union(m.select("hash", "stored")), agents, F.lit(True))
     assert {r.upload: bytes(r.content) for r in portal.download(m, copies, key()).collect()} == content
+
+
+def test_evaluation_without_queries_has_no_rows(spark):
+    rankings = spark.createDataFrame([], "config string, leg string, query_id string, rank int, id long")
+    qrels = spark.createDataFrame([], "query_id string, id long, grade int")
+    out = retrieval.evaluate(rankings, qrels, spark.createDataFrame([], "query_id string, category string"), 10)
+    assert out.count() == 0 and {"config", "category", "judged", "recall", "ndcg", "win_name", "tie_recency"} <= set(out.columns)
+
+
+def test_best_files_of_many_queries_equal_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, m = rng.normal(size=(300, 4)), rng.normal(size=(7, 4))
+    file = rng.integers(0, 60, 300)
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "chunk_id long, vector array<double>")
+    chunks = spark.createDataFrame([(k, int(f)) for k, f in enumerate(file)], "chunk_id long, file_id long")
+    files = spark.createDataFrame([(int(f),) for f in set(file)], "file_id long")
+    got = retrieval.file_scores(files, chunks, vectors, [(f"q{k}", v.tolist()) for k, v in enumerate(m)], 5).collect()
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    s = np.round(unit(m) @ unit(x).T, 6)
+    for q in range(7):
+        best = sorted(((-max(s[q, file == f]), int(f)) for f in set(file)))[:5]
+        assert [(r.id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == f"q{q}"] == [(f, pytest.approx(-v)) for v, f in best]

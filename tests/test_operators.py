@@ -252,3 +252,12 @@ def test_keyword_matches_equal_the_full_text_engine(spark):
         match = " OR ".join(f'"{t}"*' for t in text.split())
         want = {r[0] for r in c.execute("SELECT rowid FROM f WHERE f MATCH ?", (f"body : ({match})",))}
         assert {r.id for r in got if r.query_id == q} == want, text
+
+
+def test_nearest_rank_of_groups_equals_sorting(spark):
+    rng = random.Random(6)
+    rows = [("a", rng.gauss(0, 1e6)) for _ in range(501)] + [("b", 3.0)] * 40 + [("c", float(rng.randrange(4))) for _ in range(77)] + [("d", -1.5), (None, 2.0), (None, 8.0), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for q in (0.0, 0.5, 0.95, 1.0):
+        got = {r.g: r.value for r in E.nearest_rank(df, ["g"], "v", q).collect()}
+        assert got == {g: E.percentile([v for h, v in rows if h == g], q) for g in ("a", "b", "c", "d", None)}

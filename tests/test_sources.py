@@ -56,7 +56,7 @@ def test_prepare_is_incremental(spark, root, tmp_path):
     store = str(tmp_path / "store")
     first = prepare(spark, str(root), store, size=500, overlap=50, max_bytes=8000)
     assert first == {"seen": 5, "pruned": 0, "extracted": 2, "needs-ocr": 1, "failed": 1, "excluded": 1}
-    chunks = Snapshots(spark, f"{store}/chunks")
+    chunks = Snapshots(spark, f"{store}/chunks", Snapshots(spark, f"{store}/files"))
     ids = {(r.file_id, r.ordinal, r.text) for r in chunks.read().collect()}
     assert len(ids) > 5
     again = prepare(spark, str(root), store, size=500, overlap=50, max_bytes=8000)
@@ -105,3 +105,47 @@ def test_sql_functions(spark):
     assert (r.d, r.l, r.n, r.b) == (11.0, 2.0, [0.6, 0.8], pytest.approx(2.0))
     got = spark.sql("SELECT c.* FROM (SELECT 'hello big world' AS t) x, LATERAL chunk_text(x.t, 8, 2) c").collect()
     assert [x.text for x in got][0] == "hello"
+
+
+@pytest.mark.parametrize("point", ["chunks", "files", "pointer"])
+def test_prepare_that_fails_anywhere_changes_nothing_and_converges(spark, root, tmp_path, monkeypatch, point):
+    from docspark.sources import snapshots
+
+    store = str(tmp_path / "store")
+    prepare(spark, str(root), store, size=500, overlap=50, max_bytes=8000)
+    files = Snapshots(spark, f"{store}/files")
+    seen = lambda: (sorted(map(str, files.read().collect())), sorted(map(str, Snapshots(spark, f"{store}/chunks", files).read().collect())), files.pointer())
+    before = seen()
+    (root / "added.txt").write_text("a new file with some words")
+    with monkeypatch.context() as m:
+        def stage(self, *a, plain=Snapshots.stage, **k):
+            if self.root.endswith(point):
+                raise OSError("lost")
+            return plain(self, *a, **k)
+
+        m.setattr(Snapshots, "stage", stage)
+        if point == "pointer":
+            m.setattr(snapshots, "claim", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            prepare(spark, str(root), store, size=500, overlap=50, max_bytes=8000)
+    assert seen() == before
+    prepare(spark, str(root), store, size=500, overlap=50, max_bytes=8000)
+    after = seen()
+    assert len(after[0]) == len(before[0]) + 1 and len(after[1]) == len(before[1]) + 1
+
+
+def test_of_two_snapshot_writers_one_fails(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from docspark.sources.snapshots import claim
+
+    s = Snapshots(spark, str(tmp_path / "race"))
+    s.write(spark.range(1))
+    for turn in range(10):
+        def one(k):
+            draft = s._path(f"pointers/_{turn}-{k}")
+            s._fs.create(draft, False).close()
+            return claim(spark, s._fs, draft, s._path(f"pointers/z{turn}"))
+
+        with ThreadPoolExecutor(4) as pool:
+            assert sum(pool.map(one, range(4))) == 1
