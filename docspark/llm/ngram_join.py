@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             h, n = _block_counts(row, words)
             yield FREQUENCIES.packets(row["block"].as_py(), [(h, None, [n])], parts)
 
-    counted = exchange(chosen.select("block", "reps", "offs", "data").mapInArrow(requests, PACKET), FREQUENCIES, blocks, "frequencies")
+    counted = exchange(chosen.select("block", "reps", "offs", "data").mapInArrow(requests, PACKET), FREQUENCIES, blocks, "frequencies", once=True)
     with_counts = visit(Blocks(chosen, where, 0, 0, parts), counted, keep_all=False).select("block", "reps", "offs", "data", "answers")
     sets = materialize(_survivors(with_counts, parts, words, percent), "survivors", where)
 

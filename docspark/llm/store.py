@@ -35,7 +35,7 @@ PART_BYTES = 3 << 20
 #: Rows of megabytes: a row group ends after some, so neither writers nor readers hold a file's worth of them.
 LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 2}
 #: Bytes of input that a bucket of the block table is meant to hold, buckets that a task writes to, and most buckets that Spark takes.
-BUCKET_BYTES, TASK_BUCKETS, MOST_BUCKETS = 128 << 20, 2, 100_000
+BUCKET_BYTES, TASK_BUCKETS, MOST_BUCKETS = 128 << 20, 1, 100_000
 #: Packets (blocks times ranges) up to which one level of exchange is used, and blocks a group of the second level has.
 MOST_PACKETS, GROUP_BLOCKS = 20_000_000, 1024
 #: A row's uid is its block id times this plus its place in the block; a block's id is its task's times TASK_BLOCKS plus its number.
@@ -347,8 +347,8 @@ def own_range(requests: DataFrame, merge: Callable[[int, list[int], list[bytes]]
     return requests.groupBy("part").applyInArrow(run, PACKET)
 
 
-def exchange(requests: DataFrame, census: Census, blocks: Blocks, name: str) -> DataFrame:
-    """Answers (part, block, data) to packets.
+def exchange(requests: DataFrame, census: Census, blocks: Blocks, name: str, once: bool = False) -> DataFrame:
+    """Answers (part, block, data) to packets; written to the shared folder unless they are read `once` only.
 
     With few packets the owners of the ranges answer the blocks. Beyond
     MOST_PACKETS their number, blocks times ranges, is brought down by a second
@@ -367,7 +367,8 @@ def exchange(requests: DataFrame, census: Census, blocks: Blocks, name: str) ->
         yield from zip(senders, census.scattered(answers, [u[3] for u in united], [u[4] for u in united]), strict=True)
 
     if not blocks.fine:
-        return materialize(own_range(requests, merge), name, blocks.where)
+        answers = own_range(requests, merge)
+        return answers if once else materialize(answers, name, blocks.where)
     fine, groups, parts = blocks.fine, blocks.groups, blocks.parts
 
     def union(table: pa.Table) -> pa.Table:
@@ -406,7 +407,7 @@ def exchange(requests: DataFrame, census: Census, blocks: Blocks, name: str) ->
 
     back = united.where("part = -1").select("block", "data").join(answered.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers")), "block")
     out = back.mapInArrow(hand_on, PACKET).union(answered.where("block = -1").select("part", "block", "data"))
-    return materialize(out, name, blocks.where)
+    return out if once else materialize(out, name, blocks.where)
 
 
 def _counts(b: bytes) -> np.ndarray:

@@ -316,8 +316,11 @@ def _merge(length: int, window: int):
     return run
 
 
-def find_repeats(blocks: Blocks, length: int, name: str, first: DataFrame | None = None) -> DataFrame:
-    """Rows (part, block, data) that tell repeated_starts() of each block; first: those of a lesser length, with parts shifted by FIRST."""
+def find_repeats(blocks: Blocks, length: int, name: str, first: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """Rows (part, block, data) that tell repeated_starts() of each block; first: those of a lesser length, with parts shifted by FIRST.
+
+    The rows are written to the shared folder unless they are read `once` only.
+    """
     window = min(WINDOW, length // 2)
     where, parts, guards, again = blocks.where, blocks.parts, GuardCensus(HOT_GROUP), first is not None
     columns = ("block", "offs", "data", "answers")
@@ -328,7 +331,7 @@ def find_repeats(blocks: Blocks, length: int, name: str, first: DataFrame | None
             yield guards.packets(row["block"].as_py(), [(guard, context, [np.ones(len(guard), np.int64)])], parts)
 
     asked = visit(blocks, first, keep_all=not again).select(*columns).mapInArrow(ask, PACKET)
-    codes = exchange(asked, guards, blocks, f"census_{name}")
+    codes = exchange(asked, guards, blocks, f"census_{name}", once=True)
 
     def send(batches):
         for row in one_row_batches(batches):
@@ -359,10 +362,11 @@ def find_repeats(blocks: Blocks, length: int, name: str, first: DataFrame | None
     if again:  # blocks without anchors got no codes
         with_codes = with_codes.where(F.exists("answers", lambda x: x["part"] >= 0))
     sent = materialize(with_codes.select(*columns).mapInArrow(send, PACKET), f"runs_{name}", where)
-    found = materialize(own_range(sent.where("part >= 0"), _merge(length, window)), f"found_{name}", where)
+    found = own_range(sent.where("part >= 0"), _merge(length, window))
+    found = found if once else materialize(found, f"found_{name}", where)
     out = sent.where(f"part = {WHOLE_PART}").unionByName(found.withColumn("part", (F.lit(FOUND) - F.col("part")).cast("int")))
     hot = sent.where(f"part = {COUNT_PART}")
-    return out.unionByName(_counted(hot, blocks, name)) if hot.limit(1).count() else out
+    return out.unionByName(_counted(hot, blocks, name, once)) if hot.limit(1).count() else out
 
 
 def _strings(buf: np.ndarray, offs: np.ndarray, lo: np.ndarray, hi: np.ndarray, asks: np.ndarray, length: int) -> bytes:
@@ -381,7 +385,7 @@ def _strings(buf: np.ndarray, offs: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     return join_fields(*(x[order].tobytes() for x in (one, two, start, asked)))
 
 
-def _counted(hot: DataFrame, blocks: Blocks, name: str) -> DataFrame:
+def _counted(hot: DataFrame, blocks: Blocks, name: str, once: bool) -> DataFrame:
     """Starts whose string occurs elsewhere, by a count of every string at the owner of its hash range."""
     parts = blocks.parts
 
@@ -404,7 +408,8 @@ def _counted(hot: DataFrame, blocks: Blocks, name: str) -> DataFrame:
             again = np.concatenate([STRINGS.read(found[p], [int(cut[p + 1] - cut[p])])[0][0] for p in range(parts) if cut[p + 1] > cut[p]])
             yield packet_batch(row["block"].as_py(), [COUNTED], [start[(again > 0) & asks].tobytes()])
 
-    return materialize(hot.select("block", "data").join(got, "block").mapInArrow(starts, PACKET), f"counted_{name}", blocks.where)
+    out = hot.select("block", "data").join(got, "block").mapInArrow(starts, PACKET)
+    return out if once else materialize(out, f"counted_{name}", blocks.where)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passage: int | None = None) -> DataFrame:
@@ -418,7 +423,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if passage >= length:
             raise ValueError("passages are shorter than what is removed")
         shorter = find_repeats(blocks, passage, "passages").withColumn("part", (F.col("part") - FIRST).cast("int"))
-    rows = find_repeats(blocks, length, "repeats", shorter)
+    rows = find_repeats(blocks, length, "repeats", shorter, once=True)
 
     def cut(batches):
         for row in one_row_batches(batches):
