@@ -7,8 +7,11 @@ chunks of a file that failed, this refreshes the time and drops the chunks.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
+from itertools import chain
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,35 +95,61 @@ class HashingProvider:
         return hashlib.sha256(f"{self.model}:{self.dims}".encode()).hexdigest()
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        out = []
+        out, of = [], _hashes(self.dims).__getitem__
         for t in texts:
-            v = [0.0] * self.dims
-            for w in T.index_terms(t):
-                h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
-                v[h % self.dims] += 1.0 if h >> 63 else -1.0
-            out.append(v)
+            n = np.bincount(np.fromiter(chain.from_iterable(map(of, t.split())), np.int64), minlength=2 * self.dims)
+            out.append((n[: self.dims] - n[self.dims :]).astype(np.float64).tolist())
         return out
 
 
-def embed(chunks: DataFrame, provider: EmbeddingProvider, dims: int, key: str = "chunk_id", batch: int = 8, concurrency: int | None = None) -> DataFrame:
+class _Hashes(dict):
+    """Of a run of other than white space, the components that its words' stems add to; from dims on, they are taken away there."""
+
+    def __init__(self, dims: int):
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= 1 << 19:
+            self.clear()
+        plain = token.strip(".,;:!?")
+        plain = plain.lower() if plain.isascii() else plain
+        if plain != token:
+            out = self[plain]
+            self[token] = out
+            return out
+        words = [T.porter_stem(token)] if token.isascii() and token.isalnum() else T.index_terms(token)
+        hashes = [int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big") for w in words]
+        out = self[token] = tuple(h % self.dims + (0 if h >> 63 else self.dims) for h in hashes)
+        return out
+
+
+_hashes = lru_cache(maxsize=4)(_Hashes)
+
+
+def embed(chunks: DataFrame, provider: EmbeddingProvider, dims: int, key: str = "chunk_id", batch: int = 8, concurrency: int | None = None, file_col: str | None = None) -> DataFrame:
     """(key, model, dims, vector): each task sends batches to the provider; `concurrency` tasks at once.
 
-    The provider's vectors are cut to dims and normalized.
+    The provider's vectors are cut to dims and normalized. The chunk's file goes along as file_id if its column is named.
     """
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            ids, texts, file = b.column(0), b.column(1).to_pylist(), b.column(2)
             for a in range(0, len(texts), batch):
                 v = provider.embed([t or "" for t in texts[a : a + batch]])
                 if len(v) != len(texts[a : a + batch]):
                     raise ValueError("the provider left out a text")
-                yield pa.RecordBatch.from_arrays([ids.slice(a, batch), pa.array(v, pa.list_(pa.float64()))], ["key", "v"])
+                flat = np.array(v, np.float64)
+                v = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel())) if flat.ndim == 2 else pa.array(v, pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, batch), v, file.slice(a, batch)], ["key", "v", "file"])
 
-    rows = chunks.select(F.col(key).cast("long").alias("key"), "text")
+    file = F.col(file_col).cast("long") if file_col else F.lit(None).cast("long")
+    rows = chunks.select(F.col(key).cast("long").alias("key"), "text", file.alias("file"))
     rows = rows.repartition(concurrency) if concurrency else rows
-    got = rows.mapInArrow(run, "key long, v array<double>")
-    return got.select(F.col("key").alias(key), F.lit(provider.model).alias("model"), F.lit(dims).alias("dims"), V.truncate_and_normalize(F.col("v"), dims).alias("vector"))
+    got = rows.mapInArrow(run, "key long, v array<double>, file long")
+    along = [F.col("file").alias("file_id")] if file_col else []
+    return got.select(F.col("key").alias(key), F.lit(provider.model).alias("model"), F.lit(dims).alias("dims"), V.truncate_and_normalize(F.col("v"), dims).alias("vector"), *along)
 
 
 def counters(classified: DataFrame, status: str = "state") -> DataFrame:

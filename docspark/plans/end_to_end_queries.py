@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docspark.functions import text as T
 from docspark.operators import ingest as I
+from docspark.operators import text_search as S
 from docspark.operators.vector_search import QUERY_BYTES
 from docspark.plans import portal, retrieval
 from docspark.sources.tables import spread
@@ -37,7 +39,7 @@ def _corpus(spark, d):
     files = docs.select(F.col("doc_id").alias("file_id"), F.col("source").alias("name"), "text", F.col("doc_id").alias("mtime"))
     chunks = I.chunk(files).withColumn("chunk_id", F.xxhash64("file_id", "ordinal"))
     provider = I.HashingProvider(128)
-    vectors = I.embed(chunks, provider, 64)
+    vectors = I.embed(chunks, provider, 64, batch=64, file_col="file_id")
     items = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
     return files, chunks, vectors, items, provider
 
@@ -65,11 +67,13 @@ def search_all_legs(spark, d):
 def evaluate_configurations(spark, d):
     """The documents that contain an item are relevant to it."""
     files, items, legs = _legs(spark, d)
-    from docspark.functions.text import words
-
-    key = lambda c: F.array_join(words(F.col(c)), " ")
-    a = items.select("query_id", key("text").alias("item"))
-    qrels = files.select(F.col("file_id").alias("id"), key("text").alias("doc")).join(F.broadcast(a), F.expr("contains(doc, item)")).select("query_id", "id", F.lit(1).alias("grade"))
+    key = F.btrim(T.spaced_words(F.col("text"), r"[^\p{L}\p{N}]+"))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    slices, qrels = max(1, -(-n // QUERIES_AT_ONCE), -(-size // QUERY_BYTES)), None
+    for s in range(slices):
+        mine = [(r.query_id, r.item) for r in items.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).select("query_id", key.alias("item")).where("item is not null").toLocalIterator()]
+        part = S.contained(files.select("file_id", key.alias("doc")), mine).select("query_id", "id", F.lit(1).alias("grade"))
+        qrels = part if qrels is None else qrels.union(part)
     rankings = legs.withColumn("config", F.when(F.col("leg") == "semantic", "hashing:64"))
     return retrieval.evaluate(rankings, qrels, items.select("query_id", F.lit("items").alias("category")), 10)
 

@@ -14,7 +14,9 @@ from docspark.operators.ingest import EmbeddingProvider, check_identity
 def file_scores(files: DataFrame, chunks: DataFrame, vectors: DataFrame, queries: list[tuple[str, list[float]]], k: int) -> DataFrame:
     """(query_id, rank, id, score): best files of each query vector by max-similarity over their chunks.
 
-    vectors: (chunk_id, vector) of one configuration; chunks: (chunk_id, file_id).
+    vectors: (chunk_id, vector) of one configuration, with file_id or else found by
+    chunks: (chunk_id, file_id). A file's chunks may lie in several tasks: whichever
+    holds its best chunk keeps the file, if it is among the k best.
     """
     import numpy as np
     import pyarrow as pa
@@ -23,7 +25,7 @@ def file_scores(files: DataFrame, chunks: DataFrame, vectors: DataFrame, queries
     m = V._unit(np.array([v for _, v in queries], np.float64)) if queries else np.zeros((0, 1))
 
     def run(batches):
-        """A task has all chunks of its files, one file after another: it keeps the k best files of each query."""
+        """The k best files of each query in the task, chunks of a file united as far as they are here."""
         ids, best = np.zeros(0, np.int64), np.zeros((len(m), 0))
         last, open_ = None, None  # the file whose chunks may go on in the next batch
 
@@ -34,7 +36,11 @@ def file_scores(files: DataFrame, chunks: DataFrame, vectors: DataFrame, queries
                 ids, best = kept(ids, best)
 
         def kept(ids, best):
-            """Only the files that are among the k best of some query."""
+            """Each file once, and only those that are among the k best of some query."""
+            order = np.argsort(ids, kind="stable")
+            ids, best = ids[order], best[:, order]
+            first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+            ids, best = ids[first], np.maximum.reduceat(best, first, axis=1)
             some = np.zeros(len(ids), bool)
             some[np.lexsort((np.broadcast_to(ids, best.shape), -best), axis=1)[:, :k].ravel()] = True
             return ids[some], best[:, some]
@@ -42,7 +48,7 @@ def file_scores(files: DataFrame, chunks: DataFrame, vectors: DataFrame, queries
         for b in batches:
             if not b.num_rows or not len(m):
                 continue
-            s = np.round(m @ V._unit(np.array(b.column(1).to_pylist(), np.float64)).T, 6)
+            s = np.round(m @ V._unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)).T, 6)
             s = np.where(np.isnan(s), -np.inf, s)
             file = b.column(0).to_numpy()
             first = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1])))
@@ -56,13 +62,16 @@ def file_scores(files: DataFrame, chunks: DataFrame, vectors: DataFrame, queries
         if last is not None:
             keep(np.array([last]), open_[:, None])
         if len(ids):
+            ids, best = kept(ids, best)
             order = np.lexsort((np.broadcast_to(ids, best.shape), -best), axis=1)[:, :k]
             score = np.take_along_axis(best, order, 1).ravel()
             yield pa.RecordBatch.from_pydict({"q": pa.array(np.repeat(np.arange(len(m)), order.shape[1]), pa.int64()), "id": pa.array(ids[order.ravel()], pa.int64()), "score": pa.array(score + 0.0)})
 
     dims = len(queries[0][1]) if queries else 0
-    rows = vectors.where(F.size("vector") == dims).join(chunks.select("chunk_id", "file_id"), "chunk_id").select(F.col("file_id").cast("long").alias("file_id"), F.col("vector").cast("array<double>").alias("vector"))
-    best = rows.repartition("file_id").sortWithinPartitions("file_id").mapInArrow(run, "q long, id long, score double")
+    rows = vectors.where(F.size("vector") == dims)
+    rows = rows if "file_id" in rows.columns else rows.join(chunks.select("chunk_id", "file_id"), "chunk_id")
+    rows = rows.select(F.col("file_id").cast("long").alias("file_id"), F.col("vector").cast("array<double>").alias("vector"))
+    best = rows.mapInArrow(run, "q long, id long, score double").groupBy("q", "id").agg(F.max("score").alias("score"))
     named = files.sparkSession.createDataFrame(list(enumerate(names)), "q long, query_id string")
     return T.top_k(best.join(F.broadcast(named), "q").drop("q"), k)
 
@@ -75,7 +84,7 @@ def all_legs(files: DataFrame, queries: DataFrame, k: int, semantic: DataFrame |
     """
     fields = {"name": "name", "text": "text"}
     name = T.name_search(files, queries, k, "file_id", "name").withColumn("leg", F.lit("name"))
-    keyword = T.top_k(T.bm25(files, queries, "text", fields, "file_id", "query_id", "text"), k).withColumn("leg", F.lit("keyword"))
+    keyword = T.bm25_top(files, queries, "text", fields, k, "file_id", "query_id", "text").withColumn("leg", F.lit("keyword"))
     newest = T.top_k(files.select(F.lit(0).alias("query_id"), F.col("file_id").alias("id"), F.col("mtime").cast("double").alias("score")), k).drop("query_id")
     recency = queries.select("query_id").crossJoin(F.broadcast(newest)).withColumn("leg", F.lit("recency"))
     cols = ["leg", "query_id", "rank", "id", F.col("score").cast("double").alias("score")]
@@ -95,8 +104,9 @@ def evaluate(rankings: DataFrame, qrels: DataFrame, categories: DataFrame, k: in
     """Per configuration, category and over all (category null): judged, recall, nDCG and outcomes against the other legs.
 
     rankings: (config, leg, query_id, rank, id); legs other than `semantic` have
-    config null and are used with every configuration.
+    config null and are used with every configuration. They are read several times, so they are kept.
     """
+    rankings, qrels = rankings.persist(), qrels.persist()
     ours = rankings.where("leg = 'semantic'")
     per = []
     configs = [r.config for r in ours.select("config").distinct().orderBy("config").limit(101).collect()]

@@ -134,3 +134,47 @@ def test_best_files_of_many_queries_equal_all_pairs(spark):
     for q in range(7):
         best = sorted(((-max(s[q, file == f]), int(f)) for f in set(file)))[:5]
         assert [(r.id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == f"q{q}"] == [(f, pytest.approx(-v)) for v, f in best]
+
+
+def test_documents_that_contain_items(spark):
+    from docspark.operators import text_search as S
+
+    docs = [(1, "the red bolt of spring"), (2, "red bolt of sprin"), (3, ""), (4, None), (5, "xéx the red bolt"), (6, "a"), (7, "bolt of spring bolt of spring")]
+    items = [("a", "red bolt of sprin"), ("b", "bolt of spring"), ("c", "a"), ("d", ""), ("e", "éx the red"), ("f", "bolt of spring"), ("g", "nowhere at all")]
+    got = S.contained(spark.createDataFrame(docs, "id long, doc string"), items).collect()
+    assert sorted((r.query_id, r.id) for r in got) == sorted((q, i) for q, t in items for i, d in docs if d is not None and t in d)
+
+
+def test_a_provider_stems_each_word_once(monkeypatch):
+    """A thousand equal texts cost one stem a word; components are signed counts of hashed stems."""
+    import hashlib
+
+    from docspark.functions import text as T
+
+    stems, stem = [], T.porter_stem
+    monkeypatch.setattr(T, "porter_stem", lambda w: stems.append(w) or stem(w))
+    text = "Running, runs é e\u0301t\u00e9 re-run ΑΣ. \U0001D165x a_b İs \u0301"
+    got = I.HashingProvider(24).embed([text] * 1000 + ["", "running"])
+    assert len(stems) < 40
+    want = [0.0] * 24
+    for w in T.index_terms(text):
+        h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
+        want[h % 24] += 1.0 if h >> 63 else -1.0
+    assert got[:1000] == [want] * 1000 and got[1000] == [0.0] * 24 and sum(map(abs, got[1001])) == 1
+
+
+def test_rankings_are_made_once_for_an_evaluation(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [("hashing:8" if leg == "semantic" else None, leg, q, 1, 5) for leg in ("semantic", "name", "keyword", "recency") for q in ("a", "b")]
+    rankings = spark.createDataFrame(rows, "config string, leg string, query_id string, rank int, id long")
+    rankings = rankings.mapInArrow(run, rankings.schema)
+    qrels = spark.createDataFrame([("a", 5, 1)], "query_id string, id long, grade int")
+    got = retrieval.evaluate(rankings, qrels, spark.createDataFrame([("a", "x")], "query_id string, category string"), 10).collect()
+    assert {(r.category, r.judged, r.recall) for r in got} == {("x", 1, 1.0), (None, 1, 1.0)}
+    assert made.value == len(rows)
